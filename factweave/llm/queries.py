@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, quality_rules, record_files, secret_scan, sentencepiece_codec, url_filter
+from . import embedding_dedup, html_text, language_id, minhash_dedup, quality_rules, record_files, secret_scan, sentencepiece_codec, url_filter
 from ._shared import table
 
 
@@ -32,6 +32,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learnt = language_id.references(docs.where(~language_id.held_out()))
@@ -48,5 +56,5 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.export(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_sentencepiece, op4_html_text, op5_secret_scan, op8_language_id, op9_quality_rules, op10_record_files)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_sentencepiece, op4_html_text, op5_secret_scan, op6_minhash_dedup, op7_embedding_dedup, op8_language_id, op9_quality_rules, op10_record_files)}
 ORACLE_SQL = {"op2_url_filter": url_filter.oracle()}

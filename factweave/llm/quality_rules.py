@@ -36,14 +36,21 @@ def text_features(df: DataFrame, key: str, text: str) -> DataFrame:
     return map_texts(df, key, text, work, f"`{key}` {kind}, index array<int>, value array<float>")
 
 
-def fit_on_labels(docs: DataFrame, labelled: DataFrame, label: str, rows: int) -> TextClassifier:
-    """Train on at most `rows` rows of each class. `labelled` holds doc_id and the class in column `label`."""
+def fit_on_labels(docs: DataFrame, labelled: DataFrame, label: str, rows: int, with_priors: bool = False) -> TextClassifier:
+    """Train on at most `rows` rows of each class. `labelled` holds doc_id and the class in column `label`.
+
+    `with_priors` weighs classes by their labelled rows; else they count alike."""
+    priors = {r[0]: r[1] for r in labelled.where(F.col(label).isNotNull()).groupBy(label).count().collect()} if with_priors else None
     chosen = sample_per_stratum(labelled.select("doc_id", label).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]), "doc_id", label, rows)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    features = {r["doc_id"]: (np.asarray(r["index"], np.int32), np.asarray(r["value"], np.float32)) for r in text_features(texts, "doc_id", "text").toArrow().to_pylist()}
+    got = text_features(texts, "doc_id", "text").toArrow().combine_chunks()
+    index, value = (got.column(c).combine_chunks() for c in ("index", "value"))
+    flat = [x.values.to_numpy() for x in (index, value)]
+    begin = index.offsets.to_numpy()
+    features = {d: tuple(x[begin[i] : begin[i + 1]] for x in flat) for i, d in enumerate(got.column("doc_id").to_pylist())}
     kept = [r for r in least_hashes(chosen.collect(), lambda r: r[label], lambda r: (r["sample_hash"], r["doc_id"]), rows) if r["doc_id"] in features]
     kept.sort(key=lambda r: (r["sample_hash"], r["doc_id"]))
-    return TextClassifier.fit([features[r["doc_id"]] for r in kept], [r[label] for r in kept])
+    return TextClassifier.fit([features[r["doc_id"]] for r in kept], [r[label] for r in kept], priors=priors)
 
 
 def _repeats(owner: np.ndarray, hashes: np.ndarray, words_before: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, html_text, language_id, minhash_dedup, quality_rules, record_files, secret_scan, sentencepiece_codec, url_filter
 from ._shared import table
+from .source_mixing import op1_source_mixing
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,5 +57,5 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.export(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_sentencepiece, op4_html_text, op5_secret_scan, op6_minhash_dedup, op7_embedding_dedup, op8_language_id, op9_quality_rules, op10_record_files)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_sentencepiece, op4_html_text, op5_secret_scan, op6_minhash_dedup, op7_embedding_dedup, op8_language_id, op9_quality_rules, op10_record_files)}
 ORACLE_SQL = {"op2_url_filter": url_filter.oracle()}

@@ -38,8 +38,11 @@ END_ID = 0
 #: Bytes of text that go to a file; the ids take about as much room as the text, or half of it.
 FILE_BYTES = 24 << 20
 #: Words of a generation; each Python worker keeps two.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 NO_DOC = -(1 << 63)  # stands for a null doc_id in a payload
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - _PRINTED))}
 INDEX = "file int, ordinal long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long"
 #: Marks that the pattern keeps together and apart from letters before them.
 CLOSING = ".,!?;:)|#$%&*"
@@ -47,6 +50,11 @@ CLOSING = ".,!?;:)|#$%&*"
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
 
+def is_letters(word: str) -> bool:
+    """Letters of the Latin blocks, which all versions of the character tables agree on."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
@@ -90,6 +98,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # what looks like a special token in a text is text
+        self.model = Tokenizer.from_file(path).model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are kept here
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.spaced: list[dict[str, bytes]] = [{}, {}]
         self.bare: list[dict[str, bytes]] = [{}, {}]
@@ -125,7 +136,11 @@ class Encoder:
         cores = {c for p in parts.values() for c in p} - self.cores.keys()
         if len(self.cores) > KEPT_WORDS:
             self.cores = {c: self.cores[c] for p in parts.values() for c in p if c in self.cores}
-        fresh, kind = list(cores), f"<u{self.width}"
+        kind = f"<u{self.width}"
+        for w in [c for c in cores if is_letters(c[c[0] == " " :])]:
+            # One piece of the pattern: the library's model alone encodes it, without the library's bookkeeping of offsets.
+            self.cores[w] = np.array([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))], kind).tobytes()
+        fresh = list(cores - self.cores.keys())
         for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.cores[w] = np.array(e.ids, kind).tobytes()
         taken.update((w, b"".join([self.cores[c] for c in p])) for w, p in parts.items())
@@ -138,7 +153,7 @@ class Encoder:
         out = []
         for k, line in enumerate(word.split("\n")):
             core = line.rstrip(CLOSING)
-            if not core.isalpha():
+            if not is_letters(core):
                 return [" " + word if spaced else word]
             if k:
                 out.append("\n")

@@ -38,8 +38,14 @@ END_ID = 0
 #: Bytes of text that go to a file; the ids take about as much room as the text, or half of it.
 FILE_BYTES = 24 << 20
 #: Words of a generation; each Python worker keeps two.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 150_000
+#: Code points that are encoded together.
+TOGETHER = 2 << 20
+#: Rows that Spark hands to a Python worker at once.
+ROWS_AT_ONCE = 1000
 NO_DOC = -(1 << 63)  # stands for a null doc_id in a payload
+#: Letters up to here, of the Latin blocks, are letters in all versions of the character tables.
+LATIN_END = "\u0250"
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - _PRINTED))}
@@ -50,11 +56,6 @@ CLOSING = ".,!?;:)|#$%&*"
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
 
-def is_letters(word: str) -> bool:
-    """Letters of the Latin blocks, which all versions of the character tables agree on."""
-    return word.isalpha() and max(word) < "\u0250"
-
-
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
@@ -105,6 +106,8 @@ class Encoder:
         self.spaced: list[dict[str, bytes]] = [{}, {}]
         self.bare: list[dict[str, bytes]] = [{}, {}]
         self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.said = [n.to_bytes(self.width, "little") for n in range(self.library.get_vocab_size())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") for t in texts]
@@ -126,41 +129,64 @@ class Encoder:
         kept = self.spaced if spaced else self.bare
         if len(kept[0]) > (KEPT_WORDS if spaced else KEPT_WORDS // 4):
             kept[:] = {}, kept[0]
-        words = {w for w in words if w or not spaced}
-        here = {w: k for w in words if (k := kept[0].get(w)) is not None}
-        missing = words - here.keys()
-        taken = {w: k for w in missing if (k := kept[1].get(w)) is not None}
-        missing -= taken.keys()
-        # Letters, closing marks and single line ends in between are cut apart by the pattern wherever they meet.
-        parts = {w: self._parts(w, spaced) for w in missing}
-        cores = {c for p in parts.values() for c in p} - self.cores.keys()
+        now, older = kept
+        here = {w: now[w] for w in words & now.keys()}
+        fresh = words - here.keys()
+        if spaced:
+            fresh.discard("")
+        add = {w: older[w] for w in fresh & older.keys()}
+        fresh.difference_update(add.keys())
         if len(self.cores) > KEPT_WORDS:
-            self.cores = {c: self.cores[c] for p in parts.values() for c in p if c in self.cores}
+            self.cores = {}
+        cores, alone, rest = self.cores, self._alone, []
+        before = " " if spaced else ""
+        for w in fresh:
+            # Letters and the closing marks behind them are cut apart by the pattern wherever they meet.
+            core = w.rstrip(CLOSING)
+            if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
+                key = before + core
+                ids = cores.get(key)
+                if ids is None:
+                    ids = cores[key] = alone(key)
+                add[w] = ids if len(core) == len(w) else ids + self._tail(w[len(core) :])
+            else:
+                rest.append(w)
+        whole = []
+        for w in rest:
+            # So are single line ends between letters.
+            lines = w.split("\n")
+            parts = [x.rstrip(CLOSING) for x in lines]
+            if all(c.isalpha() and max(c) < LATIN_END for c in parts):
+                out = []
+                for k, (line, core) in enumerate(zip(lines, parts, strict=True)):
+                    key = core if k else before + core
+                    ids = cores.get(key)
+                    if ids is None:
+                        ids = cores[key] = alone(key)
+                    out += [self._tail("\n"), ids] if k else [ids]
+                    if len(core) < len(line):
+                        out.append(self._tail(line[len(core) :]))
+                add[w] = b"".join(out)
+            else:
+                whole.append(w)
         kind = f"<u{self.width}"
-        for w in [c for c in cores if is_letters(c[c[0] == " " :])]:
-            # One piece of the pattern: the library's model alone encodes it, without the library's bookkeeping of offsets.
-            self.cores[w] = np.array([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))], kind).tobytes()
-        fresh = list(cores - self.cores.keys())
-        for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cores[w] = np.array(e.ids, kind).tobytes()
-        taken.update((w, b"".join([self.cores[c] for c in p])) for w, p in parts.items())
-        kept[0].update(taken)
-        here.update(taken)
+        for w, e in zip(whole, self.library.encode_batch_fast([before + w for w in whole], add_special_tokens=False), strict=True):
+            add[w] = np.array(e.ids, kind).tobytes()
+        now.update(add)
+        here.update(add)
         return here
 
-    @staticmethod
-    def _parts(word: str, spaced: bool) -> list[str]:
-        out = []
-        for k, line in enumerate(word.split("\n")):
-            core = line.rstrip(CLOSING)
-            if not is_letters(core):
-                return [" " + word if spaced else word]
-            if k:
-                out.append("\n")
-            out.append(" " + core if spaced and not k else core)
-            if len(core) < len(line):
-                out.append(line[len(core) :])
-        return out
+    def _alone(self, piece: str) -> bytes:
+        """One piece of the pattern: the library's model encodes it, without the library's bookkeeping of offsets."""
+        return b"".join([self.said[t.id] for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))])
+
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            ids = self.tails[marks] = np.array(self.library.encode(marks, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -182,12 +208,18 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID)
         closing = np.array([end_id], f"<u{tool.width}")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, TOGETHER):
                 frames = [frame(pack(d, np.concatenate((x, closing)), tool.width)) for d, x in zip(ids[i:j], tool.encode(texts[i:j]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
+    at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark, before = docs.sparkSession, docs.sparkSession.conf.get(at_once)
+    spark.conf.set(at_once, str(ROWS_AT_ONCE))
     # A string of Spark holds bytes as they are, and the text writer puts them out as they are.
-    dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(out)
+    try:
+        dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(out)
+    finally:
+        spark.conf.set(at_once, before)
 
 
 def read_files(spark: SparkSession, where: str) -> DataFrame:

@@ -122,12 +122,13 @@ class CrossParser:
                 lanes[: lengths[o], k] = coded[i][b : b + BLOCK]
             alive = np.searchsorted(-lengths[own], -np.arange(width), side="left")
             state = np.repeat(self._roots[:, None], len(own), axis=1)
-            ended = np.ones(state.shape, np.int64)  # the last phrase of each block
+            ended = np.zeros(state.shape, np.int64)
             for t in range(width):
                 n = alive[t]
                 got = self._next[state[:, :n] + lanes[t, :n]]
                 ended[:, :n] += got >> 62
                 state[:, :n] = got & 0xFFFFFFFF
+            ended += state != self._roots[:, None]  # the last phrase of each block
             np.add.at(out, np.array([blocks[o][0] for o in own]), ended.T)
         return out, sizes
 

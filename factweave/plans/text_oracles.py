@@ -69,7 +69,7 @@ def _distinct(patterns: tuple, most: int, least: int = 0) -> str:
 
 def _claims() -> str:
     clear = lambda i: f"NOT regexp_matches(substr(low, greatest({i} - 20, 1), least({i} - 1, 20)), {re2(P.NEGATION)})"
-    hits = lambda words: " + ".join(f"len(list_filter(range(1, greatest(length(low) - {len(w)} + 2, 1)), lambda i: substr(low, i, {len(w)}) = {q(w)} AND {clear('i')}))" for w in words)
+    hits = lambda words: " + ".join(f"CASE WHEN contains(low, {q(w)}) THEN len(list_filter(range(1, greatest(length(low) - {len(w)} + 2, 1)), lambda i: substr(low, i, {len(w)}) = {q(w)} AND {clear('i')})) ELSE 0 END" for w in words)
     rows = []
     for pos, (name, words) in enumerate(P.CLAIM_WORDS.items()):
         other = {"GROWTH": "DECLINE", "DECLINE": "GROWTH"}.get(name, name)

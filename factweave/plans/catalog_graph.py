@@ -201,7 +201,7 @@ _FOLDS = {
     "AVERAGE": "list_sum(v) / len(v)", "RATIO": "list_sum(v) / len(v)", "TEMPORAL_ALIGN": "v[1]",
 }
 for _op, _fold in _FOLDS.items():
-    @query(f"derive_{_op.lower()}", f"WITH x AS ({_OPERANDS}), l AS (SELECT doc_id, key, list(value ORDER BY pos) AS v, min(confidence) AS c FROM x GROUP BY doc_id, key) SELECT doc_id, key, round({_fold}, 6)::DOUBLE AS value, least(c, {P.OPERATOR_WEIGHTS[_op]}::DOUBLE) AS confidence FROM l")
+    @query(f"derive_{_op.lower()}", f"WITH x AS ({_OPERANDS}), l AS (SELECT doc_id, key, list(value ORDER BY pos) AS v, min(confidence) AS c FROM x GROUP BY doc_id, key) SELECT doc_id, key, {_fold if _op == 'MULTIPLY' else f'round({_fold}, 6)'}::DOUBLE AS value, least(c, {P.OPERATOR_WEIGHTS[_op]}::DOUBLE) AS confidence FROM l")
     def _(s, d, op=_op):
         view(s, d, "rendered_docs")
         return derivation.derive(s.sql(_OPERANDS), op)

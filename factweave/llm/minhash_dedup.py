@@ -1,17 +1,17 @@
 """MinHash near-duplicates by an LSH forest.
 
 Each tree orders the documents by a sequence of MinHash values of its own. Documents next to each other in such an
-order share the longest prefixes, and candidates are neighbours that share at least DEPTHS[0] values. The depth adapts
-to the region: where more than REGION documents share a prefix, only those that share the next longer one are
-neighbours, and so on; where even the longest prefix is shared by more, each is paired with one member of the region
-and, in the next round, whole groups stand as one.
-
-Documents with equal shingle sets are one class from the start. Round one pairs each class with one neighbour in each
-region, keeps the best pair of each class by its signature, and confirms it on the full sets; what is linked becomes
-a group. Round two takes the classes and, of groups over SMALL_GROUP, one member in each region, pairs all that meet
-in a region of at most REGION, and confirms those whose signatures agree. So the number of pairs grows with the
-documents, not with the square of a group. Estimates only leave out pairs whose signatures agree in less than
-ESTIMATE of their values, more than four standard deviations below the threshold; links rest on full sets.
+order share the longest prefixes, and candidates are all that share the first DEPTH values of a tree: a region.
+
+Documents with equal shingle sets are one class from the start. Round one goes deep, where few meet: it pairs each class
+with one neighbour in each region of FIRST_DEPTHS values, keeps the best pair of each class by its signature, and confirms
+it on the full sets; what is linked becomes a group. Round two takes all regions of DEPTH values in which several groups
+meet. Up to REGION members are paired one with another; more are compared block by block on their signatures, as many
+blocks as the region needs. Rounds in which each member of a crowded region offers its OFFERS best pairs in each block go
+on until they link nothing new; then all pairs that still lie between different groups are confirmed. So the number of
+pairs follows the documents where copies hang together, and no pair of a region is left out where they don't.
+Estimates only leave out pairs whose signatures agree in less than ESTIMATE of their values, more than four standard
+deviations below the threshold; links rest on full sets.
 
 With 24 trees of 4 values a pair at the threshold of 0.75 is found with a probability of 0.9999.
 
@@ -34,9 +34,13 @@ from ._ngrams import Words, mix
 from ._shared import chunks, map_texts, materialize
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTHS, REGION, SMALL_GROUP = 24, (4, 6, 9, 14), 8, 8
-HASHES = TREES * DEPTHS[0]
-FIRST_TREES = 8
+TREES, DEPTH, REGION, SMALL_GROUP = 24, 4, 8, 8
+HASHES = TREES * DEPTH
+FIRST_TREES, FIRST_DEPTHS = 8, (6, 14)
+#: Members of a crowded region that one task compares with as many others.
+BLOCK = 1000
+#: Pairs that a member of a crowded region offers in each block and round, as the best by estimate need not be a link.
+OFFERS = 8
 ESTIMATE = 0.55
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -88,26 +92,28 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "doc_id", "text", work, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def forest(classes: DataFrame, trees: range) -> DataFrame:
-    """(id, unit, k0, ...): for each tree the hashes of the prefixes of the id's values, by depth."""
+def forest(classes: DataFrame, trees: range, depths: tuple[int, ...], *passed: str) -> DataFrame:
+    """(id, passed..., tree, k<depth>...): for each tree the hashes of the prefixes of the id's values, by depth."""
+    first = ["id", *passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(-1, HASHES).astype(_U)
-                columns: list[list[np.ndarray]] = [[] for _ in DEPTHS]
+                sig = np.frombuffer(b"".join(part.column(len(first)).to_pylist()), np.uint32).reshape(-1, HASHES).astype(_U)
+                columns: list[list[np.ndarray]] = [[] for _ in depths]
                 for t in trees:
                     key = np.full(len(sig), t + 1, _U)
-                    for k in range(DEPTHS[-1]):
-                        key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, (t * DEPTHS[0] + k) % HASHES])
-                        if k + 1 in DEPTHS:
-                            columns[DEPTHS.index(k + 1)].append(key)
+                    for k in range(depths[-1]):
+                        key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, (t * DEPTH + k) % HASHES])
+                        if k + 1 in depths:
+                            columns[depths.index(k + 1)].append(key)
                 again = pa.array(np.tile(np.arange(len(sig)), len(trees)))
+                tree = pa.array(np.repeat(np.array(trees, np.int32), len(sig)))
                 keys = [pa.array(np.concatenate(c).view(np.int64)) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(again), part.column(1).take(again), *keys], names=["id", "unit", *(f"k{d}" for d in range(len(DEPTHS)))])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(again) for k in range(len(first))), tree, *keys], names=[*first, "tree", *(f"k{d}" for d in depths)])
 
-    return classes.select("id", "unit", "signature").mapInArrow(run, "id long, unit long, " + ", ".join(f"k{d} long" for d in range(len(DEPTHS))))
+    return classes.select(*first, "signature").mapInArrow(run, ", ".join(f"{c} long" for c in first) + ", tree int, " + ", ".join(f"k{d} long" for d in depths))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,15 +151,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def first_pairs(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links of each class with its best neighbour: one in each region of the first trees, of two depths."""
-    rows = forest(classes.withColumn("unit", F.col("id")), range(FIRST_TREES))
+    rows = forest(classes, range(FIRST_TREES), FIRST_DEPTHS)
     near = None
-    for k in ("k1", "k3"):
+    for k in (f"k{d}" for d in FIRST_DEPTHS):
         region = rows.groupBy(k).agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         found = rows.select("id", k).join(region, k).where("id != b").select(F.col("id").alias("a"), "b")
         near = found if near is None else near.union(found)
@@ -162,29 +164,105 @@ def first_pairs(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return confirmed(materialize(best, "best"), docs)
 
 
-def later_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct (a, b) that meet in a region, between different units (unit: the group, or the class where its group is small)."""
-    rows = forest(classes, range(TREES))
-    out = None
-    for d in range(len(DEPTHS)):
-        key = f"k{d}"
-        # One member stands for each unit of a region.
-        members = rows.groupBy(key, "unit").agg(F.min_by("id", F.xxhash64("id", key)).alias("id"))
-        sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id", key)).alias("one")).where("n > 1")
-        sizes = materialize(sizes, f"regions-{d}")
-        small, large = sizes.where(F.col("n") <= REGION).select(key), sizes.where(F.col("n") > REGION)
-        inside = materialize(members.join(small, key, "left_semi"), f"members-{d}")
-        other = inside.select(key, F.col("id").alias("other"), F.col("unit").alias("other_unit"))
-        pairs = inside.join(other, key).where("id < other and unit != other_unit").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        crowd = large.limit(1).count() > 0
-        if crowd:
-            star = rows.join(large.select(key, "one"), key).where("id != one").select(*_ordered(F.col("id"), F.col("one")))
-            pairs = pairs.union(star)
-        out = pairs if out is None else out.union(pairs)
-        if not crowd:
-            break
-        rows = materialize(rows.join(large.select(key), key, "left_semi"), f"crowded-{d}")
-    return out.distinct()
+def meetings(classes: DataFrame) -> DataFrame:
+    """(id, component, tree, key, n): the members of each region in which different components meet, and their number."""
+    rows = forest(classes, range(TREES), (DEPTH,), "component", "unit").withColumnRenamed(f"k{DEPTH}", "key")
+    # One member stands for each unit of a region.
+    rows = rows.groupBy("key", "unit").agg(F.min_by(F.struct("id", "component", "tree"), F.xxhash64("id", "key")).alias("one")).select("one.*", "key")
+    regions = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "n")
+    return materialize(rows.join(materialize(regions, "regions"), "key").select("id", "component", "tree", "key", "n"), "meetings")
+
+
+def paired(members: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different components that meet in a region of few."""
+    here, other = members.select("key", "id", "component"), members.select("key", F.col("id").alias("other"), F.col("component").alias("root"))
+    return here.join(other, "key").where("id < other and component != root").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def compared(ids: np.ndarray, roots: np.ndarray, sig: np.ndarray, side: np.ndarray, tree: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between different components, in two blocks between them, whose signatures agree enough and which meet in
+    `tree` first; with `best`, of each member's pairs the OFFERS best ones."""
+    names, spot, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    home = spot == counts.argmax()  # these have no pair among themselves
+    rest = np.flatnonzero(~home)
+    crossing = len(np.unique(side)) > 1
+    left, right, score = [], [], []
+    for lo in range(0, len(rest), 128):
+        i = rest[lo : lo + 128]
+        agree = np.zeros((len(i), len(ids)), np.uint8)
+        for m in range(HASHES):
+            agree += sig[i, m, None] == sig[None, :, m]
+        ok = (agree >= ESTIMATE * HASHES) & (roots[i, None] != roots) & (home | (ids[i, None] < ids))
+        if crossing:
+            ok &= side[i, None] != side
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 1 << 16):
+            a, b, s = i[x[k : k + (1 << 16)]], y[k : k + (1 << 16)], agree[x[k : k + (1 << 16)], y[k : k + (1 << 16)]]
+            first = (sig[a] == sig[b]).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
+            left.append(a[first])
+            right.append(b[first])
+            score.append(s[first])
+    if not left:
+        return ids[:0], ids[:0]
+    a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+    if best:
+        order = np.argsort(-s.astype(np.int64), kind="stable")
+        # Both ends of the pairs by falling score; of each member's places in that order, the first ones.
+        ends = np.stack((a[order], b[order]), axis=1).ravel()
+        by_member = np.argsort(ends, kind="stable")
+        begin = np.searchsorted(ends[by_member], ends[by_member])
+        chosen = order[np.unique(by_member[np.arange(len(ends)) - begin < OFFERS] // 2)]
+        a, b = a[chosen], b[chosen]
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+
+
+def crowded(members: DataFrame, classes: DataFrame, best: bool) -> DataFrame | None:
+    """(a, b) of different components in regions of many whose signatures agree enough; None where none can be left.
+
+    The members of the largest component of a region have blocks of their own, which meet the other blocks only."""
+    counts = members.groupBy("key", "component").count()
+    regions = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("home"), F.max("count").alias("n_home"), F.sum("count").alias("n")).where("n > n_home")
+    alone = F.col("n") <= BLOCK
+    others = F.when(alone, 1).otherwise(F.ceil((F.col("n") - F.col("n_home")) / BLOCK)).cast("int")
+    regions = materialize(regions.select("key", F.when(~alone, F.col("home")).alias("home"), others.alias("others"), F.when(alone, 0).otherwise(F.ceil(F.col("n_home") / BLOCK)).cast("int").alias("homes")), "crowds")
+    if not regions.limit(1).count():
+        return None
+    at_home = F.coalesce(F.col("component") == F.col("home"), F.lit(False))
+    mine = F.when(at_home, F.col("others") + F.pmod(F.xxhash64("id", "key"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("id", "key"), F.col("others"))).cast("int")
+    met = F.when(at_home, F.col("others")).otherwise(F.col("others") + F.col("homes"))
+    cut = members.join(regions, "key").withColumn("mine", mine).withColumn("met", met).join(classes.select("id", "signature"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
+    dealt = cut.select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "tree", "id", "component", "signature")
+    dealt = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+
+    def work(b: pa.RecordBatch, spans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        for lo, hi in spans:
+            part = b.slice(lo, hi - lo)
+            side, ids, roots = (part.column(k).to_numpy() for k in (3, 5, 6))
+            sig = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)
+            one, two = compared(ids, roots, sig, side, part.column(4)[0].as_py(), best)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()
+            if not whole:
+                continue
+            task = np.stack([whole[0].column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1).tolist()]
+            yield from work(whole[0], list(zip(edges[:-1], edges[1:], strict=True)))
+            held = [whole[0].slice(edges[-1])]
+        if held:
+            yield from work(held[0], [(0, held[0].num_rows)])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the components that the links (a, b) make now."""
+    now = components(links).toDF("id", "now")
+    return members.join(now, "id", "left").select("id", F.coalesce("now", "id").alias("component"), "tree", "key")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -198,10 +276,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     sizes = groups.groupBy("component").count()
     grouped = groups.join(sizes, "component").select(F.col("node").alias("id"), F.when(F.col("count") > SMALL_GROUP, F.col("component")).alias("group"), "component")
     second = materialize(classes.join(grouped, "id", "left").select("id", "signature", F.coalesce("group", "id").alias("unit"), F.coalesce("component", "id").alias("component"), *whole), "units")
-    pairs = estimated(materialize(later_pairs(second), "pairs"), second).select("a", "b")
-    at = second.select("id", "component")
-    open_ = pairs.join(at.toDF("a", "root_a"), "a").join(at.toDF("b", "root_b"), "b").where("root_a != root_b").select("a", "b")
-    links = links.union(materialize(confirmed(materialize(open_, "open"), docs), "links-2"))
+    met = meetings(second)
+    pairs = estimated(materialize(paired(met.where(F.col("n") <= REGION)), "pairs"), second).select("a", "b")
+    many = met.where(F.col("n") > REGION).drop("n")
+    if (more := crowded(many, second, True)) is not None:
+        pairs = pairs.union(more).distinct()
+    links = links.union(materialize(confirmed(materialize(pairs, "open"), docs), "links-2"))
+    settled = more is None
+    while not settled and (more := crowded(relabelled(many, links), second, True)) is not None:
+        found = materialize(confirmed(materialize(more, "open"), docs), "links-3")
+        settled = not found.limit(1).count()
+        links = links.union(found)
+    if more is not None and (more := crowded(relabelled(many, links), second, False)) is not None:
+        links = links.union(materialize(confirmed(materialize(more, "open"), docs), "links-4"))
     found = components(links).toDF("id", "component")
     by_set = materialize(second.drop("component").join(found, "id", "left").select(*whole, F.coalesce("component", "id").alias("component")), "by-set")
     out = signed.drop("signature").join(by_set, whole, "left")

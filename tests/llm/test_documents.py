@@ -166,6 +166,28 @@ def test_minhash_equals_all_pairs(spark):
     assert minhash_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def edited_copies(seed, n, original):
+    """Texts of which all but `original` are copies of it at 0.79; the copies are at 0.62 among themselves."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{x}" for x in range(300)]
+    texts = []
+    for i in range(n):
+        w = list(words)
+        if i != original:
+            for k in 10 + 40 * np.arange(7) + rng.integers(0, 30, 7):
+                w[k] = f"edit{i}x{k}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts]
+    near = [len(sets[original] & s) / len(sets[original] | s) for s in sets]
+    assert min(near) >= 0.75 and all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.75 for i in range(n - 1) if original not in (i, i + 1))
+    return texts
+
+
+def test_minhash_compares_all_of_a_crowded_region(spark):
+    got = minhash_dedup.dedup(frame(spark, edited_copies(2, 1001, 500))).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(100, 101)], "a long, b long").repartition(7)
     assert {r.component for r in components(chain).collect()} == {10, 100}

@@ -6,7 +6,7 @@ order share the longest prefixes, and candidates are all that share the first DE
 Documents with equal shingle sets are one class from the start. Round one goes deep, where few meet: it pairs each class
 with one neighbour in each region of FIRST_DEPTHS values, keeps the best pair of each class by its signature, and confirms
 it on the full sets; what is linked becomes a group. Round two takes all regions of DEPTH values in which several groups
-meet. Up to REGION members are paired one with another; more are compared block by block on their signatures, as many
+meet, with every member of each group. Up to REGION members are paired one with another; more are compared block by block on their signatures, as many
 blocks as the region needs. Rounds in which each member of a crowded region offers its OFFERS best pairs in each block go
 on until they link nothing new; then all pairs that still lie between different groups are confirmed. So the number of
 pairs follows the documents where copies hang together, and no pair of a region is left out where they don't.
@@ -34,7 +34,7 @@ from ._ngrams import Words, mix
 from ._shared import chunks, map_texts, materialize
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, REGION, SMALL_GROUP = 24, 4, 8, 8
+TREES, DEPTH, REGION = 24, 4, 8
 HASHES = TREES * DEPTH
 FIRST_TREES, FIRST_DEPTHS = 8, (6, 14)
 #: Members of a crowded region that one task compares with as many others.
@@ -166,9 +166,7 @@ def first_pairs(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def meetings(classes: DataFrame) -> DataFrame:
     """(id, component, tree, key, n): the members of each region in which different components meet, and their number."""
-    rows = forest(classes, range(TREES), (DEPTH,), "component", "unit").withColumnRenamed(f"k{DEPTH}", "key")
-    # One member stands for each unit of a region.
-    rows = rows.groupBy("key", "unit").agg(F.min_by(F.struct("id", "component", "tree"), F.xxhash64("id", "key")).alias("one")).select("one.*", "key")
+    rows = forest(classes, range(TREES), (DEPTH,), "component").withColumnRenamed(f"k{DEPTH}", "key")
     regions = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "n")
     return materialize(rows.join(materialize(regions, "regions"), "key").select("id", "component", "tree", "key", "n"), "meetings")
 
@@ -272,10 +270,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     linkable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(linkable.groupBy(*whole).agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature")), "classes")
     links = materialize(first_pairs(classes, docs), "links-1")
-    groups = components(links)
-    sizes = groups.groupBy("component").count()
-    grouped = groups.join(sizes, "component").select(F.col("node").alias("id"), F.when(F.col("count") > SMALL_GROUP, F.col("component")).alias("group"), "component")
-    second = materialize(classes.join(grouped, "id", "left").select("id", "signature", F.coalesce("group", "id").alias("unit"), F.coalesce("component", "id").alias("component"), *whole), "units")
+    groups = components(links).withColumnRenamed("node", "id")
+    second = materialize(classes.join(groups, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component"), *whole), "units")
     met = meetings(second)
     pairs = estimated(materialize(paired(met.where(F.col("n") <= REGION)), "pairs"), second).select("a", "b")
     many = met.where(F.col("n") > REGION).drop("n")

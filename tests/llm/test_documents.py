@@ -188,6 +188,11 @@ def test_minhash_compares_all_of_a_crowded_region(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_minhash_all_members_of_a_group_meet_others(spark):
+    got = minhash_dedup.dedup(frame(spark, edited_copies(3, 1001, 0))).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(100, 101)], "a long, b long").repartition(7)
     assert {r.component for r in components(chain).collect()} == {10, 100}

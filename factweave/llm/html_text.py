@@ -4,7 +4,8 @@ Pages are sorted by host and URL path in slices; each is paired with the one nex
 shares the longer prefix. The text lines of both are aligned by longest common subsequence and the shared ones deleted:
 they belong to the site, not to the page. Two limits keep that right. Lines inside an <article> or <main> are the
 page's own whatever its neighbour says, for copies of one article stand side by side on real sites and would delete
-each other. And where shared lines make up most of both pages, the pages are copies and nothing is deleted.
+each other. And where a page without these elements shares most lines with its neighbour, the two are copies and nothing
+is deleted. Lines outside the elements that the neighbour does not share are kept.
 
 What the markup itself names as menu, header, footer, sidebar, notice, advert, form, script, style or reader comments
 is left out before.
@@ -138,12 +139,12 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
 def difference(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> tuple[str, int]:
     """The page's text, and how many lines went because its neighbour has them too."""
     shared: set[int] = set()
-    if other and not any(main for _, main in own):
-        shared = set(common_lines([t for t, _ in own], [t for t, _ in other]))
-        if len(shared) >= COPY_SHARE * max(len(own), len(other)):
-            shared = set()
-    has_main = any(main for _, main in own)
-    return "\n\n".join(t for k, (t, main) in enumerate(own) if (main or not has_main) and k not in shared), len(shared)
+    if other:
+        common = common_lines([t for t, _ in own], [t for t, _ in other])
+        # Lines of the main text stay; without any, copies of a page delete nothing.
+        if any(main for _, main in own) or len(common) < COPY_SHARE * max(len(own), len(other)):
+            shared = {k for k in common if not own[k][1]}
+    return "\n\n".join(t for k, (t, _) in enumerate(own) if k not in shared), len(shared)
 
 
 def _prefix(a: str, b: str) -> int:

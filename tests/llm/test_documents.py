@@ -249,3 +249,9 @@ def test_html(spark):
     own = [("Menu", False), ("My own line", False), ("Foot", False)]
     assert html_text.difference(own, [("Menu", False), ("Other", False), ("More", False), ("Even more", False), ("Foot", False)]) == ("My own line", 2)
     assert html_text.difference(own, list(own))[0] == "Menu\n\nMy own line\n\nFoot"  # copies delete nothing
+
+
+def test_html_keeps_unshared_lines_outside_the_main_text():
+    own = [("Menu", False), ("Own lead", False), ("Teaser", True), ("Foot", False)]
+    other = [("Menu", False), ("Their lead", False), ("Teaser", True), ("Foot", False)]
+    assert html_text.difference(own, other) == ("Own lead\n\nTeaser", 2)

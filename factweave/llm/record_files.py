@@ -98,7 +98,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # what looks like a special token in a text is text
+        #: Tokens that the library takes out of a text before its pattern cuts it.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = Tokenizer.from_file(path).model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # words are kept here
@@ -110,6 +111,16 @@ class Encoder:
         self.said = [n.to_bytes(self.width, "little") for n in range(self.library.get_vocab_size())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; those that hold an added token go to the library whole."""
+        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.added)]
+        if whole:
+            apart = set(whole)
+            rest = iter(self._by_words([t for k, t in enumerate(texts) if k not in apart]))
+            alone = iter(self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False))
+            return [np.array(next(alone).ids, f"<u{self.width}") if k in apart else next(rest) for k in range(len(texts))]
+        return self._by_words(texts)
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") for t in texts]
         distinct = set().union(*split) if split else set()
         # A piece that is empty or has white space at an end may not be cut off so simply.

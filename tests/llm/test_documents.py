@@ -255,3 +255,14 @@ def test_html_keeps_unshared_lines_outside_the_main_text():
     own = [("Menu", False), ("Own lead", False), ("Teaser", True), ("Foot", False)]
     other = [("Menu", False), ("Their lead", False), ("Teaser", True), ("Foot", False)]
     assert html_text.difference(own, other) == ("Own lead\n\nTeaser", 2)
+
+
+def test_record_files_take_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> there", "plain words here", "x<|endoftext|>", *(t or "" for t in EDGES)]
+    got = [x.tolist() for x in record_files.Encoder(path).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[0]

@@ -39,6 +39,8 @@ ANY_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: First bytes of an OpenSSH key container.
 SSH_MAGIC = b"openssh-key-v1\0"
+#: How the first bytes of a key look in base64: 0x30 of DER, or those of SSH_MAGIC.
+KEY_BEGINS = re.compile("M[A-P]|b3Bl")
 #: Object identifiers of key algorithms, in DER (RSA, EC, X25519, Ed25519, DSA).
 KEY_ALGORITHMS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b656e"), bytes.fromhex("2b6570"), bytes.fromhex("2a8648ce380401"))
 
@@ -121,6 +123,41 @@ def is_token(header: str, payload: str) -> bool:
     return isinstance(parsed, dict) and isinstance(parsed.get("alg"), str)
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the element that begins with `head`."""
+    if len(head) < 6 or not head[1] & 0x80:
+        return 2 + head[1] if len(head) > 1 else None
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def armoured(run: str, start: int) -> list[tuple[int, int, int]]:
+    """Keys in lines of base64: a line of words may stand before and after a key, which begins and ends with a line."""
+    out, lines, i = [], run.split("\n"), 0
+    at, chars = [start], [0]
+    for line in lines:
+        at.append(at[-1] + len(line) + 1)
+        chars.append(chars[-1] + len(line.rstrip("\r=")))
+    while i < len(lines):
+        begin, i = i, i + 1
+        if not KEY_BEGINS.match("".join(x.rstrip("\r") for x in lines[begin : begin + 4])):
+            continue
+        body = "".join(x.rstrip("\r=") for x in lines[begin : begin + 8])[:8]
+        size = der_size(decode64(body) or b"") if body[0] == "M" else None
+        for n in range(len(lines), begin, -1):
+            c = chars[n] - chars[begin]
+            if c % 4 == 1 or (body[0] == "M" and c * 3 // 4 != size):
+                continue
+            key = "\n".join(lines[begin:n]).rstrip("\r")
+            data = decode64(key)
+            kind = 4 if data and is_ssh_key(data) else 3 if data and is_der_key(data) else None
+            if kind:
+                out.append((at[begin], kind, at[begin] + len(key)))
+                i = n
+                break
+    return out
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """All spans as (start, kind's place in KINDS, end), sorted."""
     if not text:
@@ -134,17 +171,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     if LONG_HEX.search(text):
         out += [(m.start(), 3, m.end()) for m in ANY_HEX.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
     for m in ANY_BASE64.finditer(text):
-        # An armoured key ends at a line end; a neighbouring line of words may follow it.
-        lines = m[0].split("\n")
-        for n in range(len(lines), 0, -1):
-            run = "\n".join(lines[:n]).rstrip("\r")
-            data = decode64(run)
-            kind = 4 if data and is_ssh_key(data) else 3 if data and is_der_key(data) else None
-            if kind:
-                out.append((m.start(), kind, m.start() + len(run)))
-                break
-            if not (data or b"").startswith((b"\x30", SSH_MAGIC[:3])):
-                break
+        out += armoured(m[0], m.start())
     if "." in text and "ey" in text:
         out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("ey") and is_token(m[1], m[2])]
     return sorted(set(out))

@@ -266,3 +266,20 @@ def test_record_files_take_added_tokens_as_the_library_does():
     got = [x.tolist() for x in record_files.Encoder(path).encode(texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert 50256 in got[0]
+
+
+def test_secrets_between_lines_of_words():
+    import base64
+
+    n = lambda body, tag=2: bytes([tag, len(body)]) + body
+    key = n(b"".join([n(b"\0"), *(n(bytes([k + 1] * 9)) for k in range(8))]), 0x30)
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secret_scan.SSH_MAGIC + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + b"\7" * 40
+    for kind, data in (("der_key", key), ("ssh_key", ssh)):
+        raw = base64.b64encode(data).decode().rstrip("=")
+        for end in ("\n", "\r\n"):
+            body = end.join(raw[k : k + 64] for k in range(0, len(raw), 64))
+            after = "Hello" if len(raw) % 4 == 0 else "Hi" if len(raw) % 4 == 3 else "abc"
+            for text in (body + end + after, "x" * 30 + end + body, "x" * 30 + end + body + end + after):
+                a = text.index(raw[:20])
+                assert secret_scan.say(secret_scan.find(text)) == f"{kind}:{a}:{a + len(body)}", (kind, text)

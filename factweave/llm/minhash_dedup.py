@@ -1,19 +1,22 @@
 """MinHash near-duplicates by an LSH forest.
 
-Each tree orders the documents by a sequence of MinHash values of its own. Documents next to each other in such an
-order share the longest prefixes, and candidates are all that share the first DEPTH values of a tree: a region.
+Each tree orders the documents by a sequence of MinHash values: the tree's own DEPTH values first, then further ones in an
+order of its own. The orders are sorted over all partitions; documents that share their first DEPTH values in a tree are
+a region, a run of that order, and within a region the neighbours with the longest common prefix stand side by side.
 
-Documents with equal shingle sets are one class from the start. Round one goes deep, where few meet: it pairs each class
-with one neighbour in each region of FIRST_DEPTHS values, keeps the best pair of each class by its signature, and confirms
-it on the full sets; what is linked becomes a group. Round two takes all regions of DEPTH values in which several groups
-meet, with every member of each group. Up to REGION members are paired one with another; more are compared block by block on their signatures, as many
-blocks as the region needs. Rounds in which each member of a crowded region offers its OFFERS best pairs in each block go
-on until they link nothing new; then all pairs that still lie between different groups are confirmed. So the number of
-pairs follows the documents where copies hang together, and no pair of a region is left out where they don't.
-Estimates only leave out pairs whose signatures agree in less than ESTIMATE of their values, more than four standard
-deviations below the threshold; links rest on full sets.
+Documents with equal shingle sets are one class from the start. Round one confirms, for each class, the neighbours with
+the longest common prefixes, those that meet in two trees or share LONG values: in a group of copies each has several,
+so nearly all of a group hang together after it. Round two takes all regions in which different groups still meet, and
+compares every member with every member of another group. A region of over BLOCK members is compared block by block.
 
-With 24 trees of 4 values a pair at the threshold of 0.75 is found with a probability of 0.9999.
+Depth adapts to the region: one of over DEEP members is cut by further values into deeper regions, by SPLITS sets of
+values, so that a pair is not lost because one value differs; what is still too large is cut again, as long as there are
+values, and is compared block by block after that. So the work follows the members, not their square, where many
+documents share a passage. Signatures only leave out pairs that agree in less than ESTIMATE of their values, more than
+four standard deviations below the threshold; every link rests on full sets.
+
+With 24 trees of 4 values a pair at the threshold of 0.75 meets with a probability of 0.9999; where all its regions are
+deep ones, of 0.9996.
 
 Defined results: words are runs of characters other than space and tab to carriage return, in lower-case A-Z; fewer
 than five words are one shingle; null and empty texts have no shingle and no link; a null doc_id has no link and is
@@ -22,7 +25,7 @@ kept; rows that share a doc_id share its component; texts are taken whole; an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +37,24 @@ from ._ngrams import Words, mix
 from ._shared import chunks, map_texts, materialize
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, REGION = 24, 4, 8
+TREES, DEPTH = 24, 4
 HASHES = TREES * DEPTH
-FIRST_TREES, FIRST_DEPTHS = 8, (6, 14)
-#: Members of a crowded region that one task compares with as many others.
-BLOCK = 1000
-#: Pairs that a member of a crowded region offers in each block and round, as the best by estimate need not be a link.
-OFFERS = 8
+#: Values that order a region, one byte of each.
+FURTHER = 8
+#: Round one: neighbours of each class, and the common prefix that makes one without a second tree.
+NEIGHBOURS, LONG = 3, 7
+#: Members of a region, and words in their sets, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 19
+#: Members from which a region is cut by further values, the sets of values, and how often at most.
+DEEP, SPLITS, LEVELS = 8000, 6, 20
 ESTIMATE = 0.55
+#: Long texts of one batch that are hashed at once, in code points.
+TOGETHER = 1 << 20
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_STEP = _U(0x9E3779B97F4A7C15)
+#: The tree of a region is in the last bits of its key.
+_TREE = _U(31)
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,175 +103,278 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "doc_id", "text", work, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def forest(classes: DataFrame, trees: range, depths: tuple[int, ...], *passed: str) -> DataFrame:
-    """(id, passed..., tree, k<depth>...): for each tree the hashes of the prefixes of the id's values, by depth."""
-    first = ["id", *passed]
+def _values(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def further_values(tree: int, level: int) -> np.ndarray:
+    """Places of values other than the tree's own, in an order that hangs on the tree and the level."""
+    rest = np.delete(np.arange(HASHES), np.arange(tree * DEPTH, tree * DEPTH + DEPTH))
+    return np.random.default_rng([tree, level]).permutation(rest)
+
+
+def forest(classes: DataFrame) -> DataFrame:
+    """(key, further, id): the place of each class in the order of each tree. `key` stands for the first DEPTH values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                sig = np.frombuffer(b"".join(part.column(len(first)).to_pylist()), np.uint32).reshape(-1, HASHES).astype(_U)
-                columns: list[list[np.ndarray]] = [[] for _ in depths]
-                for t in trees:
-                    key = np.full(len(sig), t + 1, _U)
-                    for k in range(depths[-1]):
-                        key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, (t * DEPTH + k) % HASHES])
-                        if k + 1 in depths:
-                            columns[depths.index(k + 1)].append(key)
-                again = pa.array(np.tile(np.arange(len(sig)), len(trees)))
-                tree = pa.array(np.repeat(np.array(trees, np.int32), len(sig)))
-                keys = [pa.array(np.concatenate(c).view(np.int64)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(again) for k in range(len(first))), tree, *keys], names=[*first, "tree", *(f"k{d}" for d in depths)])
-
-    return classes.select(*first, "signature").mapInArrow(run, ", ".join(f"{c} long" for c in first) + ", tree int, " + ", ".join(f"k{d} long" for d in depths))
-
-
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, agree): pairs whose signatures agree enough, with the share of equal values."""
-    sig = classes.select("id", "signature")
-    joined = pairs.join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sig_b")), "b")
+                ids, sig = b.column(0).slice(lo, 2000), _values(b.column(1).slice(lo, 2000)).astype(_U)
+                keys, rest = [], []
+                for t in range(TREES):
+                    key, low = np.full(len(sig), t + 1, _U), np.zeros(len(sig), _U)
+                    for k in range(t * DEPTH, t * DEPTH + DEPTH):
+                        key = mix(key * _STEP + sig[:, k])
+                    for k in further_values(t, 0)[:FURTHER]:
+                        low = low << _U(8) | sig[:, k] & _U(255)
+                    keys.append(key & ~_TREE | _U(t))
+                    rest.append(low)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).view(np.int64)) for c in (keys, rest)), pa.concat_arrays([ids] * TREES)], names=["key", "further", "id"])
+
+    return classes.select("id", "signature").mapInArrow(run, "key long, further long, id long")
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bytes that are equal."""
+    differ = a ^ b
+    return np.sum([differ < _U(1) << _U(s) for s in range(0, 64, 8)], axis=0)
+
+
+def neighbours(order: DataFrame) -> DataFrame:
+    """(key, id, near, prefix) of the members of regions: `near` shares the longest prefix, of that many values.
+
+    The rows are those of one sorted partition. Its first and last row are named even if alone, without a `near`: the
+    rest of their region may be in the next partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        key, further, ids = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+        left = np.zeros(0, np.int64)  # common prefix of each row that is held with the one before it
+        before = np.zeros(0, np.int64)
+
+        def out(right: np.ndarray, after: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
+            """Of the rows held, with the prefixes they share with the next ones."""
+            n = len(right)
+            best = np.maximum(left[:n], right)
+            near = np.where(left[:n] >= right, before[:n], after)
+            take = best > 0
+            if edge:
+                take[-1] = True
+            if not begun and n:
+                take[0] = True
+            if take.any():
+                alone = best[take] == 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[:n][take]), pa.array(ids[:n][take]), pa.array(near[take], mask=alone), pa.array(best[take].astype(np.int32), mask=alone)], names=["key", "id", "near", "prefix"])
+
         for b in batches:
-            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3))
-            agree = (one == two).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(agree)], names=["a", "b", "agree"]).filter(pa.array(agree >= ESTIMATE))
+            if not b.num_rows:
+                continue
+            k, f, i = b.column(0).to_numpy(), b.column(1).to_numpy().view(_U), b.column(2).to_numpy()
+            last = len(key)
+            key, further, ids = np.concatenate((key, k)), np.concatenate((further, f)), np.concatenate((ids, i))
+            shared = np.where(key[1:] == key[:-1], DEPTH + common_prefix(further[1:], further[:-1]), 0)
+            new_left = np.concatenate(([0], shared))
+            left = np.concatenate((left, new_left[last:]))
+            before = np.concatenate((before, np.concatenate((ids[:1], ids[:-1]))[last:]))
+            yield from out(shared, ids[1:], False)
+            begun = begun or len(key) > 1
+            key, further, ids, left, before = key[-1:], further[-1:], ids[-1:], left[-1:], before[-1:]
+        if len(key):
+            yield from out(np.zeros(1, np.int64), ids, True)
+
+    return order.mapInArrow(run, "key long, id long, near long, prefix int")
+
+
+def met(classes: DataFrame) -> DataFrame:
+    """The regions of all trees, from their sorted orders."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(neighbours(forest(classes).repartitionByRange(parts, "key", "further", "id").sortWithinPartitions("key", "further", "id")), "regions")
 
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, agree double")
 
+def _by_tile(sorted_rows: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`work` gets all rows of a tile, the first column; the rows come sorted by it."""
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose full shingle sets are similar enough."""
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tile = b.column(0).to_numpy()
+            edges = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+            if held and held[-1].column(0)[0].as_py() != tile[0]:
+                yield from whole(held)
+                held = []
+            for lo, hi in zip([0, *edges[:-1]], edges, strict=False):
+                yield from whole([*held, b.slice(lo, hi - lo)])
+                held = []
+            held.append(b.slice(edges[-1] if len(edges) else 0))
+        if held:
+            yield from whole(held)
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(parts[0] if len(parts) == 1 else pa.concat_batches(parts))
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (tile, a, b) whose full shingle sets are similar enough.
+
+    A tile's documents meet in one task, each once, however many pairs of the tile it is in."""
+    members = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    brought = members.join(texts, "doc_id").select("tile", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = brought.unionAll(pairs.select("tile", "a", "b", F.lit(None).cast("string").alias("text"))).repartition("tile").sortWithinPartitions("tile")
+
+    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b = rows.column(1).to_numpy(), rows.column(2)
+        is_text = b.is_null().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(is_text)
+        ids, texts = a[at], rows.column(3).take(pa.array(at)).to_pylist()
+        one, two = a[~is_text], b.filter(pa.array(~is_text)).to_numpy()
+        sets: list[np.ndarray] = []
+        for lo, hi in chunks(texts, TOGETHER):
+            hashes, starts = shingle_sets(texts[lo:hi])
+            sets += [hashes[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
+        spots: dict[int, list[int]] = {}
+        for k, d in enumerate(ids.tolist()):
+            spots.setdefault(d, []).append(k)
+        left, right = [], []
+        partners: dict[int, list[int]] = {}
+        for x, y in zip(one.tolist(), two.tolist(), strict=True):
+            partners.setdefault(x, []).append(y)
+        for x, others in partners.items():
+            for k in spots.get(x, ()):
+                open_ = [(y, m) for y in others for m in spots.get(y, ())]
+                own = sets[k]
+                for lo in range(0, len(open_), 500):
+                    some = open_[lo : lo + 500]
+                    sizes = np.array([len(sets[m]) for _, m in some])
+                    fits = np.flatnonzero((sizes > 0) & (len(own) > 0) & (100 * np.minimum(sizes, len(own)) >= PERCENT * np.maximum(sizes, len(own))))
+                    if not len(fits):
+                        continue
+                    there = np.concatenate([sets[some[j][1]] for j in fits])
+                    spot = np.minimum(np.searchsorted(own, there), len(own) - 1)
+                    n = sizes[fits]
+                    both = np.add.reduceat((own[spot] == there).astype(np.int64), np.cumsum(n) - n)
+                    for j in fits[100 * both >= PERCENT * (len(own) + n - both)]:
+                        left.append(x)
+                        right.append(some[j][0])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return _by_tile(rows, work, "a long, b long")
+
+
+def first_pairs(regions: DataFrame) -> DataFrame:
+    """(tile, a, b): each class with the neighbours that share the longest prefixes with it."""
+    seen = regions.where("near is not null and near <> id").groupBy("id", "near").agg(F.max("prefix").alias("prefix"), F.count(F.lit(1)).alias("trees"))
+    good = seen.where((F.col("trees") > 1) | (F.col("prefix") >= LONG))
+    # At most two neighbours a tree, so each list is short.
+    best = F.slice(F.sort_array(F.collect_list(F.struct(F.col("trees") + F.col("prefix"), F.xxhash64("id", "near"), "near")), asc=False), 1, NEIGHBOURS)
+    pairs = good.groupBy("id").agg(best.alias("best"), F.least("id", F.min("near")).alias("tile")).select("tile", "id", F.explode("best.near").alias("near"))
+    return pairs.groupBy(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).agg(F.min("tile").alias("tile")).select("tile", "a", "b")
+
+
+def deeper(members: DataFrame, units: DataFrame, level: int) -> DataFrame:
+    """The members (key, id, component) of too large regions, each in SPLITS regions that share DEPTH values more."""
+    rows = members.join(units.select("id", "signature"), "id").select("key", "id", "component", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sure = np.zeros(batch.num_rows, bool)
-            for lo, hi in chunks([x + y for x, y in zip(one, two, strict=True)]):
-                hashes, starts = shingle_sets(one[lo:hi] + two[lo:hi])
-                n = hi - lo
-                for k in range(n):
-                    x, y = hashes[starts[k] : starts[k + 1]], hashes[starts[n + k] : starts[n + k + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    sure[lo + k] = len(x) > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(sure))
-
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def first_pairs(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links of each class with its best neighbour: one in each region of the first trees, of two depths."""
-    rows = forest(classes, range(FIRST_TREES), FIRST_DEPTHS)
-    near = None
-    for k in (f"k{d}" for d in FIRST_DEPTHS):
-        region = rows.groupBy(k).agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = rows.select("id", k).join(region, k).where("id != b").select(F.col("id").alias("a"), "b")
-        near = found if near is None else near.union(found)
-    good = estimated(materialize(near.distinct(), "near"), classes)
-    best = good.groupBy("a").agg(F.max_by("b", F.struct("agree", F.xxhash64("a", "b"))).alias("b"))
-    return confirmed(materialize(best, "best"), docs)
-
-
-def meetings(classes: DataFrame) -> DataFrame:
-    """(id, component, tree, key, n): the members of each region in which different components meet, and their number."""
-    rows = forest(classes, range(TREES), (DEPTH,), "component").withColumnRenamed(f"k{DEPTH}", "key")
-    regions = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key", "n")
-    return materialize(rows.join(materialize(regions, "regions"), "key").select("id", "component", "tree", "key", "n"), "meetings")
-
-
-def paired(members: DataFrame) -> DataFrame:
-    """Distinct (a, b) of different components that meet in a region of few."""
-    here, other = members.select("key", "id", "component"), members.select("key", F.col("id").alias("other"), F.col("component").alias("root"))
-    return here.join(other, "key").where("id < other and component != root").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-
-
-def compared(ids: np.ndarray, roots: np.ndarray, sig: np.ndarray, side: np.ndarray, tree: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs between different components, in two blocks between them, whose signatures agree enough and which meet in
-    `tree` first; with `best`, of each member's pairs the OFFERS best ones."""
+        for b in batches:
+            key, sig = b.column(0).to_numpy().view(_U), _values(b.column(3)).astype(_U)
+            tree = (key & _TREE).astype(np.int64)
+            for split in range(SPLITS):
+                new = mix(key * _STEP + _U(split + 1))
+                for t in np.unique(tree):
+                    own = np.flatnonzero(tree == t)
+                    for place in further_values(int(t), level * SPLITS + split + 1)[:DEPTH]:
+                        new[own] = mix(new[own] * _STEP + sig[own, place])
+                yield pa.RecordBatch.from_arrays([pa.array((new & ~_TREE | key & _TREE).view(np.int64)), b.column(1), b.column(2)], names=["key", "id", "component"])
+
+    return rows.mapInArrow(run, "key long, id long, component long")
+
+
+def open_regions(regions: DataFrame, units: DataFrame) -> DataFrame:
+    """(key, id, component, n_shingles) of the members of regions in which different groups meet, none of them too large to compare
+    if values could cut it."""
+    rows = regions.select("key", "id").join(units.select("id", "component", "n_shingles"), "id")
+    done, level = [], 0
+    rows = materialize(rows.select("key", "id", "component"), "members")
+    while True:
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        large = materialize(counts.where(F.col("n") > DEEP).select("key"), "large") if level < LEVELS else None
+        stay = counts.where(F.col("n") <= DEEP) if large is not None else counts
+        done.append(rows.join(stay.select("key"), "key"))
+        if large is None or not large.limit(1).count():
+            break
+        rows = materialize(deeper(rows.join(large, "key"), units, level), "deeper")
+        level += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sig: np.ndarray, side: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between different groups, in two blocks between them, whose signatures agree enough and which meet in `tree` first."""
     names, spot, counts = np.unique(roots, return_inverse=True, return_counts=True)
     home = spot == counts.argmax()  # these have no pair among themselves
     rest = np.flatnonzero(~home)
-    crossing = len(np.unique(side)) > 1
-    left, right, score = [], [], []
+    crossing = side[0] != side[-1] or len(np.unique(side)) > 1
+    left, right = [], []
     for lo in range(0, len(rest), 128):
         i = rest[lo : lo + 128]
         agree = np.zeros((len(i), len(ids)), np.uint8)
         for m in range(HASHES):
             agree += sig[i, m, None] == sig[None, :, m]
         ok = (agree >= ESTIMATE * HASHES) & (roots[i, None] != roots) & (home | (ids[i, None] < ids))
+        ok &= 100 * np.minimum(sizes[i, None], sizes) >= PERCENT * np.maximum(sizes[i, None], sizes)
         if crossing:
             ok &= side[i, None] != side
         x, y = np.nonzero(ok)
         for k in range(0, len(x), 1 << 16):
-            a, b, s = i[x[k : k + (1 << 16)]], y[k : k + (1 << 16)], agree[x[k : k + (1 << 16)], y[k : k + (1 << 16)]]
+            a, b = i[x[k : k + (1 << 16)]], y[k : k + (1 << 16)]
             first = (sig[a] == sig[b]).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
-            left.append(a[first])
-            right.append(b[first])
-            score.append(s[first])
+            left.append(ids[a[first]])
+            right.append(ids[b[first]])
     if not left:
         return ids[:0], ids[:0]
-    a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-    if best:
-        order = np.argsort(-s.astype(np.int64), kind="stable")
-        # Both ends of the pairs by falling score; of each member's places in that order, the first ones.
-        ends = np.stack((a[order], b[order]), axis=1).ravel()
-        by_member = np.argsort(ends, kind="stable")
-        begin = np.searchsorted(ends[by_member], ends[by_member])
-        chosen = order[np.unique(by_member[np.arange(len(ends)) - begin < OFFERS] // 2)]
-        a, b = a[chosen], b[chosen]
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-
-
-def crowded(members: DataFrame, classes: DataFrame, best: bool) -> DataFrame | None:
-    """(a, b) of different components in regions of many whose signatures agree enough; None where none can be left.
-
-    The members of the largest component of a region have blocks of their own, which meet the other blocks only."""
-    counts = members.groupBy("key", "component").count()
-    regions = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("home"), F.max("count").alias("n_home"), F.sum("count").alias("n")).where("n > n_home")
-    alone = F.col("n") <= BLOCK
-    others = F.when(alone, 1).otherwise(F.ceil((F.col("n") - F.col("n_home")) / BLOCK)).cast("int")
-    regions = materialize(regions.select("key", F.when(~alone, F.col("home")).alias("home"), others.alias("others"), F.when(alone, 0).otherwise(F.ceil(F.col("n_home") / BLOCK)).cast("int").alias("homes")), "crowds")
-    if not regions.limit(1).count():
-        return None
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def second_pairs(members: DataFrame, units: DataFrame) -> DataFrame:
+    """(tile, a, b) of different groups that meet in a region and whose signatures agree enough.
+
+    The members of the largest group of a region have blocks of their own, which meet the other blocks only."""
+    members = materialize(members.join(units.select("id", "n_shingles"), "id"), "open")
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n_shingles").alias("size"))
+    regions = counts.groupBy("key").agg(F.max_by(F.struct("component", "count", "size"), F.struct("count", "component")).alias("home"), F.sum("count").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    alone = (F.col("n") <= BLOCK) & (F.col("size") <= BLOCK_SHINGLES)
+    others = F.when(alone, 1).otherwise(blocks(F.col("n") - F.col("home.count"), F.col("size") - F.col("home.size")))
+    homes = F.when(alone, 0).otherwise(blocks(F.col("home.count"), F.col("home.size")))
+    regions = regions.select("key", F.when(~alone, F.col("home.component")).alias("home"), others.alias("others"), homes.alias("homes"))
     at_home = F.coalesce(F.col("component") == F.col("home"), F.lit(False))
     mine = F.when(at_home, F.col("others") + F.pmod(F.xxhash64("id", "key"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("id", "key"), F.col("others"))).cast("int")
     met = F.when(at_home, F.col("others")).otherwise(F.col("others") + F.col("homes"))
-    cut = members.join(regions, "key").withColumn("mine", mine).withColumn("met", met).join(classes.select("id", "signature"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
-    dealt = cut.select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "tree", "id", "component", "signature")
-    dealt = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-
-    def work(b: pa.RecordBatch, spans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        for lo, hi in spans:
-            part = b.slice(lo, hi - lo)
-            side, ids, roots = (part.column(k).to_numpy() for k in (3, 5, 6))
-            sig = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)
-            one, two = compared(ids, roots, sig, side, part.column(4)[0].as_py(), best)
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()
-            if not whole:
-                continue
-            task = np.stack([whole[0].column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
-            edges = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1).tolist()]
-            yield from work(whole[0], list(zip(edges[:-1], edges[1:], strict=True)))
-            held = [whole[0].slice(edges[-1])]
-        if held:
-            yield from work(held[0], [(0, held[0].num_rows)])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    cut = members.join(regions, "key").withColumn("mine", mine).withColumn("met", met).join(units.select("id", "signature"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
+    one, two = F.least("mine", "other"), F.greatest("mine", "other")
+    tile = F.when(F.col("others") + F.col("homes") == 1, F.col("key")).otherwise(F.xxhash64("key", one, two))
+    dealt = cut.select(tile.alias("tile"), "key", "mine", "id", "component", "n_shingles", "signature").repartition("tile").sortWithinPartitions("tile", "key")
 
+    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, side, ids, roots, sizes = (rows.column(k).to_numpy() for k in range(1, 6))
+        if key[0] != key[-1]:  # two tiles of one name
+            cut = int(np.searchsorted(key, key[0], side="right"))
+            yield from work(rows.slice(0, cut))
+            yield from work(rows.slice(cut))
+            return
+        a, b = compared(ids, roots, sizes, _values(rows.column(6)), side, int(key[0].view(_U) & _TREE))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows.column(0)[0].as_py())), pa.array(a), pa.array(b)], names=["tile", "a", "b"])
 
-def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with the components that the links (a, b) make now."""
-    now = components(links).toDF("id", "now")
-    return members.join(now, "id", "left").select("id", F.coalesce("now", "id").alias("component"), "tree", "key")
+    return _by_tile(dealt, work, "tile long, a long, b long").groupBy("a", "b").agg(F.min("tile").alias("tile")).select("tile", "a", "b")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -269,24 +383,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole = ["n_shingles", "set_a", "set_b"]
     linkable = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(linkable.groupBy(*whole).agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature")), "classes")
-    links = materialize(first_pairs(classes, docs), "links-1")
-    groups = components(links).withColumnRenamed("node", "id")
-    second = materialize(classes.join(groups, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component"), *whole), "units")
-    met = meetings(second)
-    pairs = estimated(materialize(paired(met.where(F.col("n") <= REGION)), "pairs"), second).select("a", "b")
-    many = met.where(F.col("n") > REGION).drop("n")
-    if (more := crowded(many, second, True)) is not None:
-        pairs = pairs.union(more).distinct()
-    links = links.union(materialize(confirmed(materialize(pairs, "open"), docs), "links-2"))
-    settled = more is None
-    while not settled and (more := crowded(relabelled(many, links), second, True)) is not None:
-        found = materialize(confirmed(materialize(more, "open"), docs), "links-3")
-        settled = not found.limit(1).count()
-        links = links.union(found)
-    if more is not None and (more := crowded(relabelled(many, links), second, False)) is not None:
-        links = links.union(materialize(confirmed(materialize(more, "open"), docs), "links-4"))
+    regions = met(classes)
+    # Only documents of a region can have a link; their texts are brought together once.
+    in_region = regions.join(regions.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    texts = materialize(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(materialize(in_region, "members"), "doc_id", "left_semi"), "texts")
+    links = materialize(confirmed(materialize(first_pairs(regions), "pairs-1"), texts), "links-1")
+    groups = components(links).toDF("id", "component")
+    units = materialize(classes.join(groups, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component"), *whole), "units")
+    pairs = materialize(second_pairs(open_regions(regions, units), units), "pairs-2")
+    links = links.unionAll(materialize(confirmed(pairs, texts), "links-2"))
     found = components(links).toDF("id", "component")
-    by_set = materialize(second.drop("component").join(found, "id", "left").select(*whole, F.coalesce("component", "id").alias("component")), "by-set")
+    by_set = materialize(units.drop("component", "signature").join(found, "id", "left").select(*whole, F.coalesce("component", "id").alias("component")), "by-set")
     out = signed.drop("signature").join(by_set, whole, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,7 +7,10 @@ a region, a run of that order, and within a region the neighbours with the longe
 Documents with equal shingle sets are one class from the start. Round one confirms, for each class, the neighbours with
 the longest common prefixes, those that meet in two trees or share LONG values: in a group of copies each has several,
 so nearly all of a group hang together after it. Round two takes all regions in which different groups still meet, and
-compares every member with every member of another group. A region of over BLOCK members is compared block by block.
+compares every member with every member of another group, by signature first; then the texts of those that have a
+partner are brought to the region, and pairs are confirmed, the likeliest first, until no pair between different groups
+is left. Only links that join groups leave a task, never the pairs. A region of over BLOCK members is compared block by
+block.
 
 Depth adapts to the region: one of over DEEP members is cut by further values into deeper regions, by SPLITS sets of
 values, so that a pair is not lost because one value differs; what is still too large is cut again, as long as there are
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, least_labels
 from ._ngrams import Words, mix
 from ._shared import chunks, map_texts, materialize
 
@@ -217,6 +220,33 @@ def _by_tile(sorted_rows: DataFrame, work: Callable[[pa.RecordBatch], Iterator[p
     return sorted_rows.mapInArrow(run, schema)
 
 
+def sets_of(texts: list[str]) -> list[np.ndarray]:
+    """The shingle set of each text, sorted."""
+    sets: list[np.ndarray] = []
+    for lo, hi in chunks(texts, TOGETHER):
+        hashes, starts = shingle_sets(texts[lo:hi])
+        sets += [hashes[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
+    return sets
+
+
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the full sets of each pair (i, j) are similar enough."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    out = (sizes[i] > 0) & (sizes[j] > 0) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+    fits = np.flatnonzero(out)
+    fits = fits[np.argsort(i[fits], kind="stable")]
+    edges = [*np.flatnonzero(np.diff(i[fits], prepend=-1)).tolist(), len(fits)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        own = sets[i[fits[lo]]]
+        for at in range(lo, hi, 500):
+            some = fits[at : min(at + 500, hi)]
+            there, n = np.concatenate([sets[k] for k in j[some]]), sizes[j[some]]
+            spot = np.minimum(np.searchsorted(own, there), len(own) - 1)
+            both = np.add.reduceat((own[spot] == there).astype(np.int64), np.cumsum(n) - n)
+            out[some] = 100 * both >= PERCENT * (len(own) + n - both)
+    return out
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the pairs (tile, a, b) whose full shingle sets are similar enough.
 
@@ -229,38 +259,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a, b = rows.column(1).to_numpy(), rows.column(2)
         is_text = b.is_null().to_numpy(zero_copy_only=False)
         at = np.flatnonzero(is_text)
-        ids, texts = a[at], rows.column(3).take(pa.array(at)).to_pylist()
-        one, two = a[~is_text], b.filter(pa.array(~is_text)).to_numpy()
-        sets: list[np.ndarray] = []
-        for lo, hi in chunks(texts, TOGETHER):
-            hashes, starts = shingle_sets(texts[lo:hi])
-            sets += [hashes[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
+        ids, sets = a[at], sets_of(rows.column(3).take(pa.array(at)).to_pylist())
         spots: dict[int, list[int]] = {}
         for k, d in enumerate(ids.tolist()):
             spots.setdefault(d, []).append(k)
-        left, right = [], []
-        partners: dict[int, list[int]] = {}
-        for x, y in zip(one.tolist(), two.tolist(), strict=True):
-            partners.setdefault(x, []).append(y)
-        for x, others in partners.items():
-            for k in spots.get(x, ()):
-                open_ = [(y, m) for y in others for m in spots.get(y, ())]
-                own = sets[k]
-                for lo in range(0, len(open_), 500):
-                    some = open_[lo : lo + 500]
-                    sizes = np.array([len(sets[m]) for _, m in some])
-                    fits = np.flatnonzero((sizes > 0) & (len(own) > 0) & (100 * np.minimum(sizes, len(own)) >= PERCENT * np.maximum(sizes, len(own))))
-                    if not len(fits):
-                        continue
-                    there = np.concatenate([sets[some[j][1]] for j in fits])
-                    spot = np.minimum(np.searchsorted(own, there), len(own) - 1)
-                    n = sizes[fits]
-                    both = np.add.reduceat((own[spot] == there).astype(np.int64), np.cumsum(n) - n)
-                    for j in fits[100 * both >= PERCENT * (len(own) + n - both)]:
-                        left.append(x)
-                        right.append(some[j][0])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        pairs = zip(a[~is_text].tolist(), b.filter(pa.array(~is_text)).to_pylist(), strict=True)
+        both = np.array([(k, m) for x, y in pairs for k in spots.get(x, ()) for m in spots.get(y, ())], np.int64).reshape(-1, 2)
+        sure = both[similar(sets, both[:, 0], both[:, 1])]
+        if len(sure):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[sure[:, k]]) for k in (0, 1)], names=["a", "b"])
 
     return _by_tile(rows, work, "a long, b long")
 
@@ -315,13 +322,14 @@ def open_regions(regions: DataFrame, units: DataFrame) -> DataFrame:
     return out
 
 
-def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sig: np.ndarray, side: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs between different groups, in two blocks between them, whose signatures agree enough and which meet in `tree` first."""
+def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sig: np.ndarray, side: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs between different groups, in two blocks between them, whose signatures agree enough and which
+    meet in `tree` first, and in how many values they agree."""
     names, spot, counts = np.unique(roots, return_inverse=True, return_counts=True)
     home = spot == counts.argmax()  # these have no pair among themselves
     rest = np.flatnonzero(~home)
-    crossing = side[0] != side[-1] or len(np.unique(side)) > 1
-    left, right = [], []
+    crossing = len(np.unique(side)) > 1
+    left, right, score = [rest[:0]], [rest[:0]], [np.zeros(0, np.uint8)]
     for lo in range(0, len(rest), 128):
         i = rest[lo : lo + 128]
         agree = np.zeros((len(i), len(ids)), np.uint8)
@@ -333,18 +341,43 @@ def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sig: np.ndar
             ok &= side[i, None] != side
         x, y = np.nonzero(ok)
         for k in range(0, len(x), 1 << 16):
-            a, b = i[x[k : k + (1 << 16)]], y[k : k + (1 << 16)]
-            first = (sig[a] == sig[b]).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
-            left.append(ids[a[first]])
-            right.append(ids[b[first]])
-    if not left:
-        return ids[:0], ids[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def second_pairs(members: DataFrame, units: DataFrame) -> DataFrame:
-    """(tile, a, b) of different groups that meet in a region and whose signatures agree enough.
+            u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            first = (sig[i[u]] == sig[v]).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
+            left.append(i[u[first]])
+            right.append(v[first])
+            score.append(agree[u[first], v[first]])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
+
+
+def joining(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, score: np.ndarray) -> tuple[list[int], list[int]]:
+    """Confirmed links (a, b) of the pairs (i, j) that join different groups, the pairs with the best scores first."""
+    order = np.argsort(-score.astype(np.int64), kind="stable")
+    i, j, group = i[order], j[order], np.unique(roots, return_inverse=True)[1]
+    a, b = [], []
+    while len(i):
+        now, later = slice(0, max(200, len(i) // 8)), slice(max(200, len(i) // 8), None)
+        sure = similar(sets, i[now], j[now])
+        x, y = i[now][sure], j[now][sure]
+        if len(x):
+            a += ids[x].tolist()
+            b += ids[y].tolist()
+            nodes, least = least_labels(group[x], group[y])
+            to = np.arange(group.max() + 1)
+            to[nodes] = least
+            group = to[group]
+        i, j = i[later], j[later]
+        apart = group[i] != group[j]
+        i, j = i[apart], j[apart]
+    # Of the links found together some join what others have joined.
+    links = np.unique(np.array([a, b], np.int64).T.reshape(-1, 2), axis=0)
+    return links[:, 0].tolist(), links[:, 1].tolist()
+
+
+_TILE = "tile long, key long, mine int, id long, component long, n_shingles long, signature binary"
+
+
+def second_links(members: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of different groups that meet in a region: links enough to join all groups that a link joins.
 
     The members of the largest group of a region have blocks of their own, which meet the other blocks only."""
     members = materialize(members.join(units.select("id", "n_shingles"), "id"), "open")
@@ -361,20 +394,35 @@ def second_pairs(members: DataFrame, units: DataFrame) -> DataFrame:
     cut = members.join(regions, "key").withColumn("mine", mine).withColumn("met", met).join(units.select("id", "signature"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
     one, two = F.least("mine", "other"), F.greatest("mine", "other")
     tile = F.when(F.col("others") + F.col("homes") == 1, F.col("key")).otherwise(F.xxhash64("key", one, two))
-    dealt = cut.select(tile.alias("tile"), "key", "mine", "id", "component", "n_shingles", "signature").repartition("tile").sortWithinPartitions("tile", "key")
+    names = [x.split()[0] for x in _TILE.split(", ")]
+    dealt = cut.withColumn("tile", tile).select(*names).repartition("tile").sortWithinPartitions("tile", "key")
 
-    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, side, ids, roots, sizes = (rows.column(k).to_numpy() for k in range(1, 6))
-        if key[0] != key[-1]:  # two tiles of one name
-            cut = int(np.searchsorted(key, key[0], side="right"))
-            yield from work(rows.slice(0, cut))
-            yield from work(rows.slice(cut))
-            return
-        a, b = compared(ids, roots, sizes, _values(rows.column(6)), side, int(key[0].view(_U) & _TREE))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows.column(0)[0].as_py())), pa.array(a), pa.array(b)], names=["tile", "a", "b"])
+    def one_key(work: Callable) -> Callable:
+        """Two tiles of different regions may have one name by chance."""
+
+        def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            key = rows.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = rows.slice(lo, hi - lo)
+                columns = [part.column(k).to_numpy() for k in (3, 4, 5, 2)]
+                yield from work(part, *columns, compared(*columns[:3], _values(part.column(6)), columns[3], int(key[lo].view(_U) & _TREE)))
+
+        return each
+
+    def near(part, ids, roots, sizes, side, pairs) -> Iterator[pa.RecordBatch]:
+        take = np.unique(np.concatenate(pairs[:2]))
+        if len(take):
+            yield part.take(pa.array(take))
+
+    def links(part, ids, roots, sizes, side, pairs) -> Iterator[pa.RecordBatch]:
+        a, b = joining(ids, roots, sets_of(part.column(7).to_pylist()), *pairs)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _by_tile(dealt, work, "tile long, a long, b long").groupBy("a", "b").agg(F.min("tile").alias("tile")).select("tile", "a", "b")
+    likely = materialize(_by_tile(dealt, one_key(near), _TILE), "likely")
+    brought = likely.join(texts.withColumnRenamed("doc_id", "id"), "id").select(*names, "text").repartition("tile").sortWithinPartitions("tile", "key")
+    return _by_tile(brought, one_key(links), "a long, b long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -390,8 +438,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(materialize(first_pairs(regions), "pairs-1"), texts), "links-1")
     groups = components(links).toDF("id", "component")
     units = materialize(classes.join(groups, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component"), *whole), "units")
-    pairs = materialize(second_pairs(open_regions(regions, units), units), "pairs-2")
-    links = links.unionAll(materialize(confirmed(pairs, texts), "links-2"))
+    links = links.unionAll(materialize(second_links(open_regions(regions, units), units, texts), "links-2"))
     found = components(links).toDF("id", "component")
     by_set = materialize(units.drop("component", "signature").join(found, "id", "left").select(*whole, F.coalesce("component", "id").alias("component")), "by-set")
     out = signed.drop("signature").join(by_set, whole, "left")

@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,19 +40,21 @@ END_ID = 0
 FILE_BYTES = 24 << 20
 #: Words of a generation; each Python worker keeps two.
 KEPT_WORDS = 150_000
-#: Code points that are encoded together.
-TOGETHER = 2 << 20
+#: Code points that are encoded together, and words that the library's model gets at once.
+TOGETHER, JOINED = 4 << 20, 4000
 #: Rows that Spark hands to a Python worker at once.
 ROWS_AT_ONCE = 1000
+#: Files whose sizes are summed up together.
+FILES_TOGETHER = 1024
 NO_DOC = -(1 << 63)  # stands for a null doc_id in a payload
-#: Letters up to here, of the Latin blocks, are letters in all versions of the character tables.
-LATIN_END = "\u0250"
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - _PRINTED))}
 INDEX = "file int, ordinal long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long"
-#: Marks that the pattern keeps together and apart from letters before them.
-CLOSING = ".,!?;:)|#$%&*"
+#: Letters of the Latin blocks, which are letters in all versions of the character tables, and marks behind words.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,!?;:)|#$%&*"
+#: Words, marks and single line ends, which the pattern cuts apart wherever they meet.
+_SIMPLE = re.compile(rf"[{_LETTERS}]+[{_MARKS}]*(?:\n[{_LETTERS}]+[{_MARKS}]*)*")
 #: A space between characters that surely aren't white space, where the byte-level pattern always cuts.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
@@ -90,9 +93,26 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if doc_id == NO_DOC else doc_id, np.frombuffer(payload, f"<u{width}", offset=9)
 
 
+def _kind(byte: int) -> str | None:
+    """What a byte of a simple piece is: letter, mark, line end or space."""
+    c = chr(byte)
+    if (c.isascii() and c.isalpha()) or 0x80 <= byte <= 0xBF or 0xC3 <= byte <= 0xC9:
+        return "letter"
+    return "mark" if c in _MARKS else {"\n": "end", " ": "space"}.get(c)
+
+
+def crosses(piece: bytes) -> bool:
+    """Whether a piece of the vocabulary holds two neighbours that the pattern would cut apart in joined simple words."""
+    kinds = [_kind(x) for x in piece]
+    return None not in kinds and any(x != y and x != "space" or y == "space" for x, y in zip(kinds, kinds[1:], strict=False))
+
+
 class Encoder:
     """The library's byte-level BPE. Its pattern cuts at every single space between two other characters, and merges
-    never cross a cut; so each such piece is encoded once and kept."""
+    never cross a cut; so each such piece is encoded once and kept.
+
+    A merge makes a piece of the vocabulary. Where no piece crosses a cut between simple words, many of them joined by
+    spaces get from the library's model the ids that each gets alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,9 +126,11 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.spaced: list[dict[str, bytes]] = [{}, {}]
         self.bare: list[dict[str, bytes]] = [{}, {}]
-        self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.said = [n.to_bytes(self.width, "little") for n in range(self.library.get_vocab_size())]
+        byte_of = {c: b for b, c in BYTE_CHARS.items()}
+        vocabulary = [(w, i) for w, i in self.library.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in w)]
+        self.joins = not any(crosses(bytes(byte_of[c] for c in w)) for w, _ in vocabulary)
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        self.begins[[i for w, i in vocabulary if w[0] == BYTE_CHARS[32]]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; those that hold an added token go to the library whole."""
@@ -121,83 +143,69 @@ class Encoder:
         return self._by_words(texts)
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        distinct = set().union(*split) if split else set()
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces, offsets = split.values.dictionary_encode(), split.offsets.to_numpy()
+        words = pieces.dictionary.to_pylist()
         # A piece that is empty or has white space at an end may not be cut off so simply.
-        if odd := {w for w in distinct if not w or w[0].isspace() or w[-1].isspace()}:
-            for k, parts in enumerate(split):
-                if not odd.isdisjoint(parts):
-                    split[k] = _CUT.split(texts[k])
-                    distinct.update(split[k])
-            distinct -= odd - set().union(*split)
-        here = self._look_up(distinct, True)
-        heads = self._look_up({s[0] for s in split}, False)
-        kind = f"<u{self.width}"
-        return [np.frombuffer(b"".join([heads[s[0]], *[here[w] for w in s[1:]]]), kind) for s in split]
-
-    def _look_up(self, words: set[str], spaced: bool) -> dict[str, bytes]:
-        """Bytes of the ids of each word, with the space before it or without."""
-        kept = self.spaced if spaced else self.bare
-        if len(kept[0]) > (KEPT_WORDS if spaced else KEPT_WORDS // 4):
+        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+        if not odd.any():
+            return self._joined(pieces.indices.to_numpy(), words, offsets)
+        where = np.maximum.reduceat(odd[pieces.indices.to_numpy()], offsets[:-1])
+        careful = [_CUT.split(texts[k]) for k in np.flatnonzero(where)]
+        flat = pa.array([w for p in careful for w in p], pa.large_string()).dictionary_encode()
+        apart = iter(self._joined(flat.indices.to_numpy(), flat.dictionary.to_pylist(), np.cumsum([0, *map(len, careful)])))
+        plain = iter(self._by_words([texts[k] for k in np.flatnonzero(~where)]))
+        return [next(apart) if w else next(plain) for w in where]
+
+    def _joined(self, index: np.ndarray, words: list[str], offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts whose pieces are words[index], each text from its offset to the next one."""
+        first = offsets[:-1]
+        inside = np.ones(len(index), bool)
+        inside[first] = False
+        used = np.unique(index[inside])
+        heads, head = np.unique(index[first], return_inverse=True)
+        parts = self._look_up([words[k] for k in used], self.spaced, " ") + self._look_up([words[k] for k in heads], self.bare, "")
+        place = np.zeros(len(words), np.int64)
+        place[used] = np.arange(len(used))
+        spot = place[index]
+        spot[first] = len(used) + head
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[spot]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(parts), f"<u{self.width}")[np.repeat(begin[spot] - ends + n, n) + np.arange(ends[-1])]
+        return np.split(ids, ends[offsets[1:-1] - 1])
+
+    def _look_up(self, words: list[str], kept: list[dict[str, bytes]], before: str) -> list[bytes]:
+        """Bytes of the ids of each word, with `before` in front of it."""
+        if len(kept[0]) > (KEPT_WORDS if before else KEPT_WORDS // 4):
             kept[:] = {}, kept[0]
         now, older = kept
-        here = {w: now[w] for w in words & now.keys()}
-        fresh = words - here.keys()
-        if spaced:
-            fresh.discard("")
-        add = {w: older[w] for w in fresh & older.keys()}
-        fresh.difference_update(add.keys())
-        if len(self.cores) > KEPT_WORDS:
-            self.cores = {}
-        cores, alone, rest = self.cores, self._alone, []
-        before = " " if spaced else ""
-        for w in fresh:
-            # Letters and the closing marks behind them are cut apart by the pattern wherever they meet.
-            core = w.rstrip(CLOSING)
-            if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
-                key = before + core
-                ids = cores.get(key)
-                if ids is None:
-                    ids = cores[key] = alone(key)
-                add[w] = ids if len(core) == len(w) else ids + self._tail(w[len(core) :])
-            else:
-                rest.append(w)
-        whole = []
-        for w in rest:
-            # So are single line ends between letters.
-            lines = w.split("\n")
-            parts = [x.rstrip(CLOSING) for x in lines]
-            if all(c.isalpha() and max(c) < LATIN_END for c in parts):
-                out = []
-                for k, (line, core) in enumerate(zip(lines, parts, strict=True)):
-                    key = core if k else before + core
-                    ids = cores.get(key)
-                    if ids is None:
-                        ids = cores[key] = alone(key)
-                    out += [self._tail("\n"), ids] if k else [ids]
-                    if len(core) < len(line):
-                        out.append(self._tail(line[len(core) :]))
-                add[w] = b"".join(out)
-            else:
-                whole.append(w)
-        kind = f"<u{self.width}"
-        for w, e in zip(whole, self.library.encode_batch_fast([before + w for w in whole], add_special_tokens=False), strict=True):
-            add[w] = np.array(e.ids, kind).tobytes()
-        now.update(add)
-        here.update(add)
-        return here
-
-    def _alone(self, piece: str) -> bytes:
-        """One piece of the pattern: the library's model encodes it, without the library's bookkeeping of offsets."""
-        return b"".join([self.said[t.id] for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))])
-
-    def _tail(self, marks: str) -> bytes:
-        ids = self.tails.get(marks)
-        if ids is None:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            ids = self.tails[marks] = np.array(self.library.encode(marks, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-        return ids
+        out = [now.get(w) for w in words]
+        missing = [k for k, x in enumerate(out) if x is None]
+        again = [older.get(words[k]) for k in missing]
+        fresh = iter(self._fresh([words[k] for k, x in zip(missing, again, strict=True) if x is None], before))
+        for k, x in zip(missing, again, strict=True):
+            out[k] = now[words[k]] = next(fresh) if x is None else x
+        return out
+
+    def _fresh(self, words: list[str], before: str) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(words)
+        simple = [k for k, w in enumerate(words) if _SIMPLE.fullmatch(w)] if self.joins and before else []
+        for lo in range(0, len(simple), JOINED):
+            some = simple[lo : lo + JOINED]
+            joined = "".join([" " + words[k] for k in some]).encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = np.array([t.id for t in self.model.tokenize(joined)], f"<u{self.width}")
+            cuts = np.flatnonzero(self.begins[ids]) * self.width
+            data = ids.tobytes()
+            for k, a, b in zip(some, cuts.tolist(), [*cuts[1:].tolist(), len(data)], strict=True):
+                out[k] = data[a:b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.library.encode_batch_fast([before + words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, f"<u{self.width}").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -212,7 +220,10 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID)
     """Encode each row of (doc_id, text) and write its record; ascending over the files."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # Rows that share a doc_id, or have none, are dealt to as many files as they fill.
+    order = ["doc_id", F.xxhash64("text"), "row"]
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer_path)
@@ -275,16 +286,14 @@ def read_at(data: bytes, offset: int, length: int) -> tuple[int | None, np.ndarr
 def positions(index: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32: where each document's ids begin in the one ascending sequence.
 
-    The only data that meets in one task or at the driver is one count for each file."""
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens")).collect()
-    before, at = {}, 0
-    for r in sorted(totals, key=lambda r: r["file"]):
-        before[r["file"]] = at
-        at += r["tokens"]
-    offsets = index.sparkSession.createDataFrame(list(before.items()), "file int, base long")
-    within = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    local = index.withColumn("local", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return local.join(F.broadcast(offsets), "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    Sums of files, then of FILES_TOGETHER files each: only the latter meet in one task, one row for about 25 GB of text."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens")).withColumn("part", F.floor(F.col("file") / FILES_TOGETHER))
+    parts = sums.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    in_part = F.coalesce(F.sum("tokens").over(before(Window.partitionBy("part").orderBy("file"))), F.lit(0))
+    files = sums.withColumn("in_part", in_part).join(parts, "part").select("file", (F.col("base") + F.col("in_part")).alias("base"))
+    local = index.withColumn("local", F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("file").orderBy("ordinal"))), F.lit(0)))
+    return local.join(files, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def export(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Main text of web pages: structure of the markup, and nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing, and structure of the markup.
 
-Pages are sorted by host and URL path in slices; each is paired with the one next to it on the same host whose path
-shares the longer prefix. The text lines of both are aligned by longest common subsequence and the shared ones deleted:
-they belong to the site, not to the page. Two limits keep that right. Lines inside an <article> or <main> are the
-page's own whatever its neighbour says, for copies of one article stand side by side on real sites and would delete
-each other. And where a page without these elements shares most lines with its neighbour, the two are copies and nothing
-is deleted. Lines outside the elements that the neighbour does not share are kept.
+All pages are sorted by host and URL path, and each is paired with the one next to it on the same host whose path shares
+the longer prefix. The text lines of both are aligned by longest common subsequence and the shared ones deleted: they
+belong to the site, not to the page. Two limits keep that right. Lines inside an <article> or <main> are the page's own
+whatever its neighbour says, for copies of one article stand side by side on real sites and would delete each other.
+And where a page without these elements shares most lines with its neighbour, the two are copies and nothing is deleted.
 
-What the markup itself names as menu, header, footer, sidebar, notice, advert, form, script, style or reader comments
-is left out before.
+Of the lines that are left, those go that the markup itself names as menu, header, footer, sidebar, notice, advert, form,
+script, style or reader comments: such lines may differ from page to page.
+
+Pages are dealt to slices of the sorted order, whose bounds come from a sort of the keys alone; the first and the last
+page of a slice go to its neighbours too. So each page meets its neighbours, however many slices there are.
 
 Defined results: null html counts as empty and gives an empty text; a null url counts as an empty one; equal rows are
 all kept; truncated and unclosed markup is read as far as it goes; nothing is capped.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,23 +37,36 @@ COPY_SHARE = 0.6
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 MAIN = frozenset(("article", "main"))
+#: Elements whose content isn't text of the page, and elements that are something else than its main text.
+SILENT = frozenset("canvas datalist head iframe noscript object script select style svg template textarea audio video".split())
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title video audio".split())
 #: Words in class, id or role that name something else than main text.
 NOT_MAIN = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus disclaimer footer gdpr masthead menu menubar modal nav navbar navigation navigation newsletter notice notices notification overlay pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+#: Elements that no name of theirs can make something else than the page and its main text.
+WHOLE = frozenset(("html", "body", "main", "article"))
+#: Words that make a name one of a state, as in `has-sidebar` and `comments-open`: before a listed word, and at the end.
+STATE_BEGINS, STATE_ENDS = frozenset("has with no without is not".split()), frozenset("open closed on off enabled disabled".split())
+#: Bits of the table by which lines are aligned; more lines than that are halved first.
+ALIGN_BITS = 1 << 26
+
+#: A line of a page: its text, whether it is inside <article> or <main>, whether the markup names it as something else.
+Line = tuple[str, bool, bool]
 
 
 class Lines(HTMLParser):
-    """Blocks of text of a page as (text, inside article or main)."""
+    """Blocks of text of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, dropped here or above, main here or above
-        self.words: list[str] = []
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, bool, bool]] = []  # element; here or above: without text, something else, main
+        self.count: Counter[str] = Counter()
+        self.blocks: list[int] = []  # places in `open` of the elements that begin a block
+        self.words: tuple[list[str], list[str]] = [], []  # of the block so far: main text, something else
 
     @classmethod
-    def of(cls, html: str | None) -> list[tuple[str, bool]]:
+    def of(cls, html: str | None) -> list[Line]:
         parser = cls()
         parser.feed(html or "")
         parser.close()
@@ -58,10 +74,12 @@ class Lines(HTMLParser):
         return parser.lines
 
     def cut(self) -> None:
-        text = " ".join("".join(self.words).split())
-        if text:
-            self.lines.append((text, self.open[-1][2] if self.open else False))
-        self.words.clear()
+        for other, words in enumerate(self.words):
+            if words:
+                text = " ".join("".join(words).split())
+                if text:
+                    self.lines.append((text, bool(self.open and self.open[-1][3]), bool(other)))
+                words.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -69,31 +87,42 @@ class Lines(HTMLParser):
             if tag in ("p", "li", "dt", "dd", "option") or (tag[0] == "h" and tag[1:].isdigit()):
                 self._close_paragraph(tag)
         elif tag == "br":
-            self.words.append(" ")
+            self.words[bool(self.open and self.open[-1][2])].append(" ")
         if tag in VOID:
             return
-        dropped, main = self.open[-1][1:] if self.open else (False, False)
-        main = main or (tag in MAIN and not dropped)
-        dropped = dropped or tag in DROPPED or (tag == "header" and not main) or self._named(attrs)
-        self.open.append((tag, dropped, main))
+        silent, other, main = self.open[-1][1:] if self.open else (False, False, False)
+        main = main or (tag in MAIN and not other)
+        other = other or tag in DROPPED or (tag == "header" and not main) or (tag not in WHOLE and self._named(attrs))
+        self.open.append((tag, silent or tag in SILENT, other, main))
+        self.count[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(len(self.open) - 1)
 
     def _named(self, attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id", "role") and value and not NOT_MAIN.isdisjoint(w.lower() for w in _NAME.findall(value)):
-                return True
+            if name in ("class", "id", "role") and value:
+                for token in value.split():
+                    words = [w.lower() for w in _NAME.findall(token)]
+                    if NOT_MAIN.isdisjoint(words) or words[-1] in STATE_ENDS:
+                        continue
+                    if STATE_BEGINS.isdisjoint(words[: next(k for k, w in enumerate(words) if w in NOT_MAIN)]):
+                        return True
         return False
 
+    def _close(self, k: int) -> None:
+        """The element at place k ends, and all that is open in it."""
+        for tag, *_ in self.open[k:]:
+            self.count[tag] -= 1
+        del self.open[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
     def _close_paragraph(self, tag: str) -> None:
         """A paragraph ends where the next block begins; items end where the next item of their list begins."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag or name == "p":
-                del self.open[k:]
-                return
-            if name in BLOCK:
-                return
+        if self.blocks and self.open[self.blocks[-1]][0] in (tag, "p"):
+            self._close(self.blocks[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -103,48 +132,83 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.cut()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.count[tag]:
+            k = len(self.open) - 1
+            while self.open[k][0] != tag:
+                k -= 1
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
-            self.words.append(data)
+        if not self.open:
+            self.words[0].append(data)
+        elif not self.open[-1][1]:
+            self.words[self.open[-1][2]].append(data)
 
 
-def common_lines(a: list[str], b: list[str]) -> list[int]:
-    """Places in `a` of a longest common subsequence with `b` (Hunt and Szymanski 1977)."""
-    places: dict[str, list[int]] = {}
+def _rows(a: list, b: list) -> list[int]:
+    """For each line of `a` the bits of `b` at which the common subsequence with all lines so far gets no longer."""
+    places: dict = {}
     for j, line in enumerate(b):
-        places.setdefault(line, []).append(j)
-    ends: list[int] = []
-    last: list[tuple | None] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            link = (i, last[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                last.append(link)
+        places[line] = places.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v, out = full, []
+    for line in a:
+        u = v & places.get(line, 0)
+        v = (v + u | v - u) & full
+        out.append(v)
+    return out
+
+
+def _reach(row: int, n: int) -> list[int]:
+    """Length of the common subsequence with the first 0 to n lines."""
+    out = [0]
+    for bit in bin(row | 1 << n)[:2:-1]:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def common_lines(a: list, b: list) -> list[int]:
+    """Places in `a` of a longest common subsequence with `b`, by rows of bits (Hyyrö 2004), halved where they are many (Hirschberg 1975)."""
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - lead and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    own, other = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    there, here = set(other), set(own)
+    places = [k for k, x in enumerate(own) if x in there]  # others cannot be shared
+    own, other = [own[k] for k in places], [x for x in other if x in here]
+    if len(own) * len(other) > ALIGN_BITS and len(own) > 1:
+        half = len(own) // 2
+        before = _reach(_rows(own[:half], other)[-1], len(other))
+        after = _reach(_rows(own[:half - 1 : -1], other[::-1])[-1], len(other))[::-1]
+        at = max(range(len(other) + 1), key=lambda j: before[j] + after[j])
+        found = common_lines(own[:half], other[:at]) + [half + k for k in common_lines(own[half:], other[at:])]
+    else:
+        rows, found, i, j = _rows(own, other), [], len(own), len(other)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
             else:
-                ends[k], last[k] = j, link
-    out, at = [], last[-1] if last else None
-    while at:
-        out.append(at[0])
-        at = at[1]
-    return out[::-1]
+                i -= 1
+                if not i or rows[i - 1] >> (j - 1) & 1:
+                    found.append(i)
+                    j -= 1
+        found.reverse()
+    return [*range(lead), *(lead + places[k] for k in found), *range(len(a) - tail, len(a))]
 
 
-def difference(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> tuple[str, int]:
+def difference(own: list[Line], other: list[Line] | None) -> tuple[str, int]:
     """The page's text, and how many lines went because its neighbour has them too."""
     shared: set[int] = set()
     if other:
-        common = common_lines([t for t, _ in own], [t for t, _ in other])
+        common = common_lines([t for t, *_ in own], [t for t, *_ in other])
         # Lines of the main text stay; without any, copies of a page delete nothing.
-        if any(main for _, main in own) or len(common) < COPY_SHARE * max(len(own), len(other)):
+        plain = lambda lines: sum(not named for *_, named in lines)
+        if any(main for _, main, _ in own) or plain([own[k] for k in common]) < COPY_SHARE * max(plain(own), plain(other)):
             shared = {k for k in common if not own[k][1]}
-    return "\n\n".join(t for k, (t, _) in enumerate(own) if k not in shared), len(shared)
+    return "\n\n".join(t for k, (t, _, named) in enumerate(own) if k not in shared and not named), len(shared)
 
 
 def _prefix(a: str, b: str) -> int:
@@ -156,6 +220,60 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+#: What orders the pages; equal rows have equal keys and are neighbours.
+ORDER = ["host", "path", "mark", "page_id"]
+_KEYED = "slice int, home boolean, host string, path string, mark long, page_id long, url string, html string"
+
+
+def _key(host: str, path: str, mark: int, page_id: int | None) -> tuple:
+    """As Spark sorts: strings by their bytes, nulls first."""
+    return host.encode(), path.encode(), mark, page_id is not None, page_id or 0
+
+
+def bounds(keyed: DataFrame, slices: int) -> list[tuple[tuple, tuple]]:
+    """First and last key of each slice that holds pages: two keys for each of the slices at the driver, whose number is a setting."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first = first or b.slice(0, 1)
+                last = b.slice(b.num_rows - 1)
+        if first:
+            yield first
+            yield last
+
+    keys = keyed.select(*ORDER)
+    found = keys.repartitionByRange(slices, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(ends, keys.schema).collect()
+    ends_ = sorted(_key(*r) for r in found)
+    return list(zip(ends_[::2], ends_[1::2], strict=True))
+
+
+def sliced(keyed: DataFrame, slices: list[tuple[tuple, tuple]]) -> DataFrame:
+    """Each page with its slice; the ends of a slice once more for the slice next to it, where they aren't at home."""
+    shipped = keyed.sparkSession.sparkContext.broadcast(([last for _, last in slices], slices))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lasts, all_ = shipped.value
+        for b in batches:
+            spot, home, take = [], [], []
+            for k, key in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
+                key = _key(*key)
+                n = bisect_left(lasts, key)
+                spot.append(n)
+                home.append(True)
+                take.append(k)
+                for near, end in ((n - 1, all_[n][0]), (n + 1, all_[n][1])):
+                    if key == end and 0 <= near < len(all_):
+                        spot.append(near)
+                        home.append(False)
+                        take.append(k)
+            rows = b.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int32()), pa.array(home, pa.bool_()), *rows.columns], names=[x.split()[0] for x in _KEYED.split(", ")])
+
+    return keyed.mapInArrow(run, _KEYED)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared_lines) of each row of (page_id, url, html)."""
 
@@ -164,10 +282,10 @@ def extract(pages: DataFrame) -> DataFrame:
         done: list[tuple] = []
 
         def result(after) -> tuple:
-            near = [x for x in (before, after) if x and x[2] == here[2]]
-            other = max(near, key=lambda x: _prefix(x[3], here[3]), default=None)
-            text, shared = difference(here[4], other and other[4])
-            return here[0], here[1], text, len(text), shared
+            near = [x for x in (before, after) if x and x["place"] == here["place"]]
+            other = max(near, key=lambda x: _prefix(x["path"], here["path"]), default=None)
+            text, shared = difference(here["lines"], other and other["lines"])
+            return here["page_id"], here["url"], text, len(text), shared
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*done, strict=True))
@@ -177,19 +295,24 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for b in batches:
             for k in range(b.num_rows):
-                page_id, url, host, path, html = (b.column(c)[k].as_py() for c in range(5))
-                now = (page_id, url, host, path, Lines.of(html))
-                if here:
+                number, home, host, path, _, page_id, url, html = (c[k].as_py() for c in b.columns)
+                now = {"home": home, "place": (number, host), "path": path, "page_id": page_id, "url": url, "lines": Lines.of(html)}
+                if here and here["home"]:
                     done.append(result(now))
                 before, here = here, now
                 if len(done) >= 500:
                     yield batch()
-        if here:
+        if here and here["home"]:
             done.append(result(None))
+        if done:
             yield batch()
 
-    keyed = pages.select("page_id", "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), "html")
-    slices = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Rows with one URL are spread by their text too, so that a hot page cannot fill one slice.
-    dealt = keyed.repartitionByRange(slices, "host", "path", F.xxhash64("html")).sortWithinPartitions("host", "path", F.xxhash64("html"), "page_id")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    # Copies under one URL are ordered by their text, so that a hot page fills as many slices as it needs.
+    keyed = pages.select(text(host_of(F.col("url"))).alias("host"), text(path_of(F.col("url"))).alias("path"), F.xxhash64("html").alias("mark"), "page_id", "url", "html")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = bounds(keyed, parts)
+    if not slices:
+        return pages.sparkSession.createDataFrame([], SCHEMA)
+    dealt = sliced(keyed, slices).repartitionById(len(slices), "slice").sortWithinPartitions("slice", *ORDER)
     return dealt.mapInArrow(run, SCHEMA)

@@ -16,6 +16,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,7 +119,7 @@ def is_token(header: str, payload: str) -> bool:
         return False
     try:
         parsed = json.loads(raw)
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested as no header is
         return False
     return isinstance(parsed, dict) and isinstance(parsed.get("alg"), str)
 
@@ -131,9 +132,28 @@ def der_size(head: bytes) -> int | None:
     return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
 
 
+def ssh_size(body: str, begin: int) -> int | None:
+    """Bytes of the OpenSSH container for one key that begins at body[begin]: the magic, three strings, a number, the public
+    and the private string. Only the lengths are decoded; None where they lead out of the body."""
+    at, room = len(SSH_MAGIC), (len(body) - begin) * 3 // 4
+    for part in range(6):
+        if part != 3:
+            group = begin + at // 3 * 4
+            found = (decode64(body[group : group + 8]) or b"")[at % 3 : at % 3 + 4]
+            if len(found) < 4:
+                return None
+            at += int.from_bytes(found, "big")
+        at += 4
+        if at > room:
+            return None
+    return at
+
+
 def armoured(run: str, start: int) -> list[tuple[int, int, int]]:
-    """Keys in lines of base64: a line of words may stand before and after a key, which begins and ends with a line."""
-    out, lines, i = [], run.split("\n"), 0
+    """Keys in lines of base64: lines of words may stand before and after a key, which begins and ends with a line.
+
+    The first bytes of a DER key say how long it is, and so which line ends it; a container's lengths do."""
+    out, lines, i, joined = [], run.split("\n"), 0, ""
     at, chars = [start], [0]
     for line in lines:
         at.append(at[-1] + len(line) + 1)
@@ -143,21 +163,43 @@ def armoured(run: str, start: int) -> list[tuple[int, int, int]]:
         if not KEY_BEGINS.match("".join(x.rstrip("\r") for x in lines[begin : begin + 4])):
             continue
         body = "".join(x.rstrip("\r=") for x in lines[begin : begin + 8])[:8]
-        size = der_size(decode64(body) or b"") if body[0] == "M" else None
-        for n in range(len(lines), begin, -1):
-            c = chars[n] - chars[begin]
-            if c % 4 == 1 or (body[0] == "M" and c * 3 // 4 != size):
+        if body[0] == "M":
+            size = der_size(decode64(body) or b"")
+            if size is None:
                 continue
+            # Characters that hold that many bytes: `size` in whole groups of three, or the rest in two or three characters.
+            least = size // 3 * 4 + (0, 2, 3)[size % 3]
+            n = bisect_left(chars, chars[begin] + least, begin + 1)
+            if n >= len(chars) or chars[n] != chars[begin] + least:
+                continue
+            ends, check, kind = [n], is_der_key, 3
+        else:
+            joined = joined or "".join(x.rstrip("\r=") for x in lines)
+            ends, check, kind = _ssh_ends(joined, chars, begin), is_ssh_key, 4
+        for n in ends:
             key = "\n".join(lines[begin:n]).rstrip("\r")
             data = decode64(key)
-            kind = 4 if data and is_ssh_key(data) else 3 if data and is_der_key(data) else None
-            if kind:
+            if data and check(data):
                 out.append((at[begin], kind, at[begin] + len(key)))
                 i = n
                 break
     return out
 
 
+def _ssh_ends(body: str, chars: list[int], begin: int) -> list[int]:
+    """Where a container that begins with line `begin` may end: where its lengths say so, else with one of the run's last lines."""
+    first = chars[begin]
+    if not (decode64(body[first : first + 20]) or b"").startswith(SSH_MAGIC):
+        return []
+    size = ssh_size(body, first)
+    if size:
+        n = bisect_left(chars, first + -(-size * 4 // 3), begin + 1)
+        if n < len(chars) and (chars[n] - first) * 3 // 4 == size:
+            return [n]
+    last = len(chars) - 1
+    return [n for n in range(last, max(begin, last - 4), -1) if (chars[n] - first) % 4 != 1]
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """All spans as (start, kind's place in KINDS, end), sorted."""
     if not text:

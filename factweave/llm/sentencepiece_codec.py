@@ -2,8 +2,9 @@
 
 The text is normalised by the longest prefixes that the model's compiled character map holds; each byte of the result
 remembers the bytes of the source that it came from, so that every piece can be projected onto a span of the original
-text. Pieces and ids are the library's own. Where no piece of a model has a space mark behind another character, merges never cross into a
-run of marks; then each word is encoded once and kept.
+text. Pieces and ids are the library's own. Where no piece of a model has a space mark behind another character, merges
+never cross into a run of marks; then each word is encoded and aligned once, and kept with the source bytes that each of
+its pieces spans. A text's spans are those of its words, one word behind the other.
 
 Defined results: null texts count as empty, which encodes to the end id alone; texts are encoded whole; equal texts
 get equal results; lone surrogates cannot occur in Spark strings; an empty table gives an empty result.
@@ -14,10 +15,12 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from ._shared import map_texts
 MARK = "▁"
 #: Words of a generation; each Python worker keeps two.
 KEPT_WORDS = 350_000
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_crc32 long"
 
 
 def proto_fields(data: bytes) -> dict[int, list]:
@@ -150,8 +153,9 @@ class Normalizer:
         return bytes(out), [*origin, end]
 
 
-#: What is kept of a word: its ids in decimal, how many, its bytes once decoded, and the source bytes its pieces span.
-Kept = tuple[str, int, bytes, int]
+#: What is kept of a word: its ids in decimal, how many, its bytes once decoded, and the number of source bytes that each piece
+#: spans, the mark before the word not counted, as 32-bit integers.
+Kept = tuple[str, int, bytes, bytes]
 
 
 @dataclass
@@ -173,6 +177,7 @@ class Codec:
         self.byte = {i: int(self.library.id_to_piece(i)[3:5], 16) for i in range(self.library.get_piece_size()) if self.library.is_byte(i)}
         #: What each piece stands for in the source.
         self.piece = [bytes([self.byte[i]]) if i in self.byte else self.library.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.library.get_piece_size())]
+        self.size = [len(x) for x in self.piece]
         self.said = [str(i) for i in range(self.library.get_piece_size())]
         self.end, self.unknown, self.mark = self.library.eos_id(), self.library.unk_id(), self.library.piece_to_id(MARK)
 
@@ -229,17 +234,21 @@ class Codec:
         for word, ids in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
             ids = ids or [self.mark]  # the mark that ends a text
             raw = b"".join([piece[i] for i in ids])
-            # The pieces' source bytes: those of the word, as the mark put before it stands for none.
-            spanned = len(raw) - 1 if unknown not in ids else self.spans(word)[1][-1][1]
-            keep[word] = here[word] = (" ".join([said[i] for i in ids]), len(ids), raw, spanned)
+            if unknown in ids:
+                sizes = [b - a for a, b in self.spans(word)[1]]
+            else:
+                sizes = [self.size[i] for i in ids]
+                sizes[0] -= 1  # the mark put before the word stands for no byte of it
+            keep[word] = here[word] = (" ".join([said[i] for i in ids]), len(ids), raw, struct.pack(f"<{len(sizes)}i", *sizes))
 
     def _plain_ends(self, ids: list[int]) -> list[int]:
         """Where the pieces end in the source when nothing but the space marks was changed: a mark stands for one byte,
         the first one, put before the text, for none."""
         return list(accumulate([len(self.piece[i]) for i in ids], initial=-1))[1:]
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
-        """For each text, of its ids with the end id: how many, their hash, the hash of the decoded text, and the source bytes that pieces span."""
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, int, int]]:
+        """For each text, of its ids with the end id: how many, their hash, the hash of the decoded text, the source bytes
+        that pieces span, and a checksum of all spans."""
         split = [self._words(t) if self.by_word and t and MARK not in t else None for t in texts]
         distinct = set().union(*[s for s in split if s])
         if len(self.words) > KEPT_WORDS:
@@ -248,16 +257,23 @@ class Codec:
         self._keep(distinct - here.keys(), here)
         return [self._join([here[w] for w in s]) if s else self._whole(t) for t, s in zip(texts, split, strict=True)]
 
-    def _whole(self, text: str) -> tuple[int, str, str, int]:
+    def _whole(self, text: str) -> tuple[int, str, str, int, int]:
         ids, spans = self.spans(text)
         ids = [*ids, self.end]
-        return len(ids), _sha(" ".join([self.said[i] for i in ids]).encode()), _sha(self.library.decode(ids).encode()), sum(b - a for a, b in spans)
+        return len(ids), _sha(" ".join([self.said[i] for i in ids]).encode()), _sha(self.library.decode(ids).encode()), sum(b - a for a, b in spans), spans_checksum(spans)
+
+    def _join(self, parts: list[Kept]) -> tuple[int, str, str, int, int]:
+        """What the library does to the whole text: ids one after the other; decoded, without the space put before the text.
 
-    def _join(self, parts: list[Kept]) -> tuple[int, str, str, int]:
-        """What the library does to the whole text: ids one after the other; decoded, without the space put before the text."""
+        Spans too stand one after the other; each word but the first has the space before it in its first piece."""
         said = " ".join([p[0] for p in parts])
         decoded = b"".join([p[2] for p in parts])[1:]
-        return sum([p[1] for p in parts]) + 1, _sha(f"{said} {self.end}".encode()), _sha(decoded.decode().encode()), sum([p[3] for p in parts]) + len(parts) - 1
+        sizes = np.frombuffer(b"".join([p[3] for p in parts]), "<i4").astype(np.int64)
+        pieces = np.array([p[1] for p in parts])
+        sizes[np.cumsum(pieces)[:-1]] += 1
+        ends = np.cumsum(sizes)
+        spans = np.stack((ends - sizes, ends), axis=1)
+        return len(sizes) + 1, _sha(f"{said} {self.end}".encode()), _sha(decoded.decode().encode()), int(ends[-1]), spans_checksum(spans)
 
     def _words(self, text: str) -> list[str]:
         # Each space before a word is the mark that encoding the word alone puts before it. Runs of spaces go with
@@ -266,6 +282,11 @@ class Codec:
         return [x[1:] for x in re.findall(" +[^ ]*", " " + text)] if "" in pieces else pieces
 
 
+def spans_checksum(spans: list[tuple[int, int]] | np.ndarray) -> int:
+    """CRC-32 of the first and last offset of each piece, as 64-bit integers."""
+    return zlib.crc32(np.asarray(spans, "<i8").tobytes())
+
+
 def _sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -281,7 +302,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     def work(texts: list[str | None]) -> dict:
         c = codec(model_path)
         rows = c.digests([t or "" for t in texts])
-        return {"n_tokens": pa.array([r[0] for r in rows], pa.int64()), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string()), "span_bytes": pa.array([r[3] for r in rows], pa.int64())}
+        return {"n_tokens": pa.array([r[0] for r in rows], pa.int64()), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string()), "span_bytes": pa.array([r[3] for r in rows], pa.int64()), "spans_crc32": pa.array([r[4] for r in rows], pa.int64())}
 
     return map_texts(docs, "doc_id", "text", work, SCHEMA)
 

@@ -1,9 +1,10 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is folded into a table: from a state and a character class to
-the next state, with one bit that says a phrase ended. A text is parsed from left to right into the longest matches
-that the language's reference text holds; the language that needs the fewest phrases a character wins. Texts are
-parsed in blocks of BLOCK classes, side by side, so that a very long text costs no more a character than a short one.
+For each language the transitions of a suffix automaton of labelled text are packed into one array: each state has its
+row moved to where its letters find free places. A text is parsed from left to right into the longest matches that the
+language's reference text holds; the language that needs the fewest phrases a character wins. All letters that the
+references hold are told apart, however many. Texts are parsed in blocks of BLOCK letters, side by side, so that a very
+long text costs no more a character than a short one.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the first language by name;
 without any labelled text every result is `und` with score 0; rows with equal texts get equal results; a null doc_id
@@ -12,6 +13,7 @@ is held in, and its text is never learnt from.
 
 from __future__ import annotations
 
+import random
 import re
 from functools import lru_cache
 
@@ -22,12 +24,12 @@ from pyspark.sql import functions as F
 
 from ._shared import least_hashes, map_texts, sample_per_stratum
 
-#: Bounds of what is learnt, for each language: documents, and characters of reference text.
-TRAIN_ROWS, REFERENCE_CHARS = 60, 24_000
-#: Character classes: 0 anything unknown, 1 a run of non-letters, the rest the commonest letters.
-CLASSES, BLOCK = 128, 4096
+#: Bounds of what is learnt, for each language: documents, characters of reference text, and code points of one document,
+#: taken from WINDOWS places spread over the whole text.
+TRAIN_ROWS, REFERENCE_CHARS, DOCUMENT_CHARS, WINDOWS = 60, 24_000, 8_000, 8
+#: Letters that are parsed in a row.
+BLOCK = 4096
 LETTER = re.compile(r"[^\W\d_]")
-END = np.int32(1 << 30)
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -67,40 +69,46 @@ def suffix_automaton(classes: list[int]) -> tuple[list[dict[int, int]], int]:
     return moves, len(moves)
 
 
-def parsing_table(classes: list[int], n_classes: int) -> np.ndarray:
-    """(states, classes) of int32: the next state, plus END where the longest match ends before the character."""
-    moves, states = suffix_automaton(classes)
-    table = np.empty((states, n_classes), np.int32)
-    fresh = np.zeros(n_classes, np.int32)
-    for c, to in moves[0].items():
-        fresh[c] = to
-    table[:] = fresh | END
-    for s, out in enumerate(moves):
-        if out:
-            table[s, list(out)] = list(out.values())
-    return table
+def packed(moves: list[dict[int, int]], n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of transitions in one array by displacement (Tarjan and Yao 1979): where each state's row begins, and for each
+    place the state it belongs to (-1 for none) and the next state."""
+    size = n_codes + max(64, 5 * sum(map(len, moves)) // 2)
+    base, owner, to = np.zeros(len(moves), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    free, rng, room = bytearray(b"\1") * size, random.Random(7), size - n_codes
+    for s in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        at = 0
+        while any(not free[at + c] for c in moves[s]):
+            at = rng.randrange(room)
+        base[s] = at
+        for c, nxt in moves[s].items():
+            free[at + c], owner[at + c], to[at + c] = 0, s, nxt
+    return base, owner, to
 
 
 class CrossParser:
+    """Codes of letters: 0 anything that no reference holds, 1 a run of non-letters, then the letters of the references."""
+
     def __init__(self, references: dict[str, str]):
         self.languages = sorted(references)
-        prepared = [_letters(references[x])[:REFERENCE_CHARS] for x in self.languages]
-        counts: dict[str, int] = {}
-        for text in prepared:
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        counts.pop(" ", None)
-        known = sorted(counts, key=lambda c: (-counts[c], c))[: CLASSES - 2]
-        n = len(known) + 2
-        self._codes = np.zeros(0x110000, np.uint8)
+        prepared = [_letters(references[x]) for x in self.languages]
+        known = sorted(set().union(*prepared) - {" "})
+        self._codes = np.zeros(0x110000, np.int32)
         self._codes[ord(" ")] = 1
         for k, c in enumerate(known):
             self._codes[ord(c)] = k + 2
-        tables = [parsing_table(self._encode(text).tolist(), n) for text in prepared]
-        starts = np.cumsum([0, *(len(t) for t in tables)])
-        self._roots = starts[:-1].astype(np.int64) * n
-        # A state is kept as the place of its row, so that a step is one addition and one lookup.
-        self._next = np.concatenate([((t & (END - 1)) + s) * n | np.int64(t & END) << 32 for t, s in zip(tables, starts, strict=False)]).ravel() if tables else np.zeros(0, np.int64)
+        n, states, places = len(known) + 2, 0, 0
+        self._roots, self._fresh = np.zeros(len(prepared), np.int32), np.zeros((len(prepared), n), np.int32)
+        parts: list[tuple[np.ndarray, ...]] = []
+        for k, text in enumerate(prepared):
+            moves, _ = suffix_automaton(self._encode(text).tolist())
+            base, owner, to = packed(moves, n)
+            self._roots[k] = states
+            self._fresh[k] = states
+            for c, nxt in moves[0].items():
+                self._fresh[k, c] = states + nxt
+            parts.append((base + places, np.where(owner < 0, -1, owner + states), to + states))
+            states, places = states + len(moves), places + len(owner)
+        self._base, self._owner, self._to = (np.concatenate(x).astype(np.int32) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
 
     def _encode(self, text: str) -> np.ndarray:
         return self._codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -116,18 +124,20 @@ class CrossParser:
         for lo in range(0, len(order), 512):
             own = order[lo : lo + 512]
             width = int(lengths[own[0]])
-            lanes = np.zeros((width, len(own)), np.int64)
+            lanes = np.zeros((width, len(own)), np.int32)
             for k, o in enumerate(own):
                 i, b = blocks[o]
                 lanes[: lengths[o], k] = coded[i][b : b + BLOCK]
             alive = np.searchsorted(-lengths[own], -np.arange(width), side="left")
             state = np.repeat(self._roots[:, None], len(own), axis=1)
-            ended = np.zeros(state.shape, np.int64)
+            ended = np.zeros(state.shape, np.int32)
             for t in range(width):
                 n = alive[t]
-                got = self._next[state[:, :n] + lanes[t, :n]]
-                ended[:, :n] += got >> 62
-                state[:, :n] = got & 0xFFFFFFFF
+                now, code = state[:, :n], lanes[t, :n]
+                place = self._base[now] + code
+                goes = self._owner[place] == now
+                ended[:, :n] += ~goes
+                state[:, :n] = np.where(goes, self._to[place], self._fresh[:, code])
             ended += state != self._roots[:, None]  # the last phrase of each block
             np.add.at(out, np.array([blocks[o][0] for o in own]), ended.T)
         return out, sizes
@@ -150,15 +160,28 @@ def _parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(references))
 
 
+def _spread(text: str, limit: int) -> str:
+    """The text if it is that short, else windows of it from evenly spread places."""
+    if len(text) <= limit:
+        return text
+    size, last = limit // WINDOWS, len(text) - limit // WINDOWS
+    return " ".join(text[last * k // (WINDOWS - 1) :][:size] for k in range(WINDOWS))
+
+
 def references(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[str, str], ...]:
     """Reference text of each language, from at most `rows` of its rows (doc_id, text, lang)."""
     usable = labelled.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    got = least_hashes(sample_per_stratum(usable, "doc_id", "lang", rows).collect(), lambda r: r["lang"], lambda r: (r["sample_hash"], r["doc_id"]), rows)
+    size = DOCUMENT_CHARS // WINDOWS
+    last = F.length("text") - size
+    windows = [F.substr("text", (last * k / (WINDOWS - 1)).cast("int") + 1, F.lit(size)) for k in range(WINDOWS)]
+    cut = F.when(F.length("text") <= DOCUMENT_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *windows))
+    sampled = sample_per_stratum(usable, "doc_id", "lang", rows).withColumn("text", cut)
+    got = least_hashes(sampled.collect(), lambda r: r["lang"], lambda r: (r["sample_hash"], r["doc_id"], r["text"]), rows)
     texts: dict[str, list[str]] = {}
     for r in got:
-        texts.setdefault(r["lang"], []).append(r["text"])
+        texts.setdefault(r["lang"], []).append(_letters(r["text"]))
     # Equal shares of each document, so that one long text is not all that a language knows.
-    return tuple((k, " ".join(_letters(t)[: max(400, REFERENCE_CHARS // len(v))] for t in v)) for k, v in sorted(texts.items()))
+    return tuple((k, " ".join(_spread(t, REFERENCE_CHARS // len(v)) for t in v)) for k, v in sorted(texts.items()))
 
 
 def identify(docs: DataFrame, learnt: tuple[tuple[str, str], ...]) -> DataFrame:

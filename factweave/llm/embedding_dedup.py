@@ -30,8 +30,8 @@ from ._shared import materialize
 MIN_COSINE = 0.95
 #: With these a pair at the threshold is found with a probability of about 0.997, a closer one more often.
 TABLES, PROBES, SPREAD, SEED = 8, 3, 0.7, 20
-#: Members of a cell that are compared at once.
-BLOCK = 2048
+#: Members of a cell that are compared at once, and rows of the comparison at a time.
+BLOCK, SLAB = 4096, 256
 _U = np.uint64
 
 
@@ -116,24 +116,22 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def linked(unit: np.ndarray, own: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j within the cosine, one of each pair at home in the cell; with two blocks, one of each block."""
-    left, right = [], []
-    for lo in range(0, len(unit), 512):
+def linked(unit: np.ndarray, own: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j within the cosine, one of each pair at home in the cell; with two blocks, one of each block. SLAB rows at a time."""
+    single = unit.astype(np.float32)
+    for lo in range(0, len(unit), SLAB):
         # Single precision leaves out what is far below the threshold; double precision decides.
-        near = unit[lo : lo + 512].astype(np.float32) @ unit.astype(np.float32).T >= MIN_COSINE - 1e-4
+        near = single[lo : lo + SLAB] @ single[lo:].T >= MIN_COSINE - 1e-4
         i, j = np.nonzero(near)
         i += lo
+        j += lo
         ok = (i < j) & (own[i] | own[j])
         if side is not None:
             ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
-        for k in range(0, len(i), 1 << 16):
-            a, c = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            sure = (unit[a] * unit[c]).sum(axis=1) >= MIN_COSINE
-            left.append(a[sure])
-            right.append(c[sure])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+        sure = np.concatenate([(unit[i[k : k + (1 << 16)]] * unit[j[k : k + (1 << 16)]]).sum(axis=1) >= MIN_COSINE for k in range(0, len(i), 1 << 16)] or [np.zeros(0, bool)])
+        if sure.any():
+            yield i[sure], j[sure]
 
 
 def first_meeting(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -168,22 +166,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit = _unit(_matrix(part.column(8)))
             one, two = part.column(2)[0].as_py(), part.column(3)[0].as_py()
             side = part.column(5).to_numpy(zero_copy_only=False) if one != two else None
-            i, j = linked(unit, own, side)
-            if not len(i):
+            keys, links, label = None, np.zeros(len(unit), np.int64), np.arange(len(unit))
+            for i, j in linked(unit, own, side):
+                keys = cells(unit) if keys is None else keys
+                # Each pair names its first cell from the lesser id on, the same wherever it is met.
+                swap = ids[i] > ids[j]
+                first = first_meeting(keys, np.where(swap, j, i), np.where(swap, i, j)).view(np.int64) == cell
+                links += np.bincount(i[first], weights[j[first]], len(unit)).astype(np.int64) + np.bincount(j[first], weights[i[first]], len(unit)).astype(np.int64)
+                nodes, least = least_labels(label[i], label[j])
+                label[nodes] = least
+                label = label[label]
+            if keys is None:
                 continue
-            live, spot = np.unique(np.concatenate((i, j)), return_inverse=True)
-            # Each pair names its first cell from the lesser id on, the same wherever it is met.
-            keys, a, c = cells(unit[live]), spot[: len(i)], spot[len(i) :]
-            swap = ids[i] > ids[j]
-            first = first_meeting(keys, np.where(swap, c, a), np.where(swap, a, c)).view(np.int64) == cell
-            links = np.zeros(len(unit), np.int64)
-            np.add.at(links, i[first], weights[j[first]])
-            np.add.at(links, j[first], weights[i[first]])
-            nodes, least = least_labels(ids[i], ids[j])
-            by_id = dict(zip(nodes.tolist(), least.tolist(), strict=True))
-            columns[0] += ids[live].tolist()
-            columns[1] += links[live].tolist()
-            columns[2] += [by_id[x] for x in ids[live].tolist()]
+            members = np.bincount(label, minlength=len(unit))[label] > 1
+            lowest = np.full(len(unit), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, label, ids)
+            columns[0] += ids[members].tolist()
+            columns[1] += links[members].tolist()
+            columns[2] += lowest[label][members].tolist()
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "links", "least"])
 

@@ -132,11 +132,11 @@ def der_size(head: bytes) -> int | None:
     return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
 
 
-def ssh_size(body: str, begin: int) -> int | None:
-    """Bytes of the OpenSSH container for one key that begins at body[begin]: the magic, three strings, a number, the public
-    and the private string. Only the lengths are decoded; None where they lead out of the body."""
+def ssh_size(body: str, begin: int, parts: int = 6) -> int | None:
+    """Bytes of the first parts of the OpenSSH container for one key that begins at body[begin]: behind the magic three strings,
+    a number, the public and the private string. Only the lengths are decoded; None where they lead out of the body."""
     at, room = len(SSH_MAGIC), (len(body) - begin) * 3 // 4
-    for part in range(6):
+    for part in range(parts):
         if part != 3:
             group = begin + at // 3 * 4
             found = (decode64(body[group : group + 8]) or b"")[at % 3 : at % 3 + 4]
@@ -189,7 +189,7 @@ def armoured(run: str, start: int) -> list[tuple[int, int, int]]:
 def _ssh_ends(body: str, chars: list[int], begin: int) -> list[int]:
     """Where a container that begins with line `begin` may end: where its lengths say so, else with one of the run's last lines."""
     first = chars[begin]
-    if not (decode64(body[first : first + 20]) or b"").startswith(SSH_MAGIC):
+    if not (decode64(body[first : first + 20]) or b"").startswith(SSH_MAGIC) or not ssh_size(body, first, 3):
         return []
     size = ssh_size(body, first)
     if size:

@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +38,8 @@ from ._shared import chunks, fresh_path
 END_ID = 0
 #: Bytes of text that go to a file; the ids take about as much room as the text, or half of it.
 FILE_BYTES = 24 << 20
-#: Words of a generation; each Python worker keeps two.
-KEPT_WORDS = 150_000
+#: Most words that a Python worker keeps; beyond, it goes on with those of the texts at hand.
+KEPT_WORDS = 400_000
 #: Code points that are encoded together, and words that the library's model gets at once.
 TOGETHER, JOINED = 4 << 20, 4000
 #: Rows that Spark hands to a Python worker at once.
@@ -54,7 +54,7 @@ INDEX = "file int, ordinal long, doc_id long, offset long, length long, n_tokens
 #: Letters of the Latin blocks, which are letters in all versions of the character tables, and marks behind words.
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,!?;:)|#$%&*"
 #: Words, marks and single line ends, which the pattern cuts apart wherever they meet.
-_SIMPLE = re.compile(rf"[{_LETTERS}]+[{_MARKS}]*(?:\n[{_LETTERS}]+[{_MARKS}]*)*")
+_SIMPLE = rf"^[{_LETTERS}]+[{_MARKS}]*(?:\n[{_LETTERS}]+[{_MARKS}]*)*$"
 #: A space between characters that surely aren't white space, where the byte-level pattern always cuts.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
@@ -107,6 +107,37 @@ def crosses(piece: bytes) -> bool:
     return None not in kinds and any(x != y and x != "space" or y == "space" for x, y in zip(kinds, kinds[1:], strict=False))
 
 
+def laid_out(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces flat[begin : begin + size], one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Kept:
+    """Words with their ids, as columns: words, where each one's ids begin, how many there are, and all ids."""
+
+    def __init__(self, kind: str):
+        self.words, self.begin, self.sizes, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def places(self, words: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The place of each of the distinct words; those that aren't kept are encoded first."""
+        found = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(pc.is_null(found))
+        if len(fresh):
+            if len(self.words) + len(fresh) > KEPT_WORDS:
+                used = found.drop_null()
+                self.words, spot = self.words.take(used), used.to_numpy()
+                self._set(self.sizes[spot], laid_out(self.ids, self.begin[spot], self.sizes[spot]))
+            sizes, ids = encode(fresh)
+            self.words = pa.concat_arrays([self.words, fresh])
+            self._set(np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids)))
+            found = pc.index_in(words, value_set=self.words)
+        return found.to_numpy()
+
+    def _set(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.sizes, self.ids, self.begin = sizes, ids, np.cumsum(sizes) - sizes
+
+
 class Encoder:
     """The library's byte-level BPE. Its pattern cuts at every single space between two other characters, and merges
     never cross a cut; so each such piece is encoded once and kept.
@@ -124,8 +155,8 @@ class Encoder:
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # words are kept here
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.spaced: list[dict[str, bytes]] = [{}, {}]
-        self.bare: list[dict[str, bytes]] = [{}, {}]
+        self.kind = f"<u{self.width}"
+        self.spaced, self.bare = Kept(self.kind), Kept(self.kind)
         byte_of = {c: b for b, c in BYTE_CHARS.items()}
         vocabulary = [(w, i) for w, i in self.library.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in w)]
         self.joins = not any(crosses(bytes(byte_of[c] for c in w)) for w, _ in vocabulary)
@@ -139,7 +170,7 @@ class Encoder:
             apart = set(whole)
             rest = iter(self._by_words([t for k, t in enumerate(texts) if k not in apart]))
             alone = iter(self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False))
-            return [np.array(next(alone).ids, f"<u{self.width}") if k in apart else next(rest) for k in range(len(texts))]
+            return [np.array(next(alone).ids, self.kind) if k in apart else next(rest) for k in range(len(texts))]
         return self._by_words(texts)
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
@@ -147,65 +178,52 @@ class Encoder:
             return []
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         pieces, offsets = split.values.dictionary_encode(), split.offsets.to_numpy()
-        words = pieces.dictionary.to_pylist()
+        words = pieces.dictionary
         # A piece that is empty or has white space at an end may not be cut off so simply.
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+        odd = pc.or_(pc.equal(pc.utf8_length(words), 0), pc.not_equal(pc.utf8_trim_whitespace(words), words)).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._joined(pieces.indices.to_numpy(), words, offsets)
         where = np.maximum.reduceat(odd[pieces.indices.to_numpy()], offsets[:-1])
         careful = [_CUT.split(texts[k]) for k in np.flatnonzero(where)]
         flat = pa.array([w for p in careful for w in p], pa.large_string()).dictionary_encode()
-        apart = iter(self._joined(flat.indices.to_numpy(), flat.dictionary.to_pylist(), np.cumsum([0, *map(len, careful)])))
+        apart = iter(self._joined(flat.indices.to_numpy(), flat.dictionary, np.cumsum([0, *map(len, careful)])))
         plain = iter(self._by_words([texts[k] for k in np.flatnonzero(~where)]))
         return [next(apart) if w else next(plain) for w in where]
 
-    def _joined(self, index: np.ndarray, words: list[str], offsets: np.ndarray) -> list[np.ndarray]:
+    def _joined(self, index: np.ndarray, words: pa.Array, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of texts whose pieces are words[index], each text from its offset to the next one."""
         first = offsets[:-1]
         inside = np.ones(len(index), bool)
         inside[first] = False
-        used = np.unique(index[inside])
+        seen = np.zeros(len(words), bool)
+        seen[index[inside]] = True
+        used = np.flatnonzero(seen)
         heads, head = np.unique(index[first], return_inverse=True)
-        parts = self._look_up([words[k] for k in used], self.spaced, " ") + self._look_up([words[k] for k in heads], self.bare, "")
         place = np.zeros(len(words), np.int64)
-        place[used] = np.arange(len(used))
+        place[used] = self.spaced.places(words.take(pa.array(used)), lambda w: self._fresh(w, " "))
         spot = place[index]
-        spot[first] = len(used) + head
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
-        begin = np.cumsum(sizes) - sizes
-        n = sizes[spot]
-        ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(parts), f"<u{self.width}")[np.repeat(begin[spot] - ends + n, n) + np.arange(ends[-1])]
-        return np.split(ids, ends[offsets[1:-1] - 1])
-
-    def _look_up(self, words: list[str], kept: list[dict[str, bytes]], before: str) -> list[bytes]:
-        """Bytes of the ids of each word, with `before` in front of it."""
-        if len(kept[0]) > (KEPT_WORDS if before else KEPT_WORDS // 4):
-            kept[:] = {}, kept[0]
-        now, older = kept
-        out = [now.get(w) for w in words]
-        missing = [k for k, x in enumerate(out) if x is None]
-        again = [older.get(words[k]) for k in missing]
-        fresh = iter(self._fresh([words[k] for k, x in zip(missing, again, strict=True) if x is None], before))
-        for k, x in zip(missing, again, strict=True):
-            out[k] = now[words[k]] = next(fresh) if x is None else x
-        return out
-
-    def _fresh(self, words: list[str], before: str) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(words)
-        simple = [k for k, w in enumerate(words) if _SIMPLE.fullmatch(w)] if self.joins and before else []
-        for lo in range(0, len(simple), JOINED):
-            some = simple[lo : lo + JOINED]
-            joined = "".join([" " + words[k] for k in some]).encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = np.array([t.id for t in self.model.tokenize(joined)], f"<u{self.width}")
-            cuts = np.flatnonzero(self.begins[ids]) * self.width
-            data = ids.tobytes()
-            for k, a, b in zip(some, cuts.tolist(), [*cuts[1:].tolist(), len(data)], strict=True):
-                out[k] = data[a:b]
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.library.encode_batch_fast([before + words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return out
+        spot[first] = len(self.spaced.sizes) + self.bare.places(words.take(pa.array(heads)), lambda w: self._fresh(w, ""))[head]
+        begin = np.concatenate((self.spaced.begin, self.bare.begin + len(self.spaced.ids)))
+        sizes = np.concatenate((self.spaced.sizes, self.bare.sizes))[spot]
+        ids = laid_out(np.concatenate((self.spaced.ids, self.bare.ids)), begin[spot], sizes)
+        return np.split(ids, np.cumsum(sizes)[offsets[1:-1] - 1])
+
+    def _fresh(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has with `before` in front of it, and the ids of all."""
+        simple = pc.match_substring_regex(words, _SIMPLE) if self.joins and before else pa.array(np.zeros(len(words), bool))
+        flags = simple.to_numpy(zero_copy_only=False)
+        easy, hard = np.flatnonzero(flags), np.flatnonzero(~flags)
+        cuts = np.append(np.arange(0, len(easy), JOINED), len(easy))
+        sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)]
+        for joined in pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.filter(simple).cast(pa.string())), " ").to_pylist():
+            said = (" " + joined).encode().decode("latin-1").translate(BYTE_CHARS)
+            parts.append(np.array([t.id for t in self.model.tokenize(said)], self.kind))
+            sizes.append(np.diff(np.append(np.flatnonzero(self.begins[parts[-1]]), len(parts[-1]))))
+        found = [e.ids for e in self.library.encode_batch_fast([before + w for w in words.take(pa.array(hard)).to_pylist()], add_special_tokens=False)]
+        parts += [np.array(x, self.kind) for x in found]
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        order = np.argsort(np.concatenate((easy, hard)), kind="stable")
+        return sizes[order], laid_out(np.concatenate(parts), (np.cumsum(sizes) - sizes)[order], sizes[order])
 
 
 @lru_cache(maxsize=2)

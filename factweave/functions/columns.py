@@ -24,9 +24,15 @@ def short_hash(c: Column) -> Column:
 
 
 def float_text(v: Column) -> Column:
-    """A double as Python writes it: whole numbers end in .0 however large."""
-    whole = (v == F.floor(v)) & (F.abs(v) < 1e16)
-    return F.when(whole, F.concat(v.cast("decimal(20,0)").cast("string"), F.lit(".0"))).otherwise(v.cast("string"))
+    """A double as Python writes it: in full from 1e-4 up to 1e16, with an exponent of two digits outside; Spark itself goes
+    over to exponents at 1e7 and below 1e-3."""
+    java = v.cast("string")
+    mantissa, power = F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), F.regexp_extract(java, r"E(-?[0-9]+)\z", 1).try_cast("int")
+    full = F.regexp_replace(F.regexp_replace(java.try_cast("decimal(38,22)").cast("string"), r"0+\z", ""), r"\.\z", ".0")
+    sign = F.when(power < 0, "-").otherwise("+")
+    short = F.concat(F.regexp_replace(mantissa, r"\.0\z", ""), F.lit("e"), sign, F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    named = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return F.when(v.isNull(), None).when(~java.contains("E"), F.coalesce(named, java)).when(power.between(-4, 15), full).otherwise(short)
 
 
 def to_number(c: Column) -> Column:

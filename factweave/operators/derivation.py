@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.columns import strip
-from factweave.functions.patterns import OPERATOR_WEIGHTS
+from factweave.functions.columns import coord_id, strip
+from factweave.functions.patterns import ALIGNMENT_OPERATORS, OPERATOR_WEIGHTS
 
 
 def derive(operands: DataFrame, operator: str) -> DataFrame:
@@ -46,6 +46,8 @@ def parse_time(c: Column) -> Column:
 def temporal_align(nodes: DataFrame, prov: DataFrame, operator: str = "MATCH") -> DataFrame:
     """(doc_id, subject_id, reference_id, operator, confidence): each node of a chunk that isn't a time, with the
     chunk's first time; a node is a time if its value is a text that parses."""
+    if operator not in ALIGNMENT_OPERATORS:
+        raise ValueError(f"unknown alignment {operator}; known: {', '.join(ALIGNMENT_OPERATORS)}")
     time = F.when(F.col("value_kind") == "str", parse_time(F.col("value_str")))
     with_conf = nodes.join(prov.select("doc_id", "prov_id", "confidence"), ["doc_id", "prov_id"], "left").withColumn("c", F.coalesce("confidence", F.lit(1.0))).withColumn("time", time)
     reference = with_conf.where("time is not null").groupBy("doc_id", "chunk_id").agg(F.min_by(F.struct("node_id", "c"), "node_seq").alias("r"))
@@ -54,15 +56,58 @@ def temporal_align(nodes: DataFrame, prov: DataFrame, operator: str = "MATCH") -
 
 
 def chunk_confidence(nodes: DataFrame, prov: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, mean, n) over the nodes with provenance; half-even rounding to six digits."""
+    """(doc_id, chunk_id, mean, n) over the nodes with provenance; summed exactly, half-even rounding to six digits."""
     joined = nodes.join(prov.select("doc_id", "prov_id", "confidence"), ["doc_id", "prov_id"])
-    return joined.groupBy("doc_id", "chunk_id").agg(F.bround(F.avg("confidence"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    mean = F.sum(F.col("confidence").cast("decimal(20,10)")).cast("double") / F.count(F.lit(1))
+    return joined.groupBy("doc_id", "chunk_id").agg(F.bround(mean, 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-STRATEGIES = {"temporal": temporal_align, "confidence": chunk_confidence}
+#: Where the summaries of the confidence pass stand, and what they are called.
+SUMMARY, SUMMARY_LABEL, SUMMARY_PROV = (8, 90, 1), "chunk.confidence.mean", "prov_derived_confidence"
 
 
-def run(kind: str, nodes: DataFrame, prov: DataFrame, **options) -> DataFrame:
+def confidence_pass(nodes: DataFrame, prov: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A summary node for each chunk with provenance, and the derivation that made it of the chunk's nodes.
+
+    (doc_id, node_id, label, value_num, prov_id, chunk_id, n) and (doc_id, result_id, operands, operator, prov_id,
+    confidence). Chunks are numbered in the order of their first nodes."""
+    means = chunk_confidence(nodes, prov)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("node_seq", "node_id"))), lambda x: x["node_id"])
+    listed = nodes.groupBy("doc_id", "chunk_id").agg(ids.alias("operands"), F.min("node_seq").alias("first"))
+    numbered = means.join(listed, ["doc_id", "chunk_id"]).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+    made = numbered.withColumn("node_id", coord_id(*(F.lit(x) for x in SUMMARY), F.col("k"))).withColumn("prov_id", F.lit(SUMMARY_PROV))
+    summaries = made.select("doc_id", "node_id", F.lit(SUMMARY_LABEL).alias("label"), F.col("mean").alias("value_num"), "prov_id", "chunk_id", "n")
+    return summaries, made.select("doc_id", F.col("node_id").alias("result_id"), "operands", F.lit("AVERAGE").alias("operator"), "prov_id", F.lit(1.0).alias("confidence"))
+
+
+def resolve(nodes: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, key, pos, ref, node_id, value_num): each reference as the node with that id, else the first node whose
+    label holds it in any case. One that names no node, or one without a number, is an error.
+
+    Only references that are no ids meet all labels of their document, and only their distinct texts do."""
+    ids = nodes.select("doc_id", F.col("node_id").alias("ref"), F.struct("node_id", "value_num").alias("by_id"))
+    known = references.join(ids, ["doc_id", "ref"], "left")
+    loose = known.where("by_id is null").select("doc_id", "ref").distinct()
+    labelled = nodes.select("doc_id", "label", "node_seq", F.struct("node_id", "value_num").alias("n"))
+    by_label = labelled.join(loose, "doc_id").where(F.contains(F.lower("label"), F.lower("ref"))).groupBy("doc_id", "ref").agg(F.min_by("n", "node_seq").alias("by_label"))
+    found = known.join(by_label, ["doc_id", "ref"], "left").withColumn("n", F.coalesce("by_id", "by_label"))
+    no_node = F.raise_error(F.concat(F.lit("operand not found: "), "ref")).cast("string")
+    no_value = F.raise_error(F.concat(F.lit("operand is not numeric: "), "ref")).cast("double")
+    return found.select("doc_id", "key", "pos", "ref", F.coalesce("n.node_id", no_node).alias("node_id"), F.coalesce("n.value_num", no_value).alias("value_num"))
+
+
+def derive_by_label(nodes: DataFrame, confidences: DataFrame, references: DataFrame, operator: str) -> DataFrame:
+    """(doc_id, key, value, confidence, operands) over references (doc_id, key, pos, ref) to nodes by id or label;
+    `confidences` holds doc_id, node_id and confidence. `operands` are the nodes' ids in order."""
+    found = resolve(nodes, references).join(confidences.select("doc_id", "node_id", "confidence"), ["doc_id", "node_id"])
+    used = found.groupBy("doc_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]), ",").alias("operands"))
+    return derive(found.withColumnRenamed("value_num", "value"), operator).join(used, ["doc_id", "key"])
+
+
+STRATEGIES = {"temporal": temporal_align, "confidence": confidence_pass}
+
+
+def run(kind: str, nodes: DataFrame, prov: DataFrame, **options):
     if kind not in STRATEGIES:
         raise ValueError(f"unknown derivation {kind}; known: {', '.join(sorted(STRATEGIES))}")
     return STRATEGIES[kind](nodes, prov, **options)

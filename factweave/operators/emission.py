@@ -29,7 +29,12 @@ def assign_coords(ext: DataFrame) -> DataFrame:
 
 def nodes(ext: DataFrame) -> DataFrame:
     """Nodes after first-wins deduplication by label, value and unit; numbers have gaps where duplicates stood."""
-    e = assign_coords(ext).withColumn("key", dedup_key(F.col("label"), F.col("value_str"), F.col("unit")))
+    return distinct_nodes(assign_coords(ext))
+
+
+def distinct_nodes(numbered: DataFrame) -> DataFrame:
+    """The same of extractions that have their coordinates."""
+    e = numbered.withColumn("key", dedup_key(F.col("label"), F.col("value_str"), F.col("unit")))
     first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("ext_seq"))
     kept = e.withColumn("rank", first).where("rank = 1")
     return kept.select(
@@ -51,8 +56,9 @@ def tier_stats(prov: DataFrame) -> DataFrame:
     return prov.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-def integrity_violations(nodes_: DataFrame, prov: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without provenance, and edges with an end or a provenance that isn't there."""
+def integrity_violations(nodes_: DataFrame, prov: DataFrame, edges: DataFrame, derivations: DataFrame | None = None, alignments: DataFrame | None = None, forks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, what, id): nodes without provenance, and edges, derivations, alignments and forks that name a node or a
+    provenance that isn't there."""
     key = ["doc_id", "prov_id"]
     bad_nodes = nodes_.join(prov.select(*key), key, "left_anti").select("doc_id", F.lit("node provenance").alias("what"), F.col("node_id").alias("id"))
     ids = nodes_.select("doc_id", "node_id")
@@ -61,4 +67,17 @@ def integrity_violations(nodes_: DataFrame, prov: DataFrame, edges: DataFrame) -
         gone = edges.join(ids.withColumnRenamed("node_id", end), ["doc_id", end], "left_anti")
         out = out.unionByName(gone.select("doc_id", F.lit(f"relation {end}").alias("what"), F.col(end).alias("id")))
     gone = edges.join(prov.select(*key), key, "left_anti").select("doc_id", F.lit("relation provenance").alias("what"), F.col("prov_id").alias("id"))
-    return out.unionByName(gone)
+    out = out.unionByName(gone)
+    named = []
+    if derivations is not None:
+        named += [("derivation result", derivations.select("doc_id", F.col("result_id").alias("node_id"))), ("derivation operand", derivations.select("doc_id", F.explode("operands").alias("node_id")))]
+    if alignments is not None:
+        named += [(f"alignment {c}", alignments.select("doc_id", F.col(c).alias("node_id"))) for c in ("subject_id", "reference_id")]
+    if forks is not None:
+        named.append(("fork option", forks.select("doc_id", F.explode("options.node_id").alias("node_id"))))
+    for what, rows in named:
+        out = out.unionByName(rows.join(ids, ["doc_id", "node_id"], "left_anti").select("doc_id", F.lit(what).alias("what"), F.col("node_id").alias("id")))
+    for what, rows in (("derivation provenance", derivations), ("alignment provenance", alignments)):
+        if rows is not None and "prov_id" in rows.columns:
+            out = out.unionByName(rows.join(prov.select(*key), key, "left_anti").select("doc_id", F.lit(what).alias("what"), F.col("prov_id").alias("id")))
+    return out

@@ -72,7 +72,8 @@ def locations(c: Column) -> Column:
 
 def durations(c: Column) -> Column:
     both = F.arrays_zip(find_all(c, P.DURATION, 1).alias("n"), find_all(c, P.DURATION, 2).alias("u"))
-    return F.transform(both, lambda m: _number("Duration", F.concat(m["n"].cast("decimal(38,0)").cast("string"), F.lit(" "), F.lower(m["u"])), (6, 2, 1), "tier1:duration", to_number(m["n"]), F.lower(m["u"])))
+    whole = lambda n: F.regexp_replace(n, r"^0+(?=[0-9])", "")  # noqa: E731  of any length, so never a number of Spark
+    return F.transform(both, lambda m: _number("Duration", F.concat(whole(m["n"]), F.lit(" "), F.lower(m["u"])), (6, 2, 1), "tier1:duration", to_number(m["n"]), F.lower(m["u"])))
 
 
 def ratios(c: Column) -> Column:
@@ -94,20 +95,23 @@ def clear_hits(text: Column, word: str) -> Column:
 
 def claims(c: Column) -> Column:
     """One row for each class with words that no negation precedes within 20 characters; GROWTH and DECLINE swap where
-    the chunk has a negation anywhere."""
+    the chunk has a negation anywhere.
+
+    Without one, occurrences are counted by length; the walk along a word's places is left to chunks that have one. Hits
+    are an array of their own, so that they are counted once however often a row names them."""
     low = F.lower(c)
     negated = low.rlike(P.NEGATION)
 
     def hits(words: list[str]) -> Column:
-        return sum((F.when(low.contains(w), clear_hits(low, w)).otherwise(0) for w in words), F.lit(0))
+        plain = sum(((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0.0)).cast("int")
+        walked = sum((F.when(low.contains(w), clear_hits(low, w)).otherwise(0) for w in words), F.lit(0))
+        return F.when(~contains_any(low, words), 0).when(negated, walked).otherwise(plain)
 
     swap = {"GROWTH": "DECLINE", "DECLINE": "GROWTH"}
-    rows = []
-    for name, words in P.CLAIM_WORDS.items():
-        strength = F.least(F.lit(1.0), hits(words) * 0.25)
-        label = F.when(negated, F.lit(f"{swap.get(name, name)} claim")).otherwise(F.lit(f"{name} claim"))
-        rows.append(F.when(contains_any(low, words), _number("ClaimType", label, (8, 1, 2), "tier2:claim", strength, None)))
-    return F.filter(F.array(*rows), lambda r: r.isNotNull() & (r["value_num"] > 0))
+    counted = F.array(*(F.struct(F.when(negated, swap.get(name, name)).otherwise(name).alias("name"), hits(words).alias("n")) for name, words in P.CLAIM_WORDS.items()))
+    strength = lambda x: F.least(F.lit(1.0), x["n"] * 0.25)
+    row = lambda x: _row("ClaimType", F.concat(x["name"], F.lit(" claim")), (8, 1, 2), "tier2:claim", "float", strength(x).cast("string"), strength(x))
+    return F.transform(F.filter(counted, lambda x: x["n"] > 0), row)
 
 
 def sentiment(c: Column) -> Column:
@@ -121,18 +125,39 @@ def sentiment(c: Column) -> Column:
     return F.when(top > 0, F.array(_row("Sentiment", label, (8, 2, 1), "tier2:sentiment", "int", top.cast("string"), top))).otherwise(empty())
 
 
-def extract(chunks: DataFrame, max_tier: int = 2) -> DataFrame:
-    """Extractions of all chunks but JSON ones, numbered by document in order of chunk, extractor and place."""
-    c, p = F.col("content"), F.col("patterns")
-    cast = lambda a: a.cast(f"array<{FIELDS}>")
-    prose = F.col("chunk_type") == "PROSE"
+#: Extractors in the order that numbers coordinates: what it reads, whether of prose alone, its tier, category, and whether its rows
+#: have a unit.
+EXTRACTORS = (
+    (money, "patterns", False, 1, 7, True), (percents, "patterns", False, 1, 7, True), (dates, "patterns", False, 1, 6, False), (key_values, "patterns", False, 1, 3, False), (list_items, "patterns", False, 1, 3, False),
+    (organisations, "content", True, 1, 1, False), (people, "content", True, 1, 1, False), (locations, "content", True, 1, 5, False), (durations, "content", True, 1, 6, True), (ratios, "content", True, 1, 7, True),
+    (claims, "content", False, 2, 8, False), (sentiment, "content", False, 2, 8, False),
+)
+
+
+def needed(majors: tuple[int, ...] | None) -> list[tuple]:
+    """The extractors that nodes of these categories hang on.
+
+    Numbers are given within a category, and nodes are equal only if their units are: rows with a unit never meet rows
+    without one, and units of different categories differ. So categories whose rows all have units, as quantities, need
+    their own extractors alone; any other needs all those without units besides."""
+    if majors is None:
+        return list(EXTRACTORS)
+    own = [e for e in EXTRACTORS if e[4] in majors]
+    bare = any(not e[5] for e in own)
+    return [e for e in EXTRACTORS if e in own or (bare and not e[5])]
+
+
+def extract(chunks: DataFrame, max_tier: int = 2, majors: tuple[int, ...] | None = None) -> DataFrame:
+    """Extractions of all chunks but JSON ones, numbered by document in order of chunk, extractor and place.
+
+    With `majors` only what nodes of these categories hang on; the others that come along may lack rows, and ext_seq
+    has other numbers in the same order."""
     parts = []
-    if max_tier >= 1:
-        parts += [cast(f(p)) for f in (money, percents, dates, key_values, list_items)]
-        parts += [F.when(prose, cast(f(c))).otherwise(empty()) for f in (organisations, people, locations, durations, ratios)]
-    if max_tier >= 2:
-        parts += [cast(claims(c)), cast(sentiment(c))]
-    rows = chunks.where(F.col("chunk_type") != "JSON").select("doc_id", "chunk_id", "chunk_seq", F.posexplode(F.concat(*parts)).alias("pos", "e"))
+    for make, source, prose_only, tier, _, _ in needed(majors):
+        if tier <= max_tier:
+            found = make(F.col(source)).cast(f"array<{FIELDS}>")
+            parts.append(F.when(F.col("chunk_type") == "PROSE", found).otherwise(empty()) if prose_only else found)
+    rows = chunks.where(F.col("chunk_type") != "JSON").select("doc_id", "chunk_id", "chunk_seq", F.posexplode(F.concat(*parts) if parts else empty()).alias("pos", "e"))
     order = Window.partitionBy("doc_id").orderBy("chunk_seq", "pos")
     return rows.select("doc_id", "chunk_id", "chunk_seq", F.row_number().over(order).cast("long").alias("ext_seq"), "e.*")
 

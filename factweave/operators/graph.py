@@ -21,50 +21,59 @@ def ensure_checkpoints(df: DataFrame) -> None:
 
 
 def hops(edges: DataFrame, direction: str = "out", predicate: str | None = None) -> DataFrame:
-    """(doc_id, src, dst) to walk along; for both directions the outgoing edges come first."""
+    """(doc_id, src, dst, rank) to walk along, one of each (src, dst), the first by rank.
+
+    Ranks order the ways out of a node: outgoing edges first, and edges as programs keep them, by subject, predicate and
+    object."""
     e = edges if predicate is None else edges.where(F.col("predicate") == predicate)
-    out = e.select("doc_id", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
-    back = e.select("doc_id", F.col("object_id").alias("src"), F.col("subject_id").alias("dst"))
-    return {"out": out, "in": back, "both": out.union(back)}[direction]
+    out = e.select("doc_id", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.concat(F.lit("0 "), "predicate", F.lit(" "), "object_id").alias("rank"))
+    back = e.select("doc_id", F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), F.concat(F.lit("1 "), "subject_id", F.lit(" "), "predicate").alias("rank"))
+    return {"out": out, "in": back, "both": out.union(back)}[direction].groupBy("doc_id", "src", "dst").agg(F.min("rank").alias("rank"))
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, predicate: str | None = None, max_depth: int = 3, direction: str = "out") -> DataFrame:
-    """(doc_id, start, node_id, depth): nodes first reached at each depth from (doc_id, start); the start isn't one.
+    """(doc_id, start, node_id, depth, path): nodes first reached at each depth from (doc_id, start); the start isn't one.
 
-    Ends without a node are walked through but not returned."""
+    The path is the one that a breadth-first walk takes which follows the ways out of each node by their rank. Ends
+    without a node are walked through but not returned."""
     ensure_checkpoints(edges)
-    ways = hops(edges, direction, predicate).distinct()
-    reached = starts.select("doc_id", "start", F.col("start").alias("at"), F.lit(0).alias("depth"))
+    ways = hops(edges, direction, predicate).checkpoint()
+    reached = starts.select("doc_id", "start", F.col("start").alias("at"), F.lit(0).alias("depth"), F.struct(F.array().cast("array<string>").alias("ranks"), F.array("start").alias("nodes")).alias("path"))
     frontier = reached
     for depth in range(1, max_depth + 1):
-        step = frontier.join(ways, (frontier["doc_id"] == ways["doc_id"]) & (F.col("at") == F.col("src"))).select(frontier["doc_id"], "start", F.col("dst").alias("at")).distinct()
-        frontier = step.join(reached, ["doc_id", "start", "at"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        step = frontier.join(ways, (frontier["doc_id"] == ways["doc_id"]) & (F.col("at") == F.col("src")))
+        path = F.struct(F.concat("path.ranks", F.array("rank")).alias("ranks"), F.concat("path.nodes", F.array("dst")).alias("nodes"))
+        step = step.groupBy(frontier["doc_id"], "start", F.col("dst").alias("at")).agg(F.min(path).alias("path"))
+        step = step.join(reached.select("doc_id", "start", "at"), ["doc_id", "start", "at"], "left_anti")
+        frontier = step.select("doc_id", "start", "at", F.lit(depth).alias("depth"), "path").checkpoint()
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
     found = reached.where("depth > 0").withColumnRenamed("at", "node_id")
-    return found.join(nodes.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", "start", "node_id", "depth")
+    found = found.join(nodes.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
+    return found.select("doc_id", "start", "node_id", "depth", F.array_join("path.nodes", ">").alias("path"))
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(doc_id, a, b, length, path) of each pair that an undirected walk of at most max_depth edges joins; the least
-    path by its node ids where several are as short."""
+    """(doc_id, a, b, length, path) of each pair that an undirected walk of at most max_depth edges joins; of several as
+    short, the one that a breadth-first walk from a meets first which follows the ways out of each node by their rank.
+
+    The search runs from the distinct ends b, once for all pairs that share one: each node reached learns its next node
+    toward b, the one by the least rank, so its path is told when it is reached. So the work follows the distinct ends."""
     ensure_checkpoints(edges)
-    ways = hops(edges, "both").distinct()
-    front = pairs.select("doc_id", "a", "b", F.col("a").alias("at"), F.array("a").alias("path"))
-    done = front.where("a = b").select("doc_id", "a", "b", F.lit(0).alias("length"), "path")
-    front, seen = front.where("a <> b"), front.where("a <> b").select("doc_id", "a", "b", "at")
+    ways = hops(edges, "both").checkpoint()
+    front = pairs.select("doc_id", "b").distinct().select("doc_id", "b", F.col("b").alias("at"), F.lit(0).alias("length"), F.array("b").alias("path"))
+    reached = front
     for depth in range(1, max_depth + 1):
-        step = front.join(ways, (front["doc_id"] == ways["doc_id"]) & (F.col("at") == F.col("src")))
-        step = step.select(front["doc_id"], "a", "b", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("doc_id", "a", "b", "at").agg(F.min("path").alias("path")).join(seen, ["doc_id", "a", "b", "at"], "left_anti").checkpoint()
-        hit = step.where(F.col("at") == F.col("b")).select("doc_id", "a", "b", F.lit(depth).alias("length"), "path")
-        done = done.unionByName(hit)
-        front = step.join(hit, ["doc_id", "a", "b"], "left_anti").checkpoint()
+        step = front.join(ways, (front["doc_id"] == ways["doc_id"]) & (F.col("at") == F.col("dst")))
+        step = step.groupBy(front["doc_id"], "b", F.col("src").alias("at")).agg(F.min_by("path", "rank").alias("path"))
+        step = step.join(reached.select("doc_id", "b", "at"), ["doc_id", "b", "at"], "left_anti")
+        front = step.select("doc_id", "b", "at", F.lit(depth).alias("length"), F.concat(F.array("at"), "path").alias("path")).checkpoint()
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select("doc_id", "a", "b", "at"))
-    return done.withColumn("path", F.array_join("path", ">"))
+        reached = reached.unionByName(front)
+    found = pairs.select("doc_id", "a", "b").join(reached.withColumnRenamed("at", "a"), ["doc_id", "a", "b"])
+    return found.select("doc_id", "a", "b", "length", F.array_join("path", ">").alias("path"))
 
 
 def neighbours(nodes: DataFrame, points: DataFrame, radius: float, weights: tuple = (1.0, 0.5, 0.3, 0.1)) -> DataFrame:
@@ -80,30 +89,38 @@ def neighbours(nodes: DataFrame, points: DataFrame, radius: float, weights: tupl
     return nodes.join(near, ["doc_id", "major"]).withColumn("distance", d).where(F.col("distance") <= radius).select("doc_id", "point", "node_id", F.round("distance", 9).alias("distance"))
 
 
-def confidence(nodes: DataFrame, prov: DataFrame, edges: DataFrame, derivations: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+def confidence(nodes: DataFrame, prov: DataFrame, edges: DataFrame, derivations: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(doc_id, node_id, confidence): the least fixed point of
 
         max(base, derivations' min(operands' confidence, own * operator's weight), supporting edges' min(subject's, own))
 
     which recursion gives on graphs without cycles; on cycles it does not hang on the order of visits. A node without
-    provenance starts at 1.0, an operand that isn't a node at 0.0. Values only rise and come from a finite set."""
+    provenance starts at 1.0, an operand that isn't a node at 0.0. Values only rise and come from a finite set, so rounds
+    end; going over max_rounds is an error. Only nodes that rose in the last round speak in the next one."""
     from .space import base_confidence
 
     ensure_checkpoints(nodes)
     base = base_confidence(nodes, prov).select("doc_id", "node_id", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
     ways = edges.where(F.col("predicate").isin(*SUPPORTING)).select("doc_id", F.col("subject_id").alias("from"), F.col("object_id").alias("node_id"), F.col("confidence").alias("own"))
     weight = F.create_map(*(F.lit(x) for kv in OPERATOR_WEIGHTS.items() for x in kv))
+    each = None
+    if derivations is not None:
+        numbered = derivations.select("doc_id", F.col("result_id").alias("node_id"), F.monotonically_increasing_id().alias("n"), (F.col("confidence") * weight[F.col("operator")]).alias("own"), "operands").checkpoint()
+        each = numbered.select("doc_id", "node_id", "n", "own", F.explode("operands").alias("from"))
     now = base.checkpoint()
+    rose = now
     for _ in range(max_rounds):
-        known = now.select("doc_id", F.col("node_id").alias("from"), F.col("confidence").alias("c"))
-        told = ways.join(known, ["doc_id", "from"], "left").groupBy("doc_id", "node_id").agg(F.max(F.least(F.coalesce("c", F.lit(0.0)), "own")).alias("told"))
-        if derivations is not None:
-            each = derivations.select("doc_id", F.col("result_id").alias("node_id"), F.monotonically_increasing_id().alias("n"), (F.col("confidence") * weight[F.col("operator")]).alias("own"), F.explode("operands").alias("from"))
-            got = each.join(known, ["doc_id", "from"], "left").groupBy("doc_id", "node_id", "n").agg(F.least(F.min(F.coalesce("c", F.lit(0.0))), F.first("own")).alias("told"))
+        spoke = rose.select("doc_id", F.col("node_id").alias("from"), F.col("confidence").alias("c"))
+        told = ways.join(spoke, ["doc_id", "from"]).groupBy("doc_id", "node_id").agg(F.max(F.least("c", "own")).alias("told"))
+        if each is not None:
+            # A derivation is judged anew where an operand rose, by all its operands.
+            touched = each.join(spoke, ["doc_id", "from"], "left_semi").select("doc_id", "node_id", "n").distinct()
+            known = now.select("doc_id", F.col("node_id").alias("from"), F.col("confidence").alias("c"))
+            got = each.join(touched, ["doc_id", "node_id", "n"], "left_semi").join(known, ["doc_id", "from"], "left").groupBy("doc_id", "node_id", "n").agg(F.least(F.min(F.coalesce("c", F.lit(0.0))), F.first("own")).alias("told"))
             told = told.unionByName(got.select("doc_id", "node_id", "told")).groupBy("doc_id", "node_id").agg(F.max("told").alias("told"))
-        new = now.join(told, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.greatest("confidence", F.coalesce("told", F.lit(0.0))).alias("confidence"), (F.coalesce("told", F.lit(0.0)) > F.col("confidence")).alias("rose")).checkpoint()
-        more = not new.where("rose").isEmpty()
-        now = new.drop("rose")
-        if not more:
-            break
-    return now
+        higher = told.join(now, ["doc_id", "node_id"]).where("told > confidence").select("doc_id", "node_id", F.col("told").alias("confidence")).checkpoint()
+        if higher.isEmpty():
+            return now
+        now = now.join(higher.withColumnRenamed("confidence", "higher"), ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("higher", "confidence").alias("confidence")).checkpoint()
+        rose = higher
+    raise RuntimeError(f"confidence still rises after {max_rounds} rounds")

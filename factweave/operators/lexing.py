@@ -45,8 +45,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     kinded = docs.select("doc_id", text.alias("text"), lex_kind(text).alias("kind"))
     pieces = F.when(F.col("kind") == "TEXT", F.split("text", _BREAK)).otherwise(F.array(strip(F.col("text"))))
     gaps = F.when(F.col("kind") == "TEXT", find_all(F.col("text"), _BREAK)).otherwise(F.array().cast("array<string>"))
-    each = kinded.select("doc_id", "kind", gaps.alias("gaps"), F.posexplode(pieces).alias("pos", "raw"))
-    gap = F.coalesce(F.length(F.get("gaps", F.col("pos"))), F.lit(0))
+    # Each paragraph with the gap behind it, so that no row carries the gaps of its whole document.
+    zipped = kinded.select("doc_id", "kind", F.posexplode(F.arrays_zip(pieces.alias("raw"), gaps.alias("gap"))).alias("pos", "x"))
+    each = zipped.select("doc_id", "kind", "pos", "x.raw", F.col("x.gap").alias("gap"))
+    gap = F.coalesce(F.length("gap"), F.lit(0))
     order = Window.partitionBy("doc_id").orderBy("pos")
     before = F.coalesce(F.sum(F.length("raw") + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))

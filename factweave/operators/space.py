@@ -54,6 +54,11 @@ def incoming(edges: DataFrame, node_id: str) -> DataFrame:
     return edges.where(F.col("object_id") == node_id)
 
 
+def alignments(found: DataFrame, subject_id: str) -> DataFrame:
+    """The temporal alignments of one subject."""
+    return found.where(F.col("subject_id") == subject_id)
+
+
 def fork_best(forks: DataFrame) -> DataFrame:
     """(doc_id, fork_id, node_id, confidence) of the most confident option, the first on ties; options is an array."""
     best = F.reduce(F.slice("options", 2, F.greatest(F.size("options") - 1, F.lit(0))), F.get("options", F.lit(0)), lambda a, b: F.when(b["confidence"] > a["confidence"], b).otherwise(a))

@@ -136,4 +136,5 @@ def _(spark, d):
 @query("query_quantity_gt", T.over("rendered_docs", *_PROGRAM, select="SELECT doc_id, node_id, label, value_num, unit FROM o_nodes WHERE major = 7 AND value_num > 1000000"))
 def flagship(spark, d):
     """Documents to chunks to extractions to coordinates to nodes, then a filter on quantities."""
-    return nodes_of(spark, d).where("major = 7 and value_num > 1000000").select("doc_id", "node_id", "label", "value_num", "unit")
+    large = emission.nodes(extraction.extract(chunks_of(spark, d), majors=(7,)))
+    return large.where("major = 7 and value_num > 1000000").select("doc_id", "node_id", "label", "value_num", "unit")

@@ -11,7 +11,7 @@ from factweave.sources import adapters, detect
 
 from . import text_oracles as T
 from .catalog import _PROGRAM, chunks_of, nodes_of, query
-from .program import Program, compile_universal
+from .program import Program, compile_documents, compile_universal
 from .views import ctes, view
 
 
@@ -59,9 +59,9 @@ def _(s, d):
     return space.incoming(tables(s, d)[2], _ID).select("doc_id", "subject_id", "predicate", "confidence")
 
 
-@query("fork_best", kb("SELECT doc_id, major AS fork_id, arg_max(node_id, (value_num, -seq)) AS node_id, max(value_num) AS confidence FROM kb_nodes WHERE major = 7 AND instance <= 50 GROUP BY doc_id, major", views=_N))
+@query("fork_best", kb("SELECT doc_id, major AS fork_id, arg_max(node_id, (value_num, -seq)) AS node_id, max(value_num) AS confidence FROM kb_nodes WHERE major = 7 GROUP BY doc_id, major", views=_N))
 def _(s, d):
-    n = tables(s, d)[0].where("major = 7 and instance <= 50")
+    n = tables(s, d)[0].where("major = 7")
     options = F.transform(F.array_sort(F.collect_list(F.struct("seq", "node_id", F.col("value_num").alias("confidence")))), lambda x: F.struct(x["node_id"].alias("node_id"), x["confidence"].alias("confidence")))
     return space.fork_best(n.groupBy("doc_id", F.col("major").alias("fork_id")).agg(options.alias("options")))
 
@@ -138,40 +138,47 @@ def _(s, d):
 
 # ---- graph
 
-_STARTS = "major = 8 AND instance <= 3"
-for _direction, _ways in (
-    ("out", "SELECT doc_id, subject_id AS src, object_id AS dst FROM kb_edges"),
-    ("in", "SELECT doc_id, object_id AS src, subject_id AS dst FROM kb_edges"),
-    ("both", "SELECT doc_id, subject_id AS src, object_id AS dst FROM kb_edges UNION SELECT doc_id, object_id, subject_id FROM kb_edges"),
-):
-    _depth = 2 if _direction == "both" else 3
-    _from = _STARTS if _direction != "in" else "major = 5 AND type = 3"
-
+_OUT = "SELECT doc_id, subject_id AS src, object_id AS dst, '0 ' || predicate || ' ' || object_id AS rank, predicate FROM kb_edges"
+_IN = "SELECT doc_id, object_id AS src, subject_id AS dst, '1 ' || subject_id || ' ' || predicate AS rank, predicate FROM kb_edges"
+_WALKS = (  # name, ways, depth, starts, predicate
+    ("out", _OUT, 3, "major = 8", None),
+    ("in", _IN, 3, "major = 5 AND type = 3", None),
+    ("both", f"{_OUT} UNION ALL {_IN}", 2, "major = 8", None),
+    ("predicate", _OUT, 3, "major IN (1, 5)", "LOCATED_IN"),
+)
+for _direction, _ways, _depth, _from, _only in _WALKS:
     @query(
         f"traverse_{_direction}",
         kb(
-            "SELECT doc_id, start, spot AS node_id, min(depth)::INT AS depth FROM walk WHERE spot <> start AND EXISTS (SELECT 1 FROM kb_nodes n WHERE n.doc_id = walk.doc_id AND n.node_id = spot) GROUP BY doc_id, start, spot",
-            f"ways AS ({_ways})",
-            f"walk(doc_id, start, spot, depth) AS (SELECT doc_id, node_id, node_id, 0 FROM kb_nodes WHERE {_from} UNION SELECT w.doc_id, start, dst, depth + 1 FROM walk w JOIN ways ON w.doc_id = ways.doc_id AND spot = src WHERE depth < {_depth})",
+            "SELECT doc_id, start, spot AS node_id, depth, array_to_string(nodes, '>') AS path FROM first WHERE spot <> start AND EXISTS (SELECT 1 FROM kb_nodes n WHERE n.doc_id = first.doc_id AND n.node_id = spot)",
+            f"ways AS (SELECT doc_id, src, dst, min(rank) AS rank FROM ({_ways}){'' if _only is None else f' WHERE predicate = {T.q(_only)}'} GROUP BY doc_id, src, dst)",
+            f"walk(doc_id, start, spot, depth, ranks, nodes) AS (SELECT doc_id, node_id, node_id, 0, []::VARCHAR[], [node_id] FROM kb_nodes WHERE {_from} UNION ALL SELECT w.doc_id, start, dst, depth + 1, list_append(ranks, rank), list_append(nodes, dst) FROM walk w JOIN ways ON w.doc_id = ways.doc_id AND spot = src WHERE depth < {_depth})",
+            "first AS (SELECT doc_id, start, spot, min(depth)::INT AS depth, arg_min(nodes, (depth, ranks)) AS nodes FROM walk GROUP BY doc_id, start, spot)",
         ),
     )
-    def _(s, d, direction=_direction, starts=_from, depth=_depth):
+    def _(s, d, direction=_direction, starts=_from, depth=_depth, only=_only):
         n, _p, e = tables(s, d)
-        return graph.traverse(n, e, n.where(starts).select("doc_id", F.col("node_id").alias("start")), None, depth, direction)
+        return graph.traverse(n, e, n.where(starts).select("doc_id", F.col("node_id").alias("start")), only, depth, "out" if only else direction)
+
+
+_REGION = "05-03-01-0001"
 
 
 @query(
     "shortest_path",
     kb(
-        "SELECT doc_id, a, b, min(depth)::INT AS length FROM walk WHERE spot = b GROUP BY doc_id, a, b",
-        "ways AS (SELECT doc_id, subject_id AS src, object_id AS dst FROM kb_edges UNION SELECT doc_id, object_id, subject_id FROM kb_edges)",
-        "walk(doc_id, a, b, spot, depth) AS (SELECT doc_id, node_id, '05-03-01-0001', node_id, 0 FROM kb_nodes WHERE major = 8 AND instance <= 2 UNION SELECT w.doc_id, a, b, dst, depth + 1 FROM walk w JOIN ways ON w.doc_id = ways.doc_id AND spot = src WHERE depth < 4 AND spot <> b)",
+        "SELECT p.doc_id, p.node_id AS a, b, d.depth AS length, concat_ws('>', p.node_id, n1.dst, n2.dst, n3.dst, n4.dst) AS path FROM kb_nodes p JOIN dist d ON d.doc_id = p.doc_id AND d.spot = p.node_id"
+        " LEFT JOIN nxt n1 ON n1.doc_id = p.doc_id AND n1.src = p.node_id LEFT JOIN nxt n2 ON n2.doc_id = p.doc_id AND n2.src = n1.dst LEFT JOIN nxt n3 ON n3.doc_id = p.doc_id AND n3.src = n2.dst LEFT JOIN nxt n4 ON n4.doc_id = p.doc_id AND n4.src = n3.dst WHERE p.major = 8",
+        f"ways AS (SELECT doc_id, src, dst, min(rank) AS rank FROM ({_OUT} UNION ALL {_IN}) GROUP BY doc_id, src, dst)",
+        f"walk(doc_id, b, spot, depth) AS (SELECT DISTINCT doc_id, '{_REGION}', '{_REGION}', 0 FROM kb_nodes UNION SELECT w.doc_id, b, src, depth + 1 FROM walk w JOIN ways ON w.doc_id = ways.doc_id AND spot = dst WHERE depth < 4)",
+        "dist AS (SELECT doc_id, b, spot, min(depth)::INT AS depth FROM walk GROUP BY doc_id, b, spot)",
+        "nxt AS (SELECT w.doc_id, w.src, arg_min(w.dst, w.rank) AS dst FROM ways w JOIN dist x ON x.doc_id = w.doc_id AND x.spot = w.src JOIN dist y ON y.doc_id = w.doc_id AND y.spot = w.dst WHERE y.depth = x.depth - 1 GROUP BY w.doc_id, w.src)",
     ),
 )
 def _(s, d):
     n, _p, e = tables(s, d)
-    pairs = n.where("major = 8 and instance <= 2").select("doc_id", F.col("node_id").alias("a"), F.lit("05-03-01-0001").alias("b"))
-    return graph.shortest_path(e, pairs, 4).drop("path")
+    pairs = n.where("major = 8").select("doc_id", F.col("node_id").alias("a"), F.lit(_REGION).alias("b"))
+    return graph.shortest_path(e, pairs, 4)
 
 
 @query("neighbors", kb("SELECT n.doc_id, p.node_id AS point, n.node_id, round(sqrt(1.0 * (n.major - p.major) * (n.major - p.major) + 0.5 * (n.type - p.type) * (n.type - p.type) + 0.3 * (n.subtype - p.subtype) * (n.subtype - p.subtype) + 0.1 * (n.instance - p.instance) * (n.instance - p.instance)), 9) AS distance FROM kb_nodes n JOIN kb_nodes p ON n.doc_id = p.doc_id AND p.node_id = '05-04-01-0001' WHERE distance <= 3.0", views=_N))
@@ -180,13 +187,18 @@ def _(s, d):
     return graph.neighbours(n, space.get(n, "05-04-01-0001"), 3.0)
 
 
+_SPREAD = (
+    "base AS (SELECT n.doc_id, node_id, coalesce(confidence, 1.0) AS c FROM kb_nodes n LEFT JOIN kb_prov p ON n.doc_id = p.doc_id AND n.prov_id = p.prov_id)",
+    "up AS (SELECT doc_id, subject_id, object_id, confidence AS own FROM kb_edges WHERE predicate IN ('DERIVED_FROM', 'SUPPORTS', 'SAME_AS'))",
+    "walk(doc_id, spot, c, depth) AS (SELECT doc_id, node_id, c, 0 FROM base UNION ALL SELECT w.doc_id, object_id, least(c, own), depth + 1 FROM walk w JOIN up ON w.doc_id = up.doc_id AND spot = subject_id WHERE depth < 6)",
+)
+
+
 @query(
     "confidence",
     kb(
         "SELECT doc_id, spot AS node_id, max(c) AS confidence FROM (SELECT doc_id, node_id AS spot, c FROM base UNION ALL SELECT doc_id, spot, c FROM walk) GROUP BY doc_id, spot",
-        "base AS (SELECT n.doc_id, node_id, coalesce(confidence, 1.0) AS c FROM kb_nodes n LEFT JOIN kb_prov p ON n.doc_id = p.doc_id AND n.prov_id = p.prov_id)",
-        "up AS (SELECT doc_id, subject_id, object_id, confidence AS own FROM kb_edges WHERE predicate IN ('DERIVED_FROM', 'SUPPORTS', 'SAME_AS'))",
-        "walk(doc_id, spot, c, depth) AS (SELECT doc_id, node_id, c, 0 FROM base UNION ALL SELECT w.doc_id, object_id, least(c, own), depth + 1 FROM walk w JOIN up ON w.doc_id = up.doc_id AND spot = subject_id WHERE depth < 6)",
+        *_SPREAD,
     ),
 )
 def _(s, d):
@@ -207,6 +219,23 @@ for _op, _fold in _FOLDS.items():
         return derivation.derive(s.sql(_OPERANDS), op)
 
 
+@query(
+    "derive_by_label",
+    kb(
+        "SELECT x.doc_id, 0 AS key, round(x.value_num - y.value_num, 6) AS value, least(cx.c, cy.c, 0.95::DOUBLE) AS confidence, x.node_id || ',' || y.node_id AS operands FROM x JOIN y ON x.doc_id = y.doc_id JOIN conf cx ON cx.doc_id = x.doc_id AND cx.spot = x.node_id JOIN conf cy ON cy.doc_id = y.doc_id AND cy.spot = y.node_id",
+        *_SPREAD,
+        "conf AS (SELECT doc_id, spot, max(c) AS c FROM (SELECT doc_id, node_id AS spot, c FROM base UNION ALL SELECT doc_id, spot, c FROM walk) GROUP BY doc_id, spot)",
+        "x AS (SELECT doc_id, node_id, value_num FROM kb_nodes WHERE node_id = '01-01-01-0001')",
+        "y AS (SELECT doc_id, arg_min(node_id, seq) AS node_id, arg_min(value_num, seq) AS value_num FROM kb_nodes WHERE contains(lower(label), 'order total') GROUP BY doc_id)",
+    ),
+)
+def _(s, d):
+    n, p, e = tables(s, d)
+    both = n.groupBy("doc_id").agg(F.max((F.col("node_id") == "01-01-01-0001").cast("int")).alias("x"), F.max((F.col("major") == 7).cast("int")).alias("y")).where("x = 1 and y = 1")
+    refs = both.select("doc_id", F.lit(0).alias("key"), F.posexplode(F.array(F.lit("01-01-01-0001"), F.lit("Order Total"))).alias("pos", "ref"))
+    return derivation.derive_by_label(n.withColumnRenamed("seq", "node_seq"), graph.confidence(n, p, e), refs, "SUBTRACT")
+
+
 _NODES = (T.extractions(), T.nodes())
 
 
@@ -216,7 +245,24 @@ def _(s, d):
     return derivation.temporal_align(emission.nodes(extraction.extract(chunks)), emission.provenance(chunks))
 
 
-@query("chunk_confidence", kb("SELECT n.doc_id, cast(n.major AS VARCHAR) AS chunk_id, round_even(avg(confidence), 6) AS mean, count(*) AS n FROM kb_nodes n JOIN kb_prov p ON n.doc_id = p.doc_id AND n.prov_id = p.prov_id GROUP BY n.doc_id, n.major"))
+_ALIGNED = T.over("rendered_docs", *_NODES, r"t AS (SELECT *, value_str IS NOT NULL AND major IN (3, 6) AND regexp_matches(value_str, '^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4})$') AS is_time FROM o_nodes)", "r AS (SELECT doc_id, chunk_id, arg_min(node_id, node_seq) AS reference_id FROM t WHERE is_time GROUP BY doc_id, chunk_id)", select="SELECT t.doc_id, node_id AS subject_id, reference_id FROM t JOIN r ON t.doc_id = r.doc_id AND t.chunk_id = r.chunk_id WHERE NOT is_time AND node_id = '07-01-01-0003'")
+
+
+@query("alignments", _ALIGNED)
+def _(s, d):
+    chunks = chunks_of(s, d)
+    found = derivation.temporal_align(emission.nodes(extraction.extract(chunks)), emission.provenance(chunks))
+    return space.alignments(found, "07-01-01-0003").select("doc_id", "subject_id", "reference_id")
+
+
+@query("confidence_pass", T.over("rendered_docs", *_NODES, "l AS (SELECT doc_id, chunk_id, string_agg(node_id, ',' ORDER BY node_seq) AS operands, count(*) AS n, min(node_seq) AS first FROM o_nodes GROUP BY doc_id, chunk_id)", select="SELECT doc_id, chunk_id, printf('08-90-01-%04d', row_number() OVER (PARTITION BY doc_id ORDER BY first)) AS result_id, 1.0::DOUBLE AS mean, n, operands, 'AVERAGE' AS operator FROM l"))
+def _(s, d):
+    chunks = chunks_of(s, d)
+    made, why = derivation.confidence_pass(emission.nodes(extraction.extract(chunks)), emission.provenance(chunks))
+    return made.select("doc_id", "chunk_id", F.col("node_id").alias("result_id"), F.col("value_num").alias("mean"), "n").join(why.select("doc_id", "result_id", F.array_join("operands", ",").alias("operands"), "operator"), ["doc_id", "result_id"])
+
+
+@query("chunk_confidence", kb("SELECT n.doc_id, cast(n.major AS VARCHAR) AS chunk_id, round_even(sum(confidence::DECIMAL(20, 10))::DOUBLE / count(*), 6) AS mean, count(*) AS n FROM kb_nodes n JOIN kb_prov p ON n.doc_id = p.doc_id AND n.prov_id = p.prov_id GROUP BY n.doc_id, n.major"))
 def _(s, d):
     n, p, _e = tables(s, d)
     return derivation.chunk_confidence(n.withColumn("chunk_id", F.col("major").cast("string")), p)
@@ -317,10 +363,34 @@ def _(s, d):
     return claims.mock_claims(claims.requests(chunks_of(s, d))).select("doc_id", "chunk_id", "pos", "subject", "object", "confidence")
 
 
-@query("llm_claims", T.over("rendered_docs", *_NODES, _SENT, select="SELECT a.doc_id, subject || ': ' || object AS label, object AS value_label, (SELECT arg_min(node_id, node_seq) FROM o_nodes n WHERE n.doc_id = a.doc_id AND n.label = object) AS known_id FROM a"))
+_CLAIMED = (
+    "r AS (SELECT doc_id, chunk_id, printf('llm_%06d', row_number() OVER (PARTITION BY doc_id ORDER BY chunk_seq)) AS req_id FROM o_chunks WHERE tier = 3)",
+    "c AS (SELECT a.doc_id, req_id, row_number() OVER (PARTITION BY a.doc_id, req_id ORDER BY i, j) - 1 AS pos, subject || ': ' || object AS label, object, a.confidence::DOUBLE AS confidence, row_number() OVER (PARTITION BY a.doc_id ORDER BY req_id, i, j) AS k FROM a JOIN r ON a.doc_id = r.doc_id AND a.chunk_id = r.chunk_id)",
+    "b AS (SELECT doc_id, content_hash, arg_min(node_id, node_seq) AS node_id FROM o_nodes GROUP BY doc_id, content_hash)",
+    "l AS (SELECT doc_id, label, arg_min(node_id, node_seq) AS node_id FROM o_nodes GROUP BY doc_id, label)",
+    "u AS (SELECT doc_id, max(instance) AS top FROM o_coord WHERE major = 7 AND type = 1 AND subtype = 1 GROUP BY doc_id)",
+    "x AS (SELECT c.*, 'prov_' || req_id || '_' || pos AS pid, b.node_id AS same_id, l.node_id AS known_id, min(k) OVER (PARTITION BY c.doc_id, c.label) AS k1 FROM c LEFT JOIN b ON b.doc_id = c.doc_id AND b.content_hash = substr(sha256(c.label || '|None|None'), 1, 16) LEFT JOIN l ON l.doc_id = c.doc_id AND l.label = c.object)",
+    "f AS (SELECT f.doc_id, object, pid, printf('07-01-01-%04d', coalesce(top, 0) + row_number() OVER (PARTITION BY f.doc_id ORDER BY k)) AS node_id FROM (SELECT doc_id, object, min(k) AS k, arg_min('prov_llm_' || req_id || '_' || pos, k) AS pid FROM x WHERE known_id IS NULL GROUP BY doc_id, object) f LEFT JOIN u ON u.doc_id = f.doc_id)",
+)
+
+
+def modelled(s, d):
+    return compile_documents(view(s, d, "rendered_docs"), executor=claims.mock_claims)
+
+
+@query("llm_nodes", T.over("rendered_docs", *_NODES, _SENT, *_CLAIMED, select="SELECT doc_id, node_id, label, prov_id, value_num, unit FROM o_nodes UNION ALL SELECT doc_id, printf('08-01-01-%04d', k), label, 'prov_llm_' || req_id || '_' || pos, NULL, NULL FROM x WHERE same_id IS NULL AND k = k1 UNION ALL SELECT doc_id, node_id, object, pid, CASE WHEN contains(object, 'billion') THEN 1e9 WHEN contains(object, 'million') THEN 1e6 ELSE 1 END * try_cast(regexp_extract(object, '[0-9.]+') AS DOUBLE), CASE WHEN contains(object, '$') THEN 'USD' WHEN contains(object, '%') THEN '%' END FROM f"))
 def _(s, d):
-    chunks = chunks_of(s, d)
-    return claims.emit_claims(claims.mock_claims(claims.requests(chunks)), emission.nodes(extraction.extract(chunks)))[0].select("doc_id", "label", "value_label", "known_id")
+    return modelled(s, d).nodes.select("doc_id", "node_id", "label", "prov_id", "value_num", "unit")
+
+
+@query("llm_edges", T.over("rendered_docs", *_NODES, _SENT, *_CLAIMED, select="SELECT x.doc_id, coalesce(same_id, printf('08-01-01-%04d', k1)) AS subject_id, 'HAS_VALUE' AS predicate, coalesce(known_id, f.node_id) AS object_id, 'prov_llm_' || req_id || '_' || pos AS prov_id, 1.0::DOUBLE AS confidence FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.object = x.object WHERE coalesce(same_id, printf('08-01-01-%04d', k1)) <> coalesce(known_id, f.node_id)"))
+def _(s, d):
+    return modelled(s, d).relations
+
+
+@query("llm_provenance", T.over("rendered_docs", *_NODES, _SENT, *_CLAIMED, select="SELECT doc_id, 'prov_llm_' || req_id || '_' || pos AS prov_id, req_id AS chunk_id, 'tier3:llm' AS extractor, 3 AS tier, confidence FROM x"))
+def _(s, d):
+    return modelled(s, d).provenance.where("extractor = 'tier3:llm'").select("doc_id", "prov_id", "chunk_id", "extractor", "tier", "confidence")
 
 
 # ---- sources
@@ -381,6 +451,14 @@ def _(s, d):
     return adapters.feeds(rendered(s, d, _RSS)).select("doc_id", "label", F.col("metadata")["link"].alias("link"))
 
 
+_ATOM = "SELECT c_custkey AS doc_id, '<feed xmlns=\"http://www.w3.org/2005/Atom\"><entry><title>Post ' || c_name || '</title><link href=\"http://b/' || cast(c_custkey AS string) || '\"/><updated>2024-01-0' || cast(1 + c_custkey % 9 AS string) || '</updated></entry><entry><link href=\"x\"/></entry></feed>' AS text FROM customer"
+
+
+@query("adapter_atom", "SELECT c_custkey AS doc_id, 'Post ' || c_name AS label, 'http://b/' || c_custkey AS link, '2024-01-0' || (1 + c_custkey % 9) AS updated FROM customer")
+def _(s, d):
+    return adapters.feeds(rendered(s, d, _ATOM)).select("doc_id", "label", F.col("metadata")["link"].alias("link"), F.col("metadata")["updated"].alias("updated"))
+
+
 @query("list_adapters", "SELECT unnest(['ICAL', 'RSS', 'XBRL']) AS kind")
 def _(s, d):
     return s.createDataFrame([(k,) for k in sorted(adapters.ADAPTERS)], "kind string")

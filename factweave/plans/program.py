@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import emission, extraction, lexing
+from factweave.operators import claims, emission, extraction, lexing
+from factweave.operators.graph import ensure_checkpoints
 from factweave.sources import adapters, detect
 
 VERSION = "0.5"
@@ -38,8 +40,9 @@ class Program:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         there = [n for n in SORTED_BY if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))]
-        if "nodes" not in there:
-            raise FileNotFoundError(f"no program at {path}: nodes are missing")
+        for name in ("nodes", "provenance"):
+            if name not in there:
+                raise FileNotFoundError(f"no program at {path}: {name} are missing")
         return cls(**{n: spark.read.parquet(f"{path}/{n}") for n in there if n != "provenance"}, provenance=spark.read.parquet(f"{path}/provenance"))
 
     def export(self, path: str) -> None:
@@ -53,9 +56,34 @@ class Program:
 
     @classmethod
     def read_export(cls, spark: SparkSession, path: str, node_schema, prov_schema) -> Program:
-        """The reverse of export(); a line that isn't an object of the schema is an error, the last of equal node ids wins."""
-        read = lambda name, schema: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}.jsonl")
-        return cls(read("nodes", node_schema).dropDuplicates(["doc_id", "node_id"]), read("provenance", prov_schema))
+        """The reverse of export(), with all tables that are there; the last of equal node ids wins, as lines stand.
+
+        Without a manifest it is an error, and so is a line that isn't an object of the schema: the error names the table
+        and the line's number, which follows from where each partition of the file begins."""
+        jvm = spark.sparkContext._jvm
+        where = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = where("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where("manifest.json")):
+            raise FileNotFoundError(f"no manifest.json at {path}")
+        out = {}
+        for name in SORTED_BY:
+            if not fs.exists(where(f"{name}.jsonl")):
+                if name in ("nodes", "provenance"):
+                    raise FileNotFoundError(f"no {name}.jsonl at {path}")
+                continue
+            lines = spark.read.text(f"{path}/{name}.jsonl").select(F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
+            schema = {"nodes": node_schema, "provenance": prov_schema}.get(name) or TABLES[name]
+            parsed = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
+            keys = [k for k in SORTED_BY[name]]
+            bad = F.col("row").isNull() | F.col(f"row.{keys[-1]}").isNull()
+            first = parsed.where(bad).agg(F.min("line").alias("line")).first()["line"]
+            if first is not None:
+                number = lines.where(F.col("line") <= first).count()
+                raise ValueError(f"invalid row of {name} at line {number}")
+            if name == "nodes":
+                parsed = parsed.groupBy(*(F.col(f"row.{k}") for k in keys)).agg(F.max_by("row", "line").alias("row"))
+            out[name] = parsed.select("row.*")
+        return cls(**out)
 
     def manifest(self) -> DataFrame:
         parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in self.tables().items()]
@@ -64,16 +92,50 @@ class Program:
             out = out.unionByName(p)
         return out
 
+    def stats(self) -> DataFrame:
+        """(doc_id, nodes, chunks, relations, tiers): what the manifest says of each document; tiers as tier to chunks."""
+        n = self.nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"))
+        by_tier = self.provenance.groupBy("doc_id", "tier").agg(F.count(F.lit(1)).alias("n"))
+        p = by_tier.groupBy("doc_id").agg(F.sum("n").alias("chunks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "n")))).alias("tiers"))
+        out = p.join(n, "doc_id", "full")
+        edges = self.relations.groupBy("doc_id").agg(F.count(F.lit(1)).alias("relations")) if self.relations is not None else None
+        out = out.join(edges, "doc_id", "left") if edges is not None else out.withColumn("relations", F.lit(0))
+        return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "chunks", "relations")), "tiers")
+
     def content_hash(self) -> DataFrame:
-        """(doc_id, hash) over the ordered nodes of each document."""
-        line = F.concat_ws("|", "node_id", "content_hash")
-        return self.nodes.groupBy("doc_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("hash"))
+        """(doc_id, hash) over the ordered nodes and relations of each document."""
+        lines = self.nodes.select("doc_id", F.concat_ws("|", F.lit("n"), "node_id", "content_hash").alias("line"))
+        if self.relations is not None:
+            lines = lines.unionByName(self.relations.select("doc_id", F.concat_ws("|", F.lit("r"), "subject_id", "predicate", "object_id").alias("line")))
+        return lines.groupBy("doc_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256), 1, 16).alias("hash"))
+
+
+#: The tables that compiling doesn't make, as they are read from an export.
+TABLES = {
+    "relations": "doc_id long, subject_id string, predicate string, object_id string, prov_id string, confidence double",
+    "derivations": "doc_id long, result_id string, operands array<string>, operator string, prov_id string, confidence double",
+    "alignments": "doc_id long, subject_id string, reference_id string, operator string, prov_id string, confidence double",
+    "forks": "doc_id long, fork_id string, options array<struct<node_id: string, confidence: double>>, prov_id string",
+}
+
 
+def compile_documents(docs: DataFrame, max_tier: int = 2, executor: Callable[[DataFrame], DataFrame] | None = None) -> Program:
+    """Texts to facts; nothing runs before an action, unless there is an executor.
 
-def compile_documents(docs: DataFrame, max_tier: int = 2) -> Program:
-    """Texts to facts; nothing runs before an action."""
+    `executor` takes claims.requests() to the claims of a model, as claims.mock_claims does or a function around
+    claims.execute; their nodes, edges and provenance join the program. What the model said is kept at once, so that it
+    is asked once, and so are the chunks and coordinates that its claims are joined with."""
     chunks = lexing.lex(docs)
-    return Program(emission.nodes(extraction.extract(chunks, max_tier)), emission.provenance(chunks))
+    if executor is None:
+        return Program(emission.nodes(extraction.extract(chunks, max_tier)), emission.provenance(chunks))
+    ensure_checkpoints(docs)
+    chunks = chunks.checkpoint()
+    numbered = emission.assign_coords(extraction.extract(chunks, max_tier)).checkpoint()
+    said = executor(claims.requests(chunks)).checkpoint()
+    program = Program(emission.distinct_nodes(numbered), emission.provenance(chunks))
+    used = numbered.groupBy("doc_id", "major", "type", "subtype").agg(F.max("instance").alias("top"))
+    nodes, edges, prov = claims.emit_claims(said, program.nodes, used)
+    return Program(program.nodes.unionByName(nodes, allowMissingColumns=True), program.provenance.unionByName(prov, allowMissingColumns=True), edges)
 
 
 def compile_universal(docs: DataFrame, max_tier: int = 2) -> DataFrame:

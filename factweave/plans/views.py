@@ -45,7 +45,7 @@ VIEWS: dict[str, str] = {
       UNION ALL SELECT c_nationkey, 1, 1, 1, c_custkey, c_name, c_acctbal, 'USD' FROM customer
       UNION ALL SELECT s_nationkey, 1, 1, 2, s_suppkey, s_name, s_acctbal, 'USD' FROM supplier
       UNION ALL SELECT c_nationkey, 7, 1, 1, o_orderkey, 'order total ' || cast(o_orderkey as string), floor(o_totalprice) * 1.0e0, 'USD' FROM orders JOIN customer ON o_custkey = c_custkey
-      UNION ALL SELECT c_nationkey, 8, 1, 2, o_orderkey, 'status ' || o_orderstatus || ' ' || cast(o_orderkey as string), cast(NULL as double), cast(NULL as string) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0""",
+      UNION ALL SELECT c_nationkey, 8, 1, 2, o_orderkey, 'status ' || o_orderstatus || ' ' || cast(o_orderkey as string), cast(NULL as double), cast(NULL as string) FROM orders JOIN customer ON o_custkey = c_custkey""",
     "kb_numbered": "SELECT doc_id, major, type, subtype, k, label, cast(value_num as double) AS value_num, unit, cast(row_number() OVER (PARTITION BY doc_id, major, type, subtype ORDER BY k) as int) AS instance FROM kb_raw",
     "kb_nodes": f"""SELECT cast(doc_id as bigint) AS doc_id, {_ID} AS node_id, major, type, subtype, instance, label, k, value_num, unit,
       'prov_' || cast(k % 50 as string) AS prov_id, cast(major as bigint) * 1000000000000 + type * 10000000000 + subtype * 100000000 + instance AS seq FROM kb_numbered""",

@@ -110,7 +110,7 @@ def json_leaves(text: str, most: int = 20) -> list[tuple]:
     """Scalars of objects, depth first in the order of their keys; the first `most` items of lists."""
     try:
         data = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than the reader goes: no leaves
         return []
     out: list[tuple] = []
     stack = [("", "", data, False)]  # path, key, value, whether it is an object's

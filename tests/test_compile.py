@@ -190,3 +190,144 @@ def test_stream(spark, tmp_path):
     docs(spark, "It cost $5 million.\n\nThen $6 million.").write.mode("append").parquet(f"{tmp_path}/in")
     start(stream, f"{tmp_path}/store", f"{tmp_path}/cp", once=True).awaitTermination()
     assert sorted(r.label for r in spark.read.parquet(f"{tmp_path}/store/nodes").collect()) == ["$5 million", "$6 million"]
+
+
+def test_doubles_as_python_writes_them(spark):
+    values = [12345678.5, 1234567.25, 0.001, 0.0001, 0.00012, 0.00001, 1.5e-7, 1e16, 1.5e16, 9007199254740993.0, 123456789012345.6, 1e22, 1.7976931348623157e308, 5e-324, -12345678.5, 0.0, -0.0, float("nan"), float("inf"), 1e-4 + 1e-12]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", float_text(F.col("v")).alias("t")).collect()
+    said = {r.k: r.t for r in got}
+    assert [float(said[k]) for k, v in enumerate(values) if v == v] == [v for v in values if v == v]
+    # Java writes the least subnormal with one digit more than Python does.
+    assert [said[k] for k in range(len(values)) if values[k] != 5e-324] == [repr(v) for v in values if v != 5e-324]
+
+
+def test_cents_above_ten_million(spark):
+    assert nodes(spark, "It was $12,345,678.50 then.") == [("07-01-01-0001", "$12,345,678.50", 12345678.5, "USD")]
+    assert compile_documents(docs(spark, "It was $12,345,678.50 then.")).nodes.first().value_str == "12345678.5"
+
+
+def test_long_digits_and_deep_nesting_do_not_stop_a_compile(spark):
+    long = "The lease runs " + "9" * 45 + " years and 007 days from now, as everybody in the room has heard it said by now."
+    got = nodes(spark, long + " " + "word " * 20)
+    assert ("9" * 45 + " years", float("9" * 45)) in [(x[1], x[2]) for x in got] and "7 days" in [x[1] for x in got]
+    assert adapters.json_leaves("[" * 100_000) == [] and adapters.json_leaves('{"a":' * 50_000) == []
+
+
+def test_quantities_need_their_own_extractors_alone(spark):
+    text = "Revenue: $5 million\nMargin: 5%\n\n- $5 million\n\nTotal revenue was $5 million, 3.5x and 12% growth over 5 years with Jane Smith in Denver, CO. It rose 12% again."
+    chunks = lexing.lex(docs(spark, text))
+    from factweave.operators import emission
+
+    columns = ["doc_id", "node_id", "label", "value_num", "unit", "prov_id"]
+    whole = emission.nodes(extraction.extract(chunks))
+    for majors in ((7,), (6,), (3, 8), (1,)):
+        some = emission.nodes(extraction.extract(chunks, majors=majors))
+        want, got = (sorted(map(tuple, x.where(F.col("major").isin(*majors)).select(*columns).collect()), key=str) for x in (whole, some))
+        assert got == want and want
+    assert len(extraction.needed((7,))) == 3
+
+
+def test_operands_by_id_or_label(spark):
+    n = spark.createDataFrame([(1, "a", "Total Revenue", 500.0, 1), (1, "b", "revenue of parts", 100.0, 2), (1, "c", "no number", None, 3)], "doc_id long, node_id string, label string, value_num double, node_seq long")
+    conf = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.7), (1, "c", 1.0)], "doc_id long, node_id string, confidence double")
+    refs = lambda *r: spark.createDataFrame([(1, 0, k, x) for k, x in enumerate(r)], "doc_id long, key int, pos int, ref string")
+    assert [tuple(r) for r in derivation.derive_by_label(n, conf, refs("REVENUE", "b"), "SUBTRACT").select("value", "confidence", "operands").collect()] == [(400.0, 0.7, "a,b")]
+    for bad, why in (("nothing", "not found"), ("no num", "not numeric")):
+        with pytest.raises(Exception, match=why):
+            derivation.derive_by_label(n, conf, refs("a", bad), "ADD").collect()
+
+
+def test_paths_follow_the_ways_by_rank(spark):
+    edges = [("a", "B", "x"), ("a", "A", "y"), ("x", "A", "z"), ("y", "A", "z"), ("w", "A", "a"), ("w", "A", "z")]
+    e = spark.createDataFrame([(1, s, p, o, 1.0) for s, p, o in edges], "doc_id long, subject_id string, predicate string, object_id string, confidence double")
+    got = graph.shortest_path(e, spark.createDataFrame([(1, "a", "z")], "doc_id long, a string, b string")).first()
+    assert (got.length, got.path) == (2, "a>y>z")  # the edge with the lesser predicate comes first
+    n = spark.createDataFrame([(1, x) for x in "axyzw"], "doc_id long, node_id string")
+    start = spark.createDataFrame([(1, "a")], "doc_id long, start string")
+    walk = lambda *a: {(r.node_id, r.depth, r.path) for r in graph.traverse(n, e, start, *a).collect()}
+    assert walk(None, 3, "out") == {("x", 1, "a>x"), ("y", 1, "a>y"), ("z", 2, "a>y>z")}
+    assert walk("A", 1, "in") == {("w", 1, "a>w")} and walk("B", 3, "out") == {("x", 1, "a>x")}
+
+
+def test_confidence_spreads_along_a_long_chain(spark):
+    n = spark.createDataFrame([(1, f"n{k:03d}", "p" if k == 0 else "q") for k in range(60)], "doc_id long, node_id string, prov_id string")
+    prov = spark.createDataFrame([(1, "p", 0.9), (1, "q", 0.1)], "doc_id long, prov_id string, confidence double")
+    e = spark.createDataFrame([(1, f"n{k:03d}", "SUPPORTS", f"n{k + 1:03d}", 0.95) for k in range(59)], "doc_id long, subject_id string, predicate string, object_id string, confidence double")
+    assert {r.confidence for r in graph.confidence(n, prov, e).collect()} == {0.9}
+    with pytest.raises(RuntimeError):
+        graph.confidence(n, prov, e, max_rounds=5)
+
+
+def test_claims_of_a_model_join_the_program(spark):
+    text = "Total revenue was $5 million this year as the whole company had hoped. " * 2 + "Net income saw 12% growth in the same time for reasons that nobody knows. Expenses were $7 million."
+    p = compile_documents(docs(spark, text), executor=claims.mock_claims)
+    new = {(r.node_id, r.label, r.prov_id, r.chunk_id) for r in p.nodes.where("prov_id like 'prov_llm%'").collect()}
+    # Twice the same claim is one node with two edges; values that the text holds are its nodes.
+    assert new == {("08-01-01-0001", "total_revenue: $5 million", "prov_llm_llm_000001_0", "llm_000001"), ("08-01-01-0003", "net_income_growth: 12%", "prov_llm_llm_000001_2", "llm_000001"), ("08-01-01-0004", "expenses: $7 million", "prov_llm_llm_000001_3", "llm_000001")}
+    edges = sorted((r.subject_id, r.predicate, r.object_id, r.prov_id) for r in p.relations.collect())
+    assert [e[:3] for e in edges] == [("08-01-01-0001", "HAS_VALUE", "07-01-01-0001")] * 2 + [("08-01-01-0003", "HAS_VALUE", "07-02-01-0001"), ("08-01-01-0004", "HAS_VALUE", "07-01-01-0003")]
+    from factweave.operators import emission
+
+    assert emission.integrity_violations(p.nodes, p.provenance, p.relations).count() == 0
+    assert p.provenance.where("tier = 3 and extractor = 'tier3:llm'").count() == 4
+
+
+def test_a_plugged_in_model(spark):
+    def call(prompt):
+        return [{"subject": "s", "object": "$3 million", "confidence": "high"}, {"subject": "t"}]
+
+    p = compile_documents(docs(spark, "word " * 40), executor=lambda r: claims.execute(r, call))
+    assert {(r.node_id, r.label, r.value_num) for r in p.nodes.collect()} == {("08-01-01-0001", "s: $3 million", None), ("08-01-01-0002", "t: ", None), ("07-01-01-0001", "$3 million", 3e6)}
+    assert [(r.subject_id, r.object_id) for r in p.relations.collect()] == [("08-01-01-0001", "07-01-01-0001")]
+    assert {r.confidence for r in p.provenance.where("extractor = 'tier3:llm'").collect()} == {0.7}
+
+
+def test_exports_are_checked(spark, tmp_path):
+    text = "Total revenue was $5 million this year as the whole company had hoped and planned for since long ago."
+    p = compile_documents(docs(spark, text), executor=claims.mock_claims)
+    p.export(f"{tmp_path}/a")
+    back = Program.read_export(spark, f"{tmp_path}/a", p.nodes.schema, p.provenance.schema)
+    assert back.relations.count() == 1 and sorted(map(str, back.nodes.collect())) == sorted(map(str, p.nodes.collect()))
+    assert [r.hash for r in back.content_hash().collect()] == [r.hash for r in p.content_hash().collect()]
+    assert p.stats().first().asDict() == {"doc_id": 0, "nodes": 2, "chunks": 2, "relations": 1, "tiers": {3: 2}}
+    (part,) = (tmp_path / "a" / "nodes.jsonl").glob("part-*")
+    lines = part.read_text().splitlines()
+    part.write_text("\n".join([lines[0], "", lines[1].replace("$5 million", "again"), lines[1]]) + "\n")
+    (tmp_path / "a" / "nodes.jsonl" / f".{part.name}.crc").unlink()
+    assert "again" not in str(Program.read_export(spark, f"{tmp_path}/a", p.nodes.schema, p.provenance.schema).nodes.collect())
+    part.write_text("\n".join([*lines, "not json"]) + "\n")
+    with pytest.raises(ValueError, match="nodes at line 3"):
+        Program.read_export(spark, f"{tmp_path}/a", p.nodes.schema, p.provenance.schema)
+    with pytest.raises(FileNotFoundError):
+        Program.read_export(spark, f"{tmp_path}/none", p.nodes.schema, p.provenance.schema)
+
+
+def test_alignments_are_checked(spark):
+    from factweave.operators import emission
+
+    chunks = lexing.lex(docs(spark, "Date: 2024-01-15\nCost: $5 million"))
+    n, prov = emission.nodes(extraction.extract(chunks)), emission.provenance(chunks)
+    found = derivation.temporal_align(n, prov)
+    assert space.alignments(found, "07-01-01-0001").count() == 1 and emission.integrity_violations(n, prov, spark.createDataFrame([], "doc_id long, subject_id string, object_id string, prov_id string"), None, found).count() == 0
+    assert emission.integrity_violations(n.where("major <> 7"), prov, spark.createDataFrame([], "doc_id long, subject_id string, object_id string, prov_id string"), None, found).count() == 1
+    with pytest.raises(ValueError):
+        derivation.temporal_align(n, prov, "NEAR")
+
+
+def test_command_line(spark, tmp_path):
+    from factweave import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text("Total revenue was $500 million. Growth was 25%.")
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "one.txt").write_text("Total revenue was $600 million. Growth was 25%.")
+    assert cli.run(spark, ["compile", f"{tmp_path}/in", f"{tmp_path}/p"]) is None
+    docs(spark, "Cost: $1 million").write.parquet(f"{tmp_path}/d.parquet")
+    cli.run(spark, ["compile", f"{tmp_path}/d.parquet", f"{tmp_path}/q", "--mock-model"])
+    assert [r.label for r in cli.run(spark, ["query", f"{tmp_path}/p", "--major", "7", "--gt", "100"]).collect()] == ["$500 million"]
+    assert {r.name: r.n for r in cli.run(spark, ["info", f"{tmp_path}/p"]).collect()} == {"nodes": 3, "provenance": 1}
+    assert cli.run(spark, ["stats", f"{tmp_path}/p"]).where("major = 7").first().n == 2
+    assert "$500 million" in cli.run(spark, ["ask", f"{tmp_path}/p", "How", "much", "revenue?"]).first().context
+    assert cli.run(spark, ["diff", f"{tmp_path}/p", f"{tmp_path}/q"]).count() > 0
+    cli.run(spark, ["export", f"{tmp_path}/p", f"{tmp_path}/x"])
+    assert (tmp_path / "x" / "manifest.json").exists()

@@ -303,7 +303,18 @@ def _(s, d):
     return versions.copy_relations(n.where("k % 5 <> 0"), e).select("doc_id", "subject_id", "predicate", "object_id")
 
 
-@query("incr_compile")
+_FRESH_EXT = T.extractions().replace("o_chunks", "p_fresh").replace("o_all", "p_all").replace("o_ext", "p_ext")
+_FRESH_COORD = T.nodes().split("o_nodes AS")[0].rstrip().rstrip(",").replace("o_coord", "p_coord").replace("o_ext", "p_ext")
+_RECOMPILED = f"""{_BOTH}, {_PLAN}, {T.extractions()}, {T.nodes()},
+    p_fresh AS (SELECT * FROM p_chunks c WHERE EXISTS (SELECT 1 FROM plan a WHERE a.doc_id = c.doc_id AND a.chunk_id = c.chunk_id AND action = 'recompile')), {_FRESH_EXT}, {_FRESH_COORD},
+    kept AS (SELECT * FROM o_nodes n WHERE EXISTS (SELECT 1 FROM reuse r WHERE r.doc_id = n.doc_id AND r.chunk_id = n.chunk_id)),
+    top AS (SELECT doc_id, major, type, subtype, max(instance) AS top FROM kept GROUP BY ALL),
+    made AS (SELECT p.*, instance + coalesce(top, 0) AS number, substr(sha256(key), 1, 16) AS content_hash FROM p_coord p LEFT JOIN top t ON t.doc_id = p.doc_id AND t.major = p.major AND t.type = p.type AND t.subtype = p.subtype),
+    fresh AS (SELECT * FROM made m WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = m.doc_id AND k.content_hash = m.content_hash) QUALIFY row_number() OVER (PARTITION BY doc_id, content_hash ORDER BY ext_seq) = 1)
+    SELECT doc_id, node_id, label, value_str, unit, content_hash, chunk_id, 'reused' AS origin FROM kept UNION ALL SELECT doc_id, printf('%02d-%02d-%02d-%04d', major, type, subtype, number), label, value_str, unit, content_hash, chunk_id, 'compiled' FROM fresh"""
+
+
+@query("incr_compile", _RECOMPILED)
 def _(s, d):
     return versions.recompile(planned(s, d), nodes_of(s, d), chunks_of(s, d, "rendered_docs_v2"))
 
@@ -471,7 +482,8 @@ def _(s, d):
     return adapters.json_flatten(docs).select("doc_id", "label", "major", "type", "value_str", "value_num")
 
 
-@query("compile_universal")
+# A feed in a text is XML like any other, and has no facts; only its file's name would tell it apart.
+@query("compile_universal", T.over("rendered_docs", *_NODES, select="SELECT doc_id, node_id, label, value_str, value_num, unit FROM o_nodes UNION ALL SELECT 1000000000 + c_custkey, '07-02-20-0001', 'Net Income', cast((1000 + c_custkey % 1000)::DOUBLE AS VARCHAR), (1000 + c_custkey % 1000)::DOUBLE, 'USD' FROM customer UNION ALL SELECT 1000000000 + c_custkey, '07-99-01-0001', 'Other_Fact', 'n' || c_custkey, NULL, NULL FROM customer UNION ALL SELECT 2000000000 + c_custkey, '06-01-01-0001', 'Call ' || c_name, NULL, NULL, NULL FROM customer"))
 def _(s, d):
     docs = rendered(s, d, f"SELECT doc_id, text FROM rendered_docs UNION ALL SELECT doc_id + 1000000000, text FROM ({_XBRL}) UNION ALL SELECT doc_id + 2000000000, text FROM ({_ICS}) UNION ALL SELECT doc_id + 3000000000, text FROM ({_RSS})")
     return compile_universal(docs)

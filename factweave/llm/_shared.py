@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,42 @@ def chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
-def map_texts(df: DataFrame, key: str, text: str, work: Callable[[list[str | None]], dict], schema: str) -> DataFrame:
+def laid_out(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches flat[begin : begin + size], one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class WordIndex:
+    """Places of words whose encoding is kept in columns beside it; at most `limit` words, beyond which it goes on with
+    those at hand."""
+
+    def __init__(self, limit: int):
+        self.limit, self.words = limit, pa.array([], pa.large_string())
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray | None]:
+        """The place of each of the distinct words; those that are new, which stand at the end in their order; and, where
+        others had to go, the former places of the words that stay."""
+        found = pc.index_in(words, value_set=self.words)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        places, fresh, stay = found.fill_null(0).to_numpy().astype(np.int64), words.filter(pa.array(new)), None
+        if len(fresh) and len(self.words) + len(fresh) > self.limit:
+            stay = places[~new]
+            places[~new] = np.arange(len(stay))
+            self.words = self.words.take(pa.array(stay))
+        places[new] = len(self.words) + np.arange(len(fresh))
+        if len(fresh):
+            self.words = pa.concat_arrays([self.words, fresh])
+        return places, fresh, stay
+
+
+def map_texts(df: DataFrame, key: str, text: str, work: Callable[[list[str | None]], dict], schema: str, limit: int = CHUNK_CHARS) -> DataFrame:
     """`work` gets a list of whole texts and returns columns of equal length; `key` is passed on first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(0)
-            for i, j in chunks([t or "" for t in texts]):
+            for i, j in chunks([t or "" for t in texts], limit):
                 out = work(texts[i:j])
                 names = list(out)
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out.values())], names=[key, *names])

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import chunks, fresh_path
+from ._shared import WordIndex, chunks, fresh_path, laid_out
 
 END_ID = 0
 #: Bytes of text that go to a file; the ids take about as much room as the text, or half of it.
@@ -107,35 +107,22 @@ def crosses(piece: bytes) -> bool:
     return None not in kinds and any(x != y and x != "space" or y == "space" for x, y in zip(kinds, kinds[1:], strict=False))
 
 
-def laid_out(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The pieces flat[begin : begin + size], one behind the other."""
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class Kept:
-    """Words with their ids, as columns: words, where each one's ids begin, how many there are, and all ids."""
+    """Words with their ids, as columns: where each one's ids begin, how many there are, and all ids."""
 
     def __init__(self, kind: str):
-        self.words, self.begin, self.sizes, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+        self.index, self.begin, self.sizes, self.ids = WordIndex(KEPT_WORDS), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
 
     def places(self, words: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The place of each of the distinct words; those that aren't kept are encoded first."""
-        found = pc.index_in(words, value_set=self.words)
-        fresh = words.filter(pc.is_null(found))
+        places, fresh, stay = self.index.find(words)
+        if stay is not None:
+            self.ids, self.sizes = laid_out(self.ids, self.begin[stay], self.sizes[stay]), self.sizes[stay]
         if len(fresh):
-            if len(self.words) + len(fresh) > KEPT_WORDS:
-                used = found.drop_null()
-                self.words, spot = self.words.take(used), used.to_numpy()
-                self._set(self.sizes[spot], laid_out(self.ids, self.begin[spot], self.sizes[spot]))
             sizes, ids = encode(fresh)
-            self.words = pa.concat_arrays([self.words, fresh])
-            self._set(np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids)))
-            found = pc.index_in(words, value_set=self.words)
-        return found.to_numpy()
-
-    def _set(self, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.sizes, self.ids, self.begin = sizes, ids, np.cumsum(sizes) - sizes
+            self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        return places
 
 
 class Encoder:

@@ -16,21 +16,25 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_texts
+from ._shared import WordIndex, laid_out, map_texts
 
 MARK = "▁"
-#: Words of a generation; each Python worker keeps two.
-KEPT_WORDS = 350_000
+#: Most words that a Python worker keeps; beyond, it goes on with those of the texts at hand.
+KEPT_WORDS = 500_000
+#: Words that the library gets as one text, and code points that are encoded together.
+JOINED, TOGETHER = 4000, 4 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_crc32 long"
 
 
@@ -153,16 +157,37 @@ class Normalizer:
         return bytes(out), [*origin, end]
 
 
-#: What is kept of a word: its ids in decimal, how many, its bytes once decoded, and the number of source bytes that each piece
-#: spans, the mark before the word not counted, as 32-bit integers.
-Kept = tuple[str, int, bytes, bytes]
+class Kept:
+    """Words and what is kept of each: its ids in decimal, each with a space behind it, its bytes once decoded, and the
+    number of source bytes that each piece spans, the mark before the word not counted."""
+
+    def __init__(self) -> None:
+        self.index, self.said, self.raw = WordIndex(KEPT_WORDS), np.zeros(0, object), np.zeros(0, object)
+        self.pieces, self.begin, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def places(self, words: pa.Array, tell: Callable[[list[str]], tuple[np.ndarray, ...]]) -> np.ndarray:
+        """The place of each of the distinct words; those that aren't kept are told first."""
+        places, fresh, stay = self.index.find(words)
+        if stay is not None:
+            self.sizes = laid_out(self.sizes, self.begin[stay], self.pieces[stay])
+            self.said, self.raw, self.pieces = self.said[stay], self.raw[stay], self.pieces[stay]
+        if len(fresh):
+            new = tell(fresh.to_pylist())
+            self.said, self.raw, self.pieces, self.sizes = (np.concatenate(x) for x in zip((self.said, self.raw, self.pieces, self.sizes), new, strict=True))
+        self.begin = np.cumsum(self.pieces) - self.pieces
+        return places
+
+
+def objects(items: list) -> np.ndarray:
+    out = np.empty(len(items), object)
+    out[:] = items
+    return out
 
 
 @dataclass
 class Codec:
     path: str
-    words: dict[str, Kept] = field(default_factory=dict)
-    older: dict[str, Kept] = field(default_factory=dict)
+    kept: Kept = field(default_factory=Kept)
 
     def __post_init__(self) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
@@ -179,6 +204,8 @@ class Codec:
         self.piece = [bytes([self.byte[i]]) if i in self.byte else self.library.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.library.get_piece_size())]
         self.size = [len(x) for x in self.piece]
         self.said = [str(i) for i in range(self.library.get_piece_size())]
+        self.said_bytes = [f"{i} ".encode() for i in range(self.library.get_piece_size())]
+        self.begins = np.array([self.library.id_to_piece(i).startswith(MARK) for i in range(self.library.get_piece_size())])
         self.end, self.unknown, self.mark = self.library.eos_id(), self.library.unk_id(), self.library.piece_to_id(MARK)
 
     def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
@@ -224,22 +251,33 @@ class Codec:
             k = 0
         return out
 
-    def _keep(self, words: set[str], here: dict[str, Kept]) -> None:
-        """Encode words that aren't kept; each is a mark and the word. Words of the last generation are taken over."""
-        taken = {w: k for w in words if (k := self.older.get(w))}
-        here.update(taken)
-        self.words.update(taken)
-        fresh = [w for w in words if w not in taken]
-        piece, said, unknown, keep = self.piece, self.said, self.unknown, self.words
-        for word, ids in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
-            ids = ids or [self.mark]  # the mark that ends a text
-            raw = b"".join([piece[i] for i in ids])
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word with a mark before it. Many words at once where each one's first piece is the one with the mark."""
+        out: list[list[int] | None] = [None] * len(words)
+        simple = [k for k, w in enumerate(words) if w and " " not in w]
+        for lo in range(0, len(simple), JOINED):
+            some = simple[lo : lo + JOINED]
+            ids = self.library.encode(" ".join([words[k] for k in some]))
+            cuts = np.flatnonzero(self.begins[ids]).tolist()
+            if len(cuts) == len(some):
+                for k, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True):
+                    out[k] = ids[a:b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self.library.encode([words[k] for k in rest], num_threads=1), strict=True):
+            out[k] = ids or [self.mark]  # the mark that ends a text
+        return out
+
+    def _tell(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """What is kept of each word, in columns."""
+        piece, said, size, unknown = self.piece, self.said_bytes, self.size, self.unknown
+        found, sizes = self._encode_words(words), []
+        for word, ids in zip(words, found, strict=True):
             if unknown in ids:
-                sizes = [b - a for a, b in self.spans(word)[1]]
+                sizes += [b - a for a, b in self.spans(word)[1]]
             else:
-                sizes = [self.size[i] for i in ids]
-                sizes[0] -= 1  # the mark put before the word stands for no byte of it
-            keep[word] = here[word] = (" ".join([said[i] for i in ids]), len(ids), raw, struct.pack(f"<{len(sizes)}i", *sizes))
+                sizes += [size[i] for i in ids]
+                sizes[-len(ids)] -= 1  # the mark put before the word stands for no byte of it
+        return objects([b"".join([said[i] for i in ids]) for ids in found]), objects([b"".join([piece[i] for i in ids]) for ids in found]), np.fromiter(map(len, found), np.int64, len(found)), np.array(sizes, np.int32)
 
     def _plain_ends(self, ids: list[int]) -> list[int]:
         """Where the pieces end in the source when nothing but the space marks was changed: a mark stands for one byte,
@@ -249,35 +287,43 @@ class Codec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int, int]]:
         """For each text, of its ids with the end id: how many, their hash, the hash of the decoded text, the source bytes
         that pieces span, and a checksum of all spans."""
-        split = [self._words(t) if self.by_word and t and MARK not in t else None for t in texts]
-        distinct = set().union(*[s for s in split if s])
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        here = {w: k for w in distinct if (k := self.words.get(w))}
-        self._keep(distinct - here.keys(), here)
-        return [self._join([here[w] for w in s]) if s else self._whole(t) for t, s in zip(texts, split, strict=True)]
+        whole = [not (self.by_word and t and MARK not in t) for t in texts]
+        rest = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [self._whole(t) if w else next(rest) for t, w in zip(texts, whole, strict=True)]
+
+    def _by_words(self, texts: list[str]) -> list[tuple[int, str, str, int, int]]:
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words, offsets = split.values, split.offsets.to_numpy()
+        if pc.any(pc.equal(pc.binary_length(words), 0)).as_py():
+            # Each space before a word is the mark that encoding the word alone puts before it. Runs of spaces go with
+            # the word behind them: of n spaces, n - 1 are text of that word.
+            lists = [self._words(t) for t in texts]
+            words, offsets = pa.array([w for x in lists for w in x], pa.large_string()), np.cumsum([0, *map(len, lists)])
+        coded, k = words.dictionary_encode(), self.kept
+        spot = k.places(coded.dictionary, self._tell)[coded.indices.to_numpy()]
+        return [self._join(spot[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
     def _whole(self, text: str) -> tuple[int, str, str, int, int]:
         ids, spans = self.spans(text)
         ids = [*ids, self.end]
         return len(ids), _sha(" ".join([self.said[i] for i in ids]).encode()), _sha(self.library.decode(ids).encode()), sum(b - a for a, b in spans), spans_checksum(spans)
 
-    def _join(self, parts: list[Kept]) -> tuple[int, str, str, int, int]:
+    def _join(self, spot: np.ndarray) -> tuple[int, str, str, int, int]:
         """What the library does to the whole text: ids one after the other; decoded, without the space put before the text.
 
         Spans too stand one after the other; each word but the first has the space before it in its first piece."""
-        said = " ".join([p[0] for p in parts])
-        decoded = b"".join([p[2] for p in parts])[1:]
-        sizes = np.frombuffer(b"".join([p[3] for p in parts]), "<i4").astype(np.int64)
-        pieces = np.array([p[1] for p in parts])
+        k = self.kept
+        said, decoded = b"".join(k.said[spot].tolist()), b"".join(k.raw[spot].tolist())[1:]
+        pieces = k.pieces[spot]
+        sizes = laid_out(k.sizes, k.begin[spot], pieces).astype(np.int64)
         sizes[np.cumsum(pieces)[:-1]] += 1
         ends = np.cumsum(sizes)
         spans = np.stack((ends - sizes, ends), axis=1)
-        return len(sizes) + 1, _sha(f"{said} {self.end}".encode()), _sha(decoded.decode().encode()), int(ends[-1]), spans_checksum(spans)
+        return len(sizes) + 1, _sha(said + self.said[self.end].encode()), _sha(decoded), int(ends[-1]), spans_checksum(spans)
 
     def _words(self, text: str) -> list[str]:
-        # Each space before a word is the mark that encoding the word alone puts before it. Runs of spaces go with
-        # the word behind them: of n spaces, n - 1 are text of that word.
         pieces = text.split(" ")
         return [x[1:] for x in re.findall(" +[^ ]*", " " + text)] if "" in pieces else pieces
 
@@ -304,7 +350,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
         rows = c.digests([t or "" for t in texts])
         return {"n_tokens": pa.array([r[0] for r in rows], pa.int64()), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string()), "span_bytes": pa.array([r[3] for r in rows], pa.int64()), "spans_crc32": pa.array([r[4] for r in rows], pa.int64())}
 
-    return map_texts(docs, "doc_id", "text", work, SCHEMA)
+    return map_texts(docs, "doc_id", "text", work, SCHEMA, TOGETHER)
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:

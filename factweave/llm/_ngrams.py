@@ -73,7 +73,8 @@ class Words:
 
 
 def char_ngrams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `size` code points within a text (its line ends included), and the text of each."""
+    """Hashes of all runs of `size` code points within a text (its closing line end included), and the text of each; no run
+    crosses texts, so that a text's runs don't hang on what stands beside it."""
     cp, n = words.cp, len(words.cp) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -81,4 +82,6 @@ def char_ngrams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(size):
         total = total * np.uint32(0x01000193) + cp[j : j + n]
     total = (total ^ (total >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return total ^ (total >> np.uint32(13)), np.searchsorted(words.ends, np.arange(n), side="right")
+    owner = np.repeat(np.arange(len(words.ends)), words.ends - words.starts)
+    inside = owner[:n] == owner[size - 1 :]
+    return (total ^ (total >> np.uint32(13)))[inside], owner[:n][inside]

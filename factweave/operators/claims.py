@@ -44,6 +44,13 @@ def mock_claims(requests_: DataFrame) -> DataFrame:
     return requests_.select("doc_id", "req_id", "chunk_id", F.posexplode(mock_answers(F.col("content"))).alias("pos", "a")).select("doc_id", "req_id", "chunk_id", "pos", "a.*")
 
 
+def claim_values(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, label, value_label, known_id): each claim's label, its object, and the first node that has that label."""
+    said = claims.select("doc_id", F.concat("subject", F.lit(": "), "object").alias("label"), F.col("object").alias("value_label"))
+    known = nodes.groupBy("doc_id", F.col("label").alias("value_label")).agg(F.min_by("node_id", "node_seq").alias("known_id"))
+    return said.join(known, ["doc_id", "value_label"], "left").select("doc_id", "label", "value_label", "known_id")
+
+
 CLAIM, VALUE = (8, 1, 1), (7, 1, 1)
 _NODE = ("doc_id", "node_id", "major", "type", "subtype", "instance", "label", "prov_id", "value_kind", "value_str", "value_num", "unit", "content_hash", "chunk_id", "node_seq")
 

@@ -374,6 +374,12 @@ def _(s, d):
     return claims.mock_claims(claims.requests(chunks_of(s, d))).select("doc_id", "chunk_id", "pos", "subject", "object", "confidence")
 
 
+@query("llm_claims", T.over("rendered_docs", *_NODES, _SENT, select="SELECT a.doc_id, subject || ': ' || object AS label, object AS value_label, (SELECT arg_min(node_id, node_seq) FROM o_nodes n WHERE n.doc_id = a.doc_id AND n.label = object) AS known_id FROM a"))
+def _(s, d):
+    chunks = chunks_of(s, d)
+    return claims.claim_values(claims.mock_claims(claims.requests(chunks)), emission.nodes(extraction.extract(chunks)))
+
+
 _CLAIMED = (
     "r AS (SELECT doc_id, chunk_id, printf('llm_%06d', row_number() OVER (PARTITION BY doc_id ORDER BY chunk_seq)) AS req_id FROM o_chunks WHERE tier = 3)",
     "c AS (SELECT a.doc_id, req_id, row_number() OVER (PARTITION BY a.doc_id, req_id ORDER BY i, j) - 1 AS pos, subject || ': ' || object AS label, object, a.confidence::DOUBLE AS confidence, row_number() OVER (PARTITION BY a.doc_id ORDER BY req_id, i, j) AS k FROM a JOIN r ON a.doc_id = r.doc_id AND a.chunk_id = r.chunk_id)",

@@ -331,3 +331,37 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["diff", f"{tmp_path}/p", f"{tmp_path}/q"]).count() > 0
     cli.run(spark, ["export", f"{tmp_path}/p", f"{tmp_path}/x"])
     assert (tmp_path / "x" / "manifest.json").exists()
+
+
+def test_files_and_strings_as_sources(spark, tmp_path):
+    from factweave.sources import files
+
+    (tmp_path / "a.txt").write_bytes("Café costs $5 million.".encode("latin-1"))
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.json").write_text('{"a": 1}')
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.kind) for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("Café costs $5 million.", "TEXT"), "b.pdf": ("[PDF: b.pdf - no reader installed]", "PDF"), "c.json": ('{"a": 1}', "JSON")}
+    with pytest.raises(ValueError, match="too large"):
+        files.read_documents(spark, str(tmp_path), max_bytes=10)
+    assert files.read_documents(spark, str(tmp_path), max_bytes=10, skip_large=True).count() == 2
+    for bad in ("x" * 5000, "/a/../b"):
+        with pytest.raises(ValueError):
+            files.read_documents(spark, bad)
+    one = files.load_source(spark, f"file://{tmp_path}/a.txt").first()
+    assert (one.text, one.kind, one.size_bytes) == ("Café costs $5 million.", "TEXT", 22) and one.uri.endswith("/a.txt")
+    text = files.load_source(spark, "Revenue was $5 million.\n").first()
+    assert text.uri.startswith("string://") and text.kind == "TEXT" and text.size_bytes == 24
+    assert files.load_source(spark, str(tmp_path / "a.txt"), "string").first().text == str(tmp_path / "a.txt")
+    for bad in ((str(tmp_path), "file"), ("x", "url")):
+        with pytest.raises(ValueError):
+            files.load_source(spark, *bad)
+
+
+def test_too_many_instances_are_an_error(spark):
+    from factweave.operators import emission
+
+    many = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("ext_seq"), F.lit("Money").alias("entity_type"), F.lit(7).alias("major"), F.lit(1).alias("type"), F.lit(1).alias("subtype"))
+    assert emission.assign_coords(many.where("ext_seq < 9999")).agg(F.max("instance")).first()[0] == 9999
+    with pytest.raises(Exception, match="more than 9999"):
+        emission.assign_coords(many).collect()

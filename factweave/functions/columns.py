@@ -46,7 +46,15 @@ def to_number(c: Column) -> Column:
 
 def money_value(c: Column) -> Column:
     """Number times its suffix: words in any case, single letters as capitals; null where no number is left."""
-    text = strip(F.regexp_replace(c, r"[$,]", ""))
+    return money_number(money_text(c))
+
+
+def money_text(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"[$,]", ""))
+
+
+def money_number(text: Column) -> Column:
+    """The same of a text without its signs."""
     low = F.lower(text)
     billion, million, thousand = low.contains("billion") | text.endswith("B"), low.contains("million") | text.endswith("M"), text.endswith("K")
     number = lambda pattern: to_number(F.regexp_replace(text, pattern, ""))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import patterns as P
-from factweave.functions.columns import contains_any, find_all, float_text, money_value, strip, to_number
+from factweave.functions.columns import contains_any, find_all, float_text, money_number, money_text, strip, to_number
 
 FIELDS = "struct<entity_type:string,label:string,major:int,type:int,subtype:int,value_kind:string,value_str:string,value_num:double,unit:string,extractor:string>"
 
@@ -28,13 +28,19 @@ def _number(kind: str, label: Column, coord: tuple, extractor: str, v: Column, u
     return _row(kind, label, coord, extractor, F.when(v.isNull(), "null").otherwise("float"), float_text(v), v, unit)
 
 
+def bound(found: Column, **values) -> Column:
+    """What was found as structs of values that rows name more than once: each is worked out once."""
+    return F.transform(found, lambda m: F.struct(*(f(m).alias(n) for n, f in values.items())))
+
+
 def money(p: Column) -> Column:
-    return F.transform(p["money"], lambda m: _number("Money", m, (7, 1, 1), "tier1:money", money_value(m), "USD"))
+    texts = bound(p["money"], m=lambda m: m, t=money_text)
+    return F.transform(bound(texts, m=lambda x: x["m"], v=lambda x: money_number(x["t"])), lambda x: _number("Money", x["m"], (7, 1, 1), "tier1:money", x["v"], "USD"))
 
 
 def percents(p: Column) -> Column:
-    value = lambda m: to_number(F.regexp_replace(m, "%", ""))
-    return F.transform(F.filter(p["percent"], lambda m: value(m).isNotNull()), lambda m: _number("Percentage", m, (7, 2, 1), "tier1:percent", value(m), "%"))
+    valued = bound(p["percent"], m=lambda m: m, v=lambda m: to_number(F.regexp_replace(m, "%", "")))
+    return F.transform(F.filter(valued, lambda x: x["v"].isNotNull()), lambda x: _number("Percentage", x["m"], (7, 2, 1), "tier1:percent", x["v"], "%"))
 
 
 def _text(kind: str, label: Column, coord: tuple, extractor: str, value: Column) -> Column:
@@ -46,7 +52,8 @@ def dates(p: Column) -> Column:
 
 
 def key_values(p: Column) -> Column:
-    return F.transform(p["key_value"], lambda m: _text("KeyValue", F.concat(strip(m["key"]), F.lit(": "), strip(m["value"])), (3, 1, 1), "tier1:kv", strip(m["value"])))
+    pairs = bound(p["key_value"], k=lambda m: strip(m["key"]), v=lambda m: strip(m["value"]))
+    return F.transform(pairs, lambda x: _text("KeyValue", F.concat(x["k"], F.lit(": "), x["v"]), (3, 1, 1), "tier1:kv", x["v"]))
 
 
 def list_items(p: Column) -> Column:
@@ -73,11 +80,12 @@ def locations(c: Column) -> Column:
 def durations(c: Column) -> Column:
     both = F.arrays_zip(find_all(c, P.DURATION, 1).alias("n"), find_all(c, P.DURATION, 2).alias("u"))
     whole = lambda n: F.regexp_replace(n, r"^0+(?=[0-9])", "")  # noqa: E731  of any length, so never a number of Spark
-    return F.transform(both, lambda m: _number("Duration", F.concat(whole(m["n"]), F.lit(" "), F.lower(m["u"])), (6, 2, 1), "tier1:duration", to_number(m["n"]), F.lower(m["u"])))
+    parts = bound(both, n=lambda m: whole(m["n"]), u=lambda m: F.lower(m["u"]), v=lambda m: to_number(m["n"]))
+    return F.transform(parts, lambda x: _number("Duration", F.concat(x["n"], F.lit(" "), x["u"]), (6, 2, 1), "tier1:duration", x["v"], x["u"]))
 
 
 def ratios(c: Column) -> Column:
-    return F.transform(find_all(c, P.RATIO, 1), lambda m: _number("Ratio", F.concat(float_text(to_number(m)), F.lit("x")), (7, 2, 1), "tier1:ratio", to_number(m), "x"))
+    return F.transform(bound(find_all(c, P.RATIO, 1), v=to_number), lambda x: _number("Ratio", F.concat(float_text(x["v"]), F.lit("x")), (7, 2, 1), "tier1:ratio", x["v"], "x"))
 
 
 def clear_hits(text: Column, word: str) -> Column:
@@ -97,32 +105,37 @@ def claims(c: Column) -> Column:
     """One row for each class with words that no negation precedes within 20 characters; GROWTH and DECLINE swap where
     the chunk has a negation anywhere.
 
-    Without one, occurrences are counted by length; the walk along a word's places is left to chunks that have one. Hits
-    are an array of their own, so that they are counted once however often a row names them."""
-    low = F.lower(c)
-    negated = low.rlike(P.NEGATION)
+    Without one, occurrences are counted by length; the walk along a word's places is left to chunks that have one. The
+    chunk in small letters, whether it has a negation, and the hits are arrays of their own, so that each is worked out
+    once however often a row names it."""
+    swap = {"GROWTH": "DECLINE", "DECLINE": "GROWTH"}
 
-    def hits(words: list[str]) -> Column:
+    def hits(low: Column, negated: Column, words: list[str]) -> Column:
         plain = sum(((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0.0)).cast("int")
         walked = sum((F.when(low.contains(w), clear_hits(low, w)).otherwise(0) for w in words), F.lit(0))
         return F.when(~contains_any(low, words), 0).when(negated, walked).otherwise(plain)
 
-    swap = {"GROWTH": "DECLINE", "DECLINE": "GROWTH"}
-    counted = F.array(*(F.struct(F.when(negated, swap.get(name, name)).otherwise(name).alias("name"), hits(words).alias("n")) for name, words in P.CLAIM_WORDS.items()))
-    strength = lambda x: F.least(F.lit(1.0), x["n"] * 0.25)
-    row = lambda x: _row("ClaimType", F.concat(x["name"], F.lit(" claim")), (8, 1, 2), "tier2:claim", "float", strength(x).cast("string"), strength(x))
-    return F.transform(F.filter(counted, lambda x: x["n"] > 0), row)
+    def rows(low: Column, negated: Column) -> Column:
+        counted = F.array(*(F.struct(F.when(negated, swap.get(name, name)).otherwise(name).alias("name"), hits(low, negated, words).alias("n")) for name, words in P.CLAIM_WORDS.items()))
+        strength = lambda x: F.least(F.lit(1.0), x["n"] * 0.25)
+        return F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: _row("ClaimType", F.concat(x["name"], F.lit(" claim")), (8, 1, 2), "tier2:claim", "float", strength(x).cast("string"), strength(x)))
+
+    seen = bound(bound(F.array(F.lower(c)), low=lambda x: x), low=lambda x: x["low"], negated=lambda x: x["low"].rlike(P.NEGATION))
+    return F.flatten(F.transform(seen, lambda x: rows(x["low"], x["negated"])))
 
 
 def sentiment(c: Column) -> Column:
     """The class with most of its words present; ties go to the earlier class."""
-    low = F.lower(c)
-    scores = {name: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for name, words in P.SENTIMENT_WORDS.items()}
-    top = F.greatest(*scores.values())
-    label = F.when(F.lit(False), "")
-    for name, score in scores.items():
-        label = label.when(score == top, f"{name} sentiment")
-    return F.when(top > 0, F.array(_row("Sentiment", label, (8, 2, 1), "tier2:sentiment", "int", top.cast("string"), top))).otherwise(empty())
+    scored = bound(F.array(F.lower(c)), **{name: lambda low, words=words: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for name, words in P.SENTIMENT_WORDS.items()})
+
+    def row(x: Column) -> Column:
+        top = F.greatest(*(x[name] for name in P.SENTIMENT_WORDS))
+        label = F.when(F.lit(False), "")
+        for name in P.SENTIMENT_WORDS:
+            label = label.when(x[name] == top, f"{name} sentiment")
+        return _row("Sentiment", label, (8, 2, 1), "tier2:sentiment", "int", top.cast("string"), top)
+
+    return F.transform(F.filter(scored, lambda x: F.greatest(*(x[name] for name in P.SENTIMENT_WORDS)) > 0), row)
 
 
 #: Extractors in the order that numbers coordinates: what it reads, whether of prose alone, its tier, category, and whether its rows

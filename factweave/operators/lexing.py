@@ -63,8 +63,10 @@ def lex(docs: DataFrame) -> DataFrame:
     live = F.col("kind") == "TEXT"
     c = F.col("content")
     order = Window.partitionBy("doc_id").orderBy("chunk_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    section = F.last(F.when(live & is_section(c), F.lower(c)), ignorenulls=True).over(order)
-    found = p.withColumn("section", section).withColumn("patterns", pattern_struct(c, live)).withColumn("words", word_count(c))
+    # Patterns are found below the window, which no optimizer folds into what stands above: so each is searched once,
+    # however many tests and extractors name it.
+    found = p.withColumn("patterns", pattern_struct(c, live)).withColumn("words", word_count(c)).withColumn("head", F.when(live & is_section(c), F.lower(c)))
+    found = found.withColumn("section", F.last("head", ignorenulls=True).over(order))
     n = lambda name: F.size(f"patterns.{name}")
     cited = F.coalesce(F.col("section").contains("reference"), F.lit(False)) & (F.col("patterns.has_citations") | (n("list_items") > 0))
     short = (n("money") + n("percent") + n("dates") > 0) & (F.col("words") < 20)

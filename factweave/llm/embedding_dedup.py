@@ -166,9 +166,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit = _unit(_matrix(part.column(8)))
             one, two = part.column(2)[0].as_py(), part.column(3)[0].as_py()
             side = part.column(5).to_numpy(zero_copy_only=False) if one != two else None
-            keys, links, label = None, np.zeros(len(unit), np.int64), np.arange(len(unit))
+            keys, known = np.zeros((len(unit), TABLES, 1 + PROBES), _U), np.zeros(len(unit), bool)
+            links, label = np.zeros(len(unit), np.int64), np.arange(len(unit))
             for i, j in linked(unit, own, side):
-                keys = cells(unit) if keys is None else keys
+                # Only members of pairs need their cells.
+                live = np.zeros(len(unit), bool)
+                live[i] = live[j] = True
+                live &= ~known
+                if live.any():
+                    keys[live], known = cells(unit[live]), known | live
                 # Each pair names its first cell from the lesser id on, the same wherever it is met.
                 swap = ids[i] > ids[j]
                 first = first_meeting(keys, np.where(swap, j, i), np.where(swap, i, j)).view(np.int64) == cell
@@ -176,7 +182,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes, least = least_labels(label[i], label[j])
                 label[nodes] = least
                 label = label[label]
-            if keys is None:
+            if not known.any():
                 continue
             members = np.bincount(label, minlength=len(unit))[label] > 1
             lowest = np.full(len(unit), np.iinfo(np.int64).max)

@@ -200,7 +200,8 @@ def common_lines(a: list, b: list) -> list[int]:
 
 
 def difference(own: list[Line], other: list[Line] | None) -> tuple[str, int]:
-    """The page's text, and how many lines went because its neighbour has them too."""
+    """The page's text, and how many lines went because its neighbour has them too. A line without the third mark isn't named."""
+    own, other = ([(*line, False)[:3] for line in lines or ()] for lines in (own, other))
     shared: set[int] = set()
     if other:
         common = common_lines([t for t, *_ in own], [t for t, *_ in other])

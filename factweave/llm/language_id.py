@@ -164,7 +164,8 @@ def _spread(text: str, limit: int) -> str:
     """The text if it is that short, else windows of it from evenly spread places."""
     if len(text) <= limit:
         return text
-    size, last = limit // WINDOWS, len(text) - limit // WINDOWS
+    size = limit // WINDOWS - 1  # and a space
+    last = len(text) - size
     return " ".join(text[last * k // (WINDOWS - 1) :][:size] for k in range(WINDOWS))
 
 
@@ -181,7 +182,7 @@ def references(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[str,
     for r in got:
         texts.setdefault(r["lang"], []).append(_letters(r["text"]))
     # Equal shares of each document, so that one long text is not all that a language knows.
-    return tuple((k, " ".join(_spread(t, REFERENCE_CHARS // len(v)) for t in v)) for k, v in sorted(texts.items()))
+    return tuple((k, " ".join(_spread(t, REFERENCE_CHARS // len(v) - 1) for t in v)) for k, v in sorted(texts.items()))
 
 
 def identify(docs: DataFrame, learnt: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, language_id, minhash_dedup, quality_rules, record_files, secret_scan, sentencepiece_codec, url_filter
+from . import embedding_dedup, fill_middle, html_text, language_id, merkle, minhash_dedup, phrase_mining, quality_rules, record_files, secret_scan, sentencepiece_codec, url_filter
 from ._shared import table
 from .source_mixing import op1_source_mixing
 
@@ -57,5 +57,22 @@ def op10_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.export(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_sentencepiece, op4_html_text, op5_secret_scan, op6_minhash_dedup, op7_embedding_dedup, op8_language_id, op9_quality_rules, op10_record_files)}
-ORACLE_SQL = {"op2_url_filter": url_filter.oracle()}
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_sentencepiece, op4_html_text, op5_secret_scan, op6_minhash_dedup, op7_embedding_dedup, op8_language_id, op9_quality_rules, op10_record_files, op11_phrase_mining, op12_merkle_fingerprints, op13_fill_middle)}
+ORACLE_SQL = {
+    "op2_url_filter": url_filter.oracle(),
+    "op11_phrase_mining": phrase_mining.oracle(),
+    "op12_merkle_fingerprints": merkle.oracle(),
+    "op13_fill_middle": fill_middle.oracle(),
+}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 PARAGRAPH = "[^\\n]+\\n?|\\n"
-PIECE = 48
+PIECE = 32
 PIECES = f"[^.!?\\n]{{1,{PIECE}}}[.!?\\n]{{0,8}}|[.!?\\n]{{1,8}}"
 #: Digits of nodes within a fingerprint, of a piece's hash, and of a piece in all.
 NODE, HASH, LEAF = 16, 8, 10
@@ -133,16 +133,17 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"), F.length(text).cast("long").alias("n_chars"))
     follows = materialize(next_keys(rows), "follows")
     # Keys without nulls, so that both joins find the texts dealt alike and Spark shuffles them once.
-    key = lambda i, m: [F.coalesce(i, F.lit(0).cast("long")).alias("key_id"), F.col(i).isNull().alias("key_null"), F.col(m).alias("key_mark")]
+    key = lambda i, m: [F.coalesce(F.col(i).cast("long"), F.lit(0).cast("long")).alias("key_id"), F.col(i).isNull().alias("key_null"), F.col(m).alias("key_mark")]
     keys = ["key_id", "key_null", "key_mark"]
-    keyed = rows.select(*key("doc_id", "mark"), "doc_id", "text", "n_chars")
+    keyed = rows.select(*key("doc_id", "mark"), "text")  # the same columns for both
     to = F.struct(F.col("doc_id").alias("id"), F.col("mark").alias("mark")).alias("to")
     asked = follows.select(*key("next_id", "next_mark"), to, "wanted")
     met = keyed.join(asked.hint("shuffle_hash"), keys).select("to", F.expr("substring(text, 1, cast(wanted as int))").alias("head"), "text")
     answers = with_fingerprint(met, "text", "next_fingerprint").groupBy("to").agg(F.first(F.struct("head", "next_fingerprint")).alias("answer"))  # of equal rows one answers
     answers = answers.select("to.*", "answer.*").select(*key("id", "mark"), "head", "next_fingerprint")
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), head)")
-    both = keyed.join(answers, keys).select("doc_id", "n_chars", "text", edited.alias("edited"), "next_fingerprint")
+    own = keyed.join(answers, keys).withColumn("n_chars", F.length("text").cast("long"))
+    both = own.select(F.when(~F.col("key_null"), F.col("key_id")).alias("doc_id"), "n_chars", "text", edited.alias("edited"), "next_fingerprint")
     both = with_fingerprint(with_fingerprint(both, "text", "fingerprint"), "edited", "edited_fingerprint")
     near = with_likeness(both, "fingerprint", {"edited_fingerprint": "near_edited", "next_fingerprint": "near_next"})
     return near.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -136,11 +136,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     key = lambda i, m: [F.coalesce(F.col(i).cast("long"), F.lit(0).cast("long")).alias("key_id"), F.col(i).isNull().alias("key_null"), F.col(m).alias("key_mark")]
     keys = ["key_id", "key_null", "key_mark"]
     keyed = rows.select(*key("doc_id", "mark"), "text")  # the same columns for both
-    to = F.struct(F.col("doc_id").alias("id"), F.col("mark").alias("mark")).alias("to")
-    asked = follows.select(*key("next_id", "next_mark"), to, "wanted")
-    met = keyed.join(asked.hint("shuffle_hash"), keys).select("to", F.expr("substring(text, 1, cast(wanted as int))").alias("head"), "text")
-    answers = with_fingerprint(met, "text", "next_fingerprint").groupBy("to").agg(F.first(F.struct("head", "next_fingerprint")).alias("answer"))  # of equal rows one answers
-    answers = answers.select("to.*", "answer.*").select(*key("id", "mark"), "head", "next_fingerprint")
+    asked = follows.select(*key("next_id", "next_mark"), F.struct(*key("doc_id", "mark")).alias("to"), "wanted")
+    met = keyed.join(asked.hint("shuffle_hash"), keys).select("to.*", F.expr("substring(text, 1, cast(wanted as int))").alias("head"), "text")
+    # Of equal rows one answers. Summed up by the keys of the join, so that answers are shuffled once as well.
+    answers = with_fingerprint(met, "text", "next_fingerprint").groupBy(*keys).agg(F.first(F.struct("head", "next_fingerprint")).alias("answer")).select(*keys, "answer.*")
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), head)")
     own = keyed.join(answers, keys).withColumn("n_chars", F.length("text").cast("long"))
     both = own.select(F.when(~F.col("key_null"), F.col("key_id")).alias("doc_id"), "n_chars", "text", edited.alias("edited"), "next_fingerprint")

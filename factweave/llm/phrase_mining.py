@@ -36,7 +36,7 @@ from ._shared import materialize
 #: Words of a candidate at most, its least frequency, the percentage at which a longer one drops it, and results of a language.
 MOST_WORDS, LEAST, PERCENT, TOP = 3, 10, 50, 2000
 #: UTF-8 bytes of the texts of a block.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 #: 64-bit words of a filter of frequent phrases, each with FILTER_BITS of the bits of a phrase.
 FILTER_WORDS, FILTER_BITS = 1 << 20, 4
 #: The last stage ranks a language from this many parts of it, of which each gives its first ones.

@@ -51,10 +51,10 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: no lost executor makes Spark compute it again."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,6 +50,16 @@ _LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.
 INDEX = "lang string, words array<string>, counts binary, positions binary"
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits as they are kept in a row: their number, then themselves, compressed."""
+    raw = numbers.astype(np.int32).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd"), np.int32)
+
+
 def _block(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
     """The inverted lists of some texts."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
@@ -61,16 +71,18 @@ def _block(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
     offsets = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int32)
     words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data[~blank])).dictionary_encode()
     # Between two words of a piece one step, between others two.
-    piece = np.concatenate(([0], np.cumsum(_PIECE_END[data], dtype=np.int64)))[begin]
+    piece = np.concatenate(([0], np.cumsum(_PIECE_END[data], dtype=np.int32)))[begin]
     place = np.arange(len(begin)) + np.unique(piece, return_inverse=True)[1]
     number = words.indices.to_numpy()
     order = np.argsort(number, kind="stable")
-    columns = pa.array([lang]), pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([np.bincount(number).astype(np.int32).tobytes()]), pa.array([place[order].astype(np.int32).tobytes()])
+    packed = (_packed(np.bincount(number)), _packed(np.diff(place[order], prepend=0)))
+    columns = pa.array([lang]), pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x]) for x in packed)
     return pa.RecordBatch.from_arrays(list(columns), names=["lang", "words", "counts", "positions"])
 
 
 def inverted_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(lang, words, counts, positions): a row for each block; `counts` are the lengths of the words' lists in `positions`."""
+    """(lang, words, counts, positions): a row for each block; `counts` are the lengths of the words' lists in `positions`,
+    which are kept as steps from one to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -103,7 +115,7 @@ class Lists:
 
     def __init__(self, row: dict):
         self.lang, self.words = row["lang"], row["words"]
-        counts, places = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["positions"], np.int32)
+        counts, places = _unpacked(row["counts"]), np.cumsum(_unpacked(row["positions"]))
         order = np.argsort(places, kind="stable")  # merges the words' lists, which are sorted
         self.posts, self.post_word = places[order], np.repeat(np.arange(len(counts)), counts)[order]
         hashes = pd.util.hash_array(np.array([*self.words, self.lang], object), categorize=False)
@@ -206,7 +218,7 @@ def word_counts(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, words, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                words, n = words.values, np.frombuffer(counts, np.int32).astype(np.int64)
+                words, n = words.values, _unpacked(counts).astype(np.int64)
                 for k in range(0, len(n), 1 << 16):
                     own = words.slice(k, 1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(n[k : k + (1 << 16)])], names=["lang", "phrase", "n"])
@@ -241,7 +253,8 @@ def contained(candidates: DataFrame, most_words: int, percent: int) -> DataFrame
 
 def mine(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, percent: int = PERCENT, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of each language of the rows (lang, text)."""
-    index = materialize(inverted_lists(docs, block_bytes), "lists")
+    # Rows are large and compressed already; Parquet's own codec would hold whole pages of them outside the heap.
+    index = materialize(inverted_lists(docs, block_bytes), "lists", compression="none")
     words = materialize(word_counts(index), "words")
     candidates = materialize(frequencies(index, most_words, least).withColumnRenamed("n", "a"), "phrases")
     counts = words.where(F.col("n") >= least).unionAll(candidates)

@@ -13,13 +13,13 @@ is left. Only links that join groups leave a task, never the pairs. A region of
 block.
 
 Depth adapts to the region: one of over DEEP members is cut by further values into deeper regions, by SPLITS sets of
-values, so that a pair is not lost because one value differs; what is still too large is cut again, as long as there are
-values, and is compared block by block after that. So the work follows the members, not their square, where many
-documents share a passage. Signatures only leave out pairs that agree in less than ESTIMATE of their values, more than
+values, so that a pair is not lost because one value differs, and so again, as long as that halves the pairs to compare.
+A region whose members are too alike for that stays whole and is compared block by block, by signature, pair by pair. A
+pair that meets in cut regions alone is looked for in all of them. Signatures only leave out pairs that agree in less than ESTIMATE of their values, more than
 four standard deviations below the threshold; every link rests on full sets.
 
-With 24 trees of 4 values a pair at the threshold of 0.75 meets with a probability of 0.9999; where all its regions are
-deep ones, of 0.9996.
+With 24 trees of 4 values a pair at the threshold of 0.75 meets with a probability of 0.9999. Where all its regions are cut
+once it still meets with one of 0.9997, by the same reckoning: 1 - (1 - p (1 - (1 - p)^6))^24 with p = 0.75^4.
 
 Defined results: words are runs of characters other than space and tab to carriage return, in lower-case A-Z; fewer
 than five words are one shingle; null and empty texts have no shingle and no link; a null doc_id has no link and is
@@ -283,7 +283,8 @@ def first_pairs(regions: DataFrame) -> DataFrame:
 
 
 def deeper(members: DataFrame, units: DataFrame, level: int) -> DataFrame:
-    """The members (key, id, component) of too large regions, each in SPLITS regions that share DEPTH values more."""
+    """(parent, key, id, component): the members (key, id, component) of too large regions, each in SPLITS regions that share
+    DEPTH values more."""
     rows = members.join(units.select("id", "signature"), "id").select("key", "id", "component", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,35 +297,44 @@ def deeper(members: DataFrame, units: DataFrame, level: int) -> DataFrame:
                     own = np.flatnonzero(tree == t)
                     for place in further_values(int(t), level * SPLITS + split + 1)[:DEPTH]:
                         new[own] = mix(new[own] * _STEP + sig[own, place])
-                yield pa.RecordBatch.from_arrays([pa.array((new & ~_TREE | key & _TREE).view(np.int64)), b.column(1), b.column(2)], names=["key", "id", "component"])
-
-    return rows.mapInArrow(run, "key long, id long, component long")
-
-
-def open_regions(regions: DataFrame, units: DataFrame) -> DataFrame:
-    """(key, id, component, n_shingles) of the members of regions in which different groups meet, none of them too large to compare
-    if values could cut it."""
-    rows = regions.select("key", "id").join(units.select("id", "component", "n_shingles"), "id")
-    done, level = [], 0
-    rows = materialize(rows.select("key", "id", "component"), "members")
-    while True:
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        large = materialize(counts.where(F.col("n") > DEEP).select("key"), "large") if level < LEVELS else None
-        stay = counts.where(F.col("n") <= DEEP) if large is not None else counts
-        done.append(rows.join(stay.select("key"), "key"))
-        if large is None or not large.limit(1).count():
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((new & ~_TREE | key & _TREE).view(np.int64)), b.column(1), b.column(2)], names=["parent", "key", "id", "component"])
+
+    return rows.mapInArrow(run, "parent long, key long, id long, component long")
+
+
+def open_regions(regions: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, component) of the members of regions in which different groups meet, and (id, cut): bits of the trees whose
+    region of a member was cut.
+
+    A too large region is cut only where that halves the pairs to compare; else it stays whole and is compared block by
+    block, which is never more than all its pairs. So no series of cuts makes more rows than a few times its members."""
+    rows = materialize(regions.select("key", "id").join(units.select("id", "component"), "id").select("key", "id", "component"), "members")
+    sizes = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    done, cuts = [], units.select("id", F.lit(0).alias("cut")).limit(0)
+    for level in range(LEVELS + 1):
+        counts = sizes(rows, "key")
+        large = materialize(counts.where(F.col("n") > DEEP).select(F.col("key").alias("parent"), "n"), "large")
+        if level == LEVELS or not large.limit(1).count():
+            done.append(rows.join(counts.select("key"), "key"))
             break
-        rows = materialize(deeper(rows.join(large, "key"), units, level), "deeper")
-        level += 1
+        tried = materialize(deeper(rows.join(large.select(F.col("parent").alias("key")), "key"), units, level), "deeper")
+        left = sizes(tried, "parent", "key").groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        pays = materialize(large.join(left, "parent", "left").select("parent", (2 * F.coalesce("pairs", F.lit(0.0)) <= F.col("n") * F.col("n")).alias("pays")), "pays")
+        whole = counts.join(pays.where("pays").select(F.col("parent").alias("key")), "key", "left_anti")
+        done.append(rows.join(whole.select("key"), "key"))
+        if level == 0:
+            cuts = tried.join(pays.where("pays"), "parent").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, cast(parent & 31 as int))")).alias("cut"))
+        rows = materialize(tried.join(pays.where("pays"), "parent").select("key", "id", "component"), "cut")
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out
+    return out, cuts
 
 
-def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sig: np.ndarray, side: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs between different groups, in two blocks between them, whose signatures agree enough and which
-    meet in `tree` first, and in how many values they agree."""
+def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, side: np.ndarray, cut: np.ndarray, sig: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs between different groups, in two blocks between them, whose signatures agree enough, and in how
+    many values they agree. A pair is this tree's if it is the first one that they share whose region is whole; pairs that
+    share cut regions only are taken in each."""
     names, spot, counts = np.unique(roots, return_inverse=True, return_counts=True)
     home = spot == counts.argmax()  # these have no pair among themselves
     rest = np.flatnonzero(~home)
@@ -342,7 +352,8 @@ def compared(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sig: np.ndar
         x, y = np.nonzero(ok)
         for k in range(0, len(x), 1 << 16):
             u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-            first = (sig[i[u]] == sig[v]).reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == tree
+            whole = (sig[i[u]] == sig[v]).reshape(-1, TREES, DEPTH).all(axis=2) & (cut[v, None] >> np.arange(TREES) & 1 == 0)
+            first = ~whole.any(axis=1) | (whole.argmax(axis=1) == tree)
             left.append(i[u[first]])
             right.append(v[first])
             score.append(agree[u[first], v[first]])
@@ -373,14 +384,14 @@ def joining(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], i: np.nd
     return links[:, 0].tolist(), links[:, 1].tolist()
 
 
-_TILE = "tile long, key long, mine int, id long, component long, n_shingles long, signature binary"
+_TILE = "tile long, key long, mine int, id long, component long, n_shingles long, cut int, signature binary"
 
 
-def second_links(members: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
+def second_links(members: DataFrame, cuts: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of different groups that meet in a region: links enough to join all groups that a link joins.
 
     The members of the largest group of a region have blocks of their own, which meet the other blocks only."""
-    members = materialize(members.join(units.select("id", "n_shingles"), "id"), "open")
+    members = materialize(members.join(units.select("id", "n_shingles"), "id").join(cuts, "id", "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "open")
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n_shingles").alias("size"))
     regions = counts.groupBy("key").agg(F.max_by(F.struct("component", "count", "size"), F.struct("count", "component")).alias("home"), F.sum("count").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
@@ -405,18 +416,18 @@ def second_links(members: DataFrame, units: DataFrame, texts: DataFrame) -> Data
             edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 part = rows.slice(lo, hi - lo)
-                columns = [part.column(k).to_numpy() for k in (3, 4, 5, 2)]
-                yield from work(part, *columns, compared(*columns[:3], _values(part.column(6)), columns[3], int(key[lo].view(_U) & _TREE)))
+                columns = [part.column(k).to_numpy() for k in (3, 4, 5, 2, 6)]
+                yield from work(part, *columns[:2], compared(*columns, _values(part.column(7)), int(key[lo].view(_U) & _TREE)))
 
         return each
 
-    def near(part, ids, roots, sizes, side, pairs) -> Iterator[pa.RecordBatch]:
+    def near(part, ids, roots, pairs) -> Iterator[pa.RecordBatch]:
         take = np.unique(np.concatenate(pairs[:2]))
         if len(take):
             yield part.take(pa.array(take))
 
-    def links(part, ids, roots, sizes, side, pairs) -> Iterator[pa.RecordBatch]:
-        a, b = joining(ids, roots, sets_of(part.column(7).to_pylist()), *pairs)
+    def links(part, ids, roots, pairs) -> Iterator[pa.RecordBatch]:
+        a, b = joining(ids, roots, sets_of(part.column(8).to_pylist()), *pairs)
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -438,7 +449,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(materialize(first_pairs(regions), "pairs-1"), texts), "links-1")
     groups = components(links).toDF("id", "component")
     units = materialize(classes.join(groups, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("component"), *whole), "units")
-    links = links.unionAll(materialize(second_links(open_regions(regions, units), units, texts), "links-2"))
+    links = links.unionAll(materialize(second_links(*open_regions(regions, units), units, texts), "links-2"))
     found = components(links).toDF("id", "component")
     by_set = materialize(units.drop("component", "signature").join(found, "id", "left").select(*whole, F.coalesce("component", "id").alias("component")), "by-set")
     out = signed.drop("signature").join(by_set, whole, "left")

@@ -229,6 +229,25 @@ def test_links_among_documents_that_share_a_passage(spark, monkeypatch, deep):
     assert found >= 0.99 * len(links) and sum(got[d] != d for d in got) == found
 
 
+@pytest.mark.parametrize("deep", [8000, 40])
+def test_links_just_above_the_threshold_amid_documents_just_below(spark, monkeypatch, deep):
+    """All documents are 0.70 alike, and 60 pairs 0.765: with regions cut at 40 members nearly all must still be found."""
+    monkeypatch.setattr(minhash_dedup, "DEEP", deep)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 200)
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    common, texts = word(284), []
+    for k in range(400):
+        if k % 2 == 0 or k >= 120:  # below that, two by two
+            own = word(18)
+        texts.append(" ".join(common + own + word(42)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert len(links) == 60
+    got = {r.doc_id: r.component_id for r in minhash_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 59
+
+
 # ---- language
 
 

@@ -20,7 +20,7 @@ WEIGHTS = {"clean": 0.98, "toxic": 0.02}
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id a verdict keeps; rows without one follow the verdicts on null ids."""
     kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")  # docs may have a kept_id too
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document appears as often as its rate says."""
+    """Each document appears as often as its rate says; rows that share a doc_id as often as the highest of theirs."""
     labels = table(spark, sf_dir, "labels")
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
     labelled = labels.select("doc_id", domain.alias("domain")).where("domain is not null")
-    copies = source_mixing.mix(docs, labelled, WEIGHTS).select(F.col("doc_id").alias("mixed_id"), "copies").where("copies > 0").dropDuplicates(["mixed_id"])
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    mixed = source_mixing.mix(docs, labelled, WEIGHTS).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # its own columns may have any names
+    joined = rows.join(mixed, F.col("row.doc_id").eqNullSafe(F.col("mixed_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ class Lists:
 
     def keep(self, bits: np.ndarray) -> None:
         """Drop the lists of phrases that a filter doesn't hold."""
-        word, mask = filter_places(self.hashes)
+        word, mask = filter_places(self.hashes, len(bits))
         stay = bits[word] & mask == mask
         self.hashes, number = self.hashes[stay], np.cumsum(stay) - 1
         own = stay[self.phrase]
@@ -155,12 +155,12 @@ class Lists:
         return pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
 
 
-def filter_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word of a filter, and the bits in it, of each hash."""
+def filter_places(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a filter of so many words, and the bits in it, of each hash."""
     mask = np.zeros(len(hashes), _U)
     for k in range(FILTER_BITS):
         mask |= _U(1) << (hashes >> _U(6 * k) & _U(63))
-    return (hashes >> _U(24)) % _U(FILTER_WORDS), mask
+    return (hashes >> _U(24)) % _U(words), mask
 
 
 def _filter(index: DataFrame, filters: list, least: int):

@@ -16,7 +16,8 @@ import binascii
 import hashlib
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,13 +36,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 LONG_HEX = re.compile(r"[0-9A-F]{48}|[0-9a-f]{48}")
-#: Runs of base64, also over the line ends of an armoured key.
-ANY_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: Runs of base64 over line ends, which may be written as escapes and followed by an indent.
+LINE_END = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+={0,2})*")
+#: A header begins with `{` and a quotation mark or white space.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: First bytes of an OpenSSH key container.
 SSH_MAGIC = b"openssh-key-v1\0"
-#: How the first bytes of a key look in base64: 0x30 of DER, or those of SSH_MAGIC.
-KEY_BEGINS = re.compile("M[A-P]|b3Bl")
+#: How the first bytes of a key look in base64: 0x30 of DER, or those of SSH_MAGIC. Lines have eight characters at least.
+KEY_BEGINS = re.compile("M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNz")
 #: Object identifiers of key algorithms, in DER (RSA, EC, X25519, Ed25519, DSA).
 KEY_ALGORITHMS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b656e"), bytes.fromhex("2b6570"), bytes.fromhex("2a8648ce380401"))
 
@@ -149,55 +152,71 @@ def ssh_size(body: str, begin: int, parts: int = 6) -> int | None:
     return at
 
 
-def armoured(run: str, start: int) -> list[tuple[int, int, int]]:
-    """Keys in lines of base64: lines of words may stand before and after a key, which begins and ends with a line.
-
-    The first bytes of a DER key say how long it is, and so which line ends it; a container's lengths do."""
-    out, lines, i, joined = [], run.split("\n"), 0, ""
-    at, chars = [start], [0]
-    for line in lines:
-        at.append(at[-1] + len(line) + 1)
-        chars.append(chars[-1] + len(line.rstrip("\r=")))
-    while i < len(lines):
-        begin, i = i, i + 1
-        if not KEY_BEGINS.match("".join(x.rstrip("\r") for x in lines[begin : begin + 4])):
-            continue
-        body = "".join(x.rstrip("\r=") for x in lines[begin : begin + 8])[:8]
-        if body[0] == "M":
-            size = der_size(decode64(body) or b"")
-            if size is None:
-                continue
-            # Characters that hold that many bytes: `size` in whole groups of three, or the rest in two or three characters.
-            least = size // 3 * 4 + (0, 2, 3)[size % 3]
-            n = bisect_left(chars, chars[begin] + least, begin + 1)
-            if n >= len(chars) or chars[n] != chars[begin] + least:
-                continue
-            ends, check, kind = [n], is_der_key, 3
-        else:
-            joined = joined or "".join(x.rstrip("\r=") for x in lines)
-            ends, check, kind = _ssh_ends(joined, chars, begin), is_ssh_key, 4
-        for n in ends:
-            key = "\n".join(lines[begin:n]).rstrip("\r")
-            data = decode64(key)
-            if data and check(data):
-                out.append((at[begin], kind, at[begin] + len(key)))
-                i = n
-                break
-    return out
+class Run:
+    """Base64 over several lines: where its lines stand in the text, and its characters without what parts them."""
+
+    def __init__(self, text: str, begin: int):
+        self.end = RUN.match(text, begin).end()
+        gaps = [m.span() for m in LINE_END.finditer(text, begin, self.end)]
+        self.begins = [begin, *(b for _, b in gaps)]
+        lines = [text[a:b].rstrip("=") for a, b in zip(self.begins, [*(a for a, _ in gaps), self.end], strict=True)]
+        self.ends = [a + len(line) for a, line in zip(self.begins, lines, strict=True)]
+        self.body = "".join(lines)
+        self.chars = [0, *accumulate(map(len, lines))]  # before each line, and in all
+
+    def at(self, place: int) -> int:
+        """Which character of the body stands at a place of the text."""
+        line = bisect_right(self.begins, place) - 1
+        return self.chars[line] + place - self.begins[line]
+
+    def line_end(self, chars: int) -> int | None:
+        """Where in the text the line ends that ends with so many characters of the body; None if none does."""
+        n = bisect_left(self.chars, chars, 1)
+        return self.ends[n - 1] if n < len(self.chars) and self.chars[n] == chars else None
 
 
-def _ssh_ends(body: str, chars: list[int], begin: int) -> list[int]:
-    """Where a container that begins with line `begin` may end: where its lengths say so, else with one of the run's last lines."""
-    first = chars[begin]
-    if not (decode64(body[first : first + 20]) or b"").startswith(SSH_MAGIC) or not ssh_size(body, first, 3):
+def _der_ends(run: Run, first: int) -> list[int]:
+    """Where in the body a DER key that begins there ends: its first bytes say how long it is, and hold a version."""
+    head = decode64(run.body[first : first + 12]) or b""
+    size = der_size(head)
+    if size is None or head[2 + (head[1] & 0x7F if head[1] & 0x80 else 0) :][:2] != b"\x02\x01":
         return []
-    size = ssh_size(body, first)
+    # Characters that hold that many bytes: `size` in whole groups of three, or the rest in two or three characters.
+    return [first + size // 3 * 4 + (0, 2, 3)[size % 3]]
+
+
+def _ssh_ends(run: Run, first: int) -> list[int]:
+    """Where in the body a container that begins there may end: where its lengths say so, else with one of the last lines."""
+    if not (decode64(run.body[first : first + 20]) or b"").startswith(SSH_MAGIC) or not ssh_size(run.body, first, 3):
+        return []
+    size = ssh_size(run.body, first)
     if size:
-        n = bisect_left(chars, first + -(-size * 4 // 3), begin + 1)
-        if n < len(chars) and (chars[n] - first) * 3 // 4 == size:
-            return [n]
-    last = len(chars) - 1
-    return [n for n in range(last, max(begin, last - 4), -1) if (chars[n] - first) % 4 != 1]
+        n = bisect_left(run.chars, first + -(-size * 4 // 3), 1)
+        if n < len(run.chars) and (run.chars[n] - first) * 3 // 4 == size:
+            return [run.chars[n]]
+    return [c for c in run.chars[:-5:-1] if c > first and (c - first) % 4 != 1]
+
+
+def armoured(text: str) -> list[tuple[int, int, int]]:
+    """Keys in base64: they may begin anywhere, and end where a line ends, with what pads it."""
+    out, run, found = [], None, KEY_BEGINS.search(text)
+    while found:
+        begin = found.start()
+        after = begin + 1
+        if run is None or begin >= run.end:
+            run = Run(text, begin)
+        first = run.at(begin)
+        ends, check, kind = (_der_ends, is_der_key, 3) if text[begin] == "M" else (_ssh_ends, is_ssh_key, 4)
+        for last in ends(run, first):
+            end = run.line_end(last)
+            data = decode64(run.body[first:last]) if end else None
+            if data and check(data):
+                after = end
+                end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+                out.append((begin, kind, end))
+                break
+        found = KEY_BEGINS.search(text, after)
+    return out
 
 
 def find(text: str | None) -> list[tuple[int, int, int]]:
@@ -212,10 +231,8 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if LONG_HEX.search(text):
         out += [(m.start(), 3, m.end()) for m in ANY_HEX.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
-    for m in ANY_BASE64.finditer(text):
-        out += armoured(m[0], m.start())
-    if "." in text and "ey" in text:
-        out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if m[1].startswith("ey") and is_token(m[1], m[2])]
+    out += armoured(text)
+    out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
     return sorted(set(out))
 
 

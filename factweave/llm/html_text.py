@@ -2,9 +2,10 @@
 
 All pages are sorted by host and URL path, and each is paired with the one next to it on the same host whose path shares
 the longer prefix. The text lines of both are aligned by longest common subsequence and the shared ones deleted: they
-belong to the site, not to the page. Two limits keep that right. Lines inside an <article> or <main> are the page's own
-whatever its neighbour says, for copies of one article stand side by side on real sites and would delete each other.
-And where a page without these elements shares most lines with its neighbour, the two are copies and nothing is deleted.
+belong to the site, not to the page. Copies of a page stand side by side on real sites and would delete each other, so three
+limits keep that right: what is deleted must be shared with the next page on the other side too, where there is one on
+the host; lines inside an <article> or <main> are the page's own whatever its neighbours say; and a page of which nothing
+would be left keeps its lines.
 
 Of the lines that are left, those go that the markup itself names as menu, header, footer, sidebar, notice, advert, form,
 script, style or reader comments: such lines may differ from page to page.
@@ -22,7 +23,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 from .url_filter import host_of, path_of
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_shared_lines long"
-#: Pages are copies where shared lines make up this share of the lines of both.
-COPY_SHARE = 0.6
 #: Fixed values of the markup's standard: elements without an end, elements that begin a block, elements with main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -47,6 +46,10 @@ _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 WHOLE = frozenset(("html", "body", "main", "article"))
 #: Words that make a name one of a state, as in `has-sidebar` and `comments-open`: before a listed word, and at the end.
 STATE_BEGINS, STATE_ENDS = frozenset("has with no without is not".split()), frozenset("open closed on off enabled disabled".split())
+#: Words that name a block when they stand behind a listed word, as in `share-buttons`, and listed words that name a layout: the
+#: main text may stand in an element that is named after them, as in `content-sidebar-wrap`.
+BLOCK_NAMES = frozenset("area bar block box button buttons container form group inner item items label link links list panel post posts section slot title unit wrap wrapper".split())
+LAYOUT_NAMES, LAYOUT = frozenset("footer masthead menu menubar nav navbar search sidebar toolbar topbar widget widgets".split()), 3
 #: Bits of the table by which lines are aligned; more lines than that are halved first.
 ALIGN_BITS = 1 << 26
 
@@ -54,62 +57,159 @@ ALIGN_BITS = 1 << 26
 Line = tuple[str, bool, bool]
 
 
-class Lines(HTMLParser):
+#: Pieces of markup: what begins an element or ends one, and an attribute with its value.
+_OPENS, _ATTRIBUTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+
+
+class Scanner:
+    """Reads markup from left to right, in time that is linear in the page: what was looked for in vain isn't looked for
+    again, and where a tag runs on to the end of the page, quotes count no more."""
+
+    def __init__(self, html: str):
+        self.html, self.gone, self.quotes = html, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        k = self.html.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str | None]], int, bool] | None:
+        """Names and values behind `at`, where the tag ends, and whether it ends at once; None if it doesn't end."""
+        html, found = self.html, []
+        while m := _ATTRIBUTE.match(html, at):
+            at, value = m.end(), None
+            if m[2]:
+                quote = html[at : at + 1]
+                close = self.find(quote, at + 1) if self.quotes and quote in ('"', "'") else -1
+                if close >= 0:
+                    value, at = html[at + 1 : close], close + 1
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            found.append((m[1].lower(), value and unescape(value)))
+        end = html.find(">", at)
+        return None if end < 0 else (found, end + 1, html[at:end].endswith("/"))
+
+    def run(self, lines: Lines) -> None:
+        html, at = self.html, 0
+        while at < len(html):
+            k = self.find("<", at)
+            if k < 0 or ">" in self.gone:
+                break
+            if k > at:
+                lines.data(unescape(html[at:k]))
+            at = k
+            m = _OPENS.match(html, at)
+            if m:
+                read = self.attributes(m.end())
+                if read is None and self.find(">", at) >= 0:
+                    self.quotes = False
+                    read = self.attributes(m.end())
+                if read is None:
+                    break
+                attrs, at, empty = read
+                tag = m[2].lower()
+                if m[1]:
+                    lines.close(tag)
+                    continue
+                lines.start(tag, attrs)
+                if empty and tag not in VOID:
+                    lines.close(tag)
+                elif tag in ("script", "style") and tag not in self.gone:
+                    end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                    if not end:
+                        return  # the rest is the element's
+                    at = end.start()
+            elif html.startswith("<!--", at):
+                close = at + 3 if html.startswith("<!-->", at) else self.find("-->", at + 4)
+                close = self.find(">", at) if close < 0 else html.index(">", close)
+                at = close + 1 if close >= 0 else len(html)
+            elif html[at + 1 : at + 2] in ("!", "?", "/"):
+                close = self.find(">", at)
+                if close < 0:
+                    break
+                at = close + 1
+            else:
+                lines.data("<")
+                at += 1
+        if at < len(html):
+            lines.data(unescape(html[at:]))
+
+
+class Lines:
     """Blocks of text of a page."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # element; here or above: without text, something else, main
+        self.open: list[tuple[str, bool, int, bool]] = []  # element; here or above: without text, something else, main
         self.count: Counter[str] = Counter()
         self.blocks: list[int] = []  # places in `open` of the elements that begin a block
-        self.words: tuple[list[str], list[str]] = [], []  # of the block so far: main text, something else
+        self.words: tuple[list[str], list[str], list[str]] = [], [], []  # of the block so far: main text, something else, main text if there is none else
+        self.plain_main = False  # an element with main text outside what is named as something else
 
     @classmethod
     def of(cls, html: str | None) -> list[Line]:
-        parser = cls()
-        parser.feed(html or "")
-        parser.close()
-        parser.cut()
-        return parser.lines
+        lines = cls()
+        Scanner(html or "").run(lines)
+        lines.cut()
+        return [(text, main, other == 1 or (other == 2 and lines.plain_main)) for text, main, other in lines.lines]
 
     def cut(self) -> None:
         for other, words in enumerate(self.words):
             if words:
                 text = " ".join("".join(words).split())
                 if text:
-                    self.lines.append((text, bool(self.open and self.open[-1][3]), bool(other)))
+                    self.lines.append((text, bool(self.open and self.open[-1][3]), other))
                 words.clear()
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.cut()
             if tag in ("p", "li", "dt", "dd", "option") or (tag[0] == "h" and tag[1:].isdigit()):
                 self._close_paragraph(tag)
         elif tag == "br":
-            self.words[bool(self.open and self.open[-1][2])].append(" ")
+            self.words[self.kind()].append(" ")
         if tag in VOID:
             return
-        silent, other, main = self.open[-1][1:] if self.open else (False, False, False)
+        silent, other, main = self.open[-1][1:] if self.open else (False, 0, False)
+        if other == LAYOUT and tag in MAIN:  # what is named after its layout holds the main text
+            other, main = (0, True) if tag == "main" else (2, True)
         main = main or (tag in MAIN and not other)
-        other = other or tag in DROPPED or (tag == "header" and not main) or (tag not in WHOLE and self._named(attrs))
+        self.plain_main = self.plain_main or (main and not other)
+        if other in (0, 2) and (tag in DROPPED or (tag == "header" and not main)):
+            other = 1
+        elif other in (0, 2) and tag not in WHOLE:
+            named = self._named(tag, attrs, main)
+            other = named and (LAYOUT if named == 2 and not main else 1) or other
         self.open.append((tag, silent or tag in SILENT, other, main))
         self.count[tag] += 1
         if tag in BLOCK:
             self.blocks.append(len(self.open) - 1)
 
-    def _named(self, attrs: list[tuple[str, str | None]]) -> bool:
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]], main: bool) -> int:
+        """0 if no name says that the element isn't main text, 2 if names of a layout alone do, else 1.
+
+        Inside main text, and for headings, a word counts only as the whole name or before a word for a block: there
+        `related-work` and `share-price` are names of what is said. Ids of headings are anchors."""
+        heading, found = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), set()
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name in ("class", "id", "role") and value:
+                return 1
+            if name in ("class", "id", "role") and value and not (heading and name == "id"):
                 for token in value.split():
                     words = [w.lower() for w in _NAME.findall(token)]
                     if NOT_MAIN.isdisjoint(words) or words[-1] in STATE_ENDS:
                         continue
-                    if STATE_BEGINS.isdisjoint(words[: next(k for k, w in enumerate(words) if w in NOT_MAIN)]):
-                        return True
-        return False
+                    first = next(k for k, w in enumerate(words) if w in NOT_MAIN)
+                    if (main or heading) and (first or not BLOCK_NAMES.union(NOT_MAIN).issuperset(words[1:])):
+                        continue
+                    if STATE_BEGINS.isdisjoint(words[:first]):
+                        found.update(w for w in words if w in NOT_MAIN)
+        return 0 if not found else 2 if found <= LAYOUT_NAMES else 1
 
     def _close(self, k: int) -> None:
         """The element at place k ends, and all that is open in it."""
@@ -124,12 +224,7 @@ class Lines(HTMLParser):
         if self.blocks and self.open[self.blocks[-1]][0] in (tag, "p"):
             self._close(self.blocks[-1])
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.cut()
         if self.count[tag]:
@@ -138,11 +233,16 @@ class Lines(HTMLParser):
                 k -= 1
             self._close(k)
 
-    def handle_data(self, data: str) -> None:
+    def data(self, text: str) -> None:
         if not self.open:
-            self.words[0].append(data)
+            self.words[0].append(text)
         elif not self.open[-1][1]:
-            self.words[self.open[-1][2]].append(data)
+            self.words[self.kind()].append(text)
+
+    def kind(self) -> int:
+        """Where text goes now: see `words`."""
+        other = self.open[-1][2] if self.open else 0
+        return 1 if other == LAYOUT else other
 
 
 def _rows(a: list, b: list) -> list[int]:
@@ -199,17 +299,18 @@ def common_lines(a: list, b: list) -> list[int]:
     return [*range(lead), *(lead + places[k] for k in found), *range(len(a) - tail, len(a))]
 
 
-def difference(own: list[Line], other: list[Line] | None) -> tuple[str, int]:
-    """The page's text, and how many lines went because its neighbour has them too. A line without the third mark isn't named."""
-    own, other = ([(*line, False)[:3] for line in lines or ()] for lines in (own, other))
+def difference(own: list[Line], *others: list[Line]) -> tuple[str, int]:
+    """The page's text, and how many lines went because its neighbours have them too; the nearest neighbour comes first. A line
+    without the third mark isn't named. Copies stand side by side, so what goes must stand in the second neighbour too; a
+    page of which that leaves nothing is a copy of both and keeps its lines."""
+    lines = [(*line, False)[:3] for line in own]
     shared: set[int] = set()
-    if other:
-        common = common_lines([t for t, *_ in own], [t for t, *_ in other])
-        # Lines of the main text stay; without any, copies of a page delete nothing.
-        plain = lambda lines: sum(not named for *_, named in lines)
-        if any(main for _, main, _ in own) or plain([own[k] for k in common]) < COPY_SHARE * max(plain(own), plain(other)):
-            shared = {k for k in common if not own[k][1]}
-    return "\n\n".join(t for k, (t, _, named) in enumerate(own) if k not in shared and not named), len(shared)
+    for k, other in enumerate(filter(None, others)):
+        common = {k for k in common_lines([t for t, *_ in lines], [t for t, *_ in other]) if not lines[k][1]}
+        shared = shared & common if k else common
+    if not any(k not in shared and not named for k, (_, _, named) in enumerate(lines)):
+        shared = {k for k in shared if lines[k][2]}
+    return "\n\n".join(t for k, (t, _, named) in enumerate(lines) if k not in shared and not named), len(shared)
 
 
 def _prefix(a: str, b: str) -> int:
@@ -284,8 +385,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def result(after) -> tuple:
             near = [x for x in (before, after) if x and x["place"] == here["place"]]
-            other = max(near, key=lambda x: _prefix(x["path"], here["path"]), default=None)
-            text, shared = difference(here["lines"], other and other["lines"])
+            near.sort(key=lambda x: -_prefix(x["path"], here["path"]))
+            text, shared = difference(here["lines"], *(x["lines"] for x in near))
             return here["page_id"], here["url"], text, len(text), shared
 
         def batch() -> pa.RecordBatch:

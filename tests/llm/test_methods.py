@@ -73,8 +73,8 @@ def test_pages_meet_their_neighbours_whatever_the_partitions(spark):
     want = []
     for k, r in enumerate(order):
         near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and split(order[j][1])[0] == split(r[1])[0]]
-        other = max(near, key=lambda x: html_text._prefix(split(x[1])[1], split(r[1])[1]), default=None)
-        text, shared = html_text.difference(html_text.Lines.of(r[2]), other and html_text.Lines.of(other[2]))
+        near.sort(key=lambda x: -html_text._prefix(split(x[1])[1], split(r[1])[1]))
+        text, shared = html_text.difference(html_text.Lines.of(r[2]), *(html_text.Lines.of(x[2]) for x in near))
         want.append((str(r[0]), str(r[1]), text, shared))
     assert sum(w[3] for w in want) > 60
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -88,6 +88,40 @@ def test_pages_meet_their_neighbours_whatever_the_partitions(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        ('<div class="content-sidebar-wrap"><main><article><p>text</p></article></main></div>', ["text"]),
+        ('<div class="content-sidebar-wrap"><article><p>text</p></article></div>', ["text"]),
+        ('<div class="comments"><article>no</article></div><article>yes</article>', ["yes"]),
+        ('<div id="sidebar"><article>teaser</article></div><article>yes</article>', ["yes"]),
+        ('<article><h2 id="search-trees">A</h2><h2 id="related-work">B</h2><section id="comments-on-the-draft"><p>C</p></section><p class="share-price">D</p></article>', list("ABCD")),
+        ('<article>A<div class="share-buttons">no</div><section class="comments">no</section><div id="related-posts">no</div></article>', ["A"]),
+        ('a < b &amp; c<br>d<p title="x>y">e<p>f<!-- no > --> g', ["a < b & c d", "e", "f g"]),
+    ],
+)
+def test_names_drop_blocks_and_nothing_else(html, kept):
+    assert [t for t, _, named in html_text.Lines.of(html) if not named] == kept
+
+
+@pytest.mark.parametrize("bad", ['<a href="', "<!--", '<a x="1>" ', "<", "</", "<script>", "<a b='\">"])
+def test_bad_markup_takes_linear_time(bad):
+    began = time.time()
+    html_text.Lines.of(bad * 30_000)
+    html_text.Lines.of(bad * 30_000 + ">")
+    assert time.time() - began < 2
+
+
+def test_differencing_decides_where_markup_names_nothing(spark):
+    menu, foot = "".join(f"<div>Section {k}</div>" for k in range(5)), "<div>All rights are ours.</div>"
+    own = {k: [f"Page {k} says this.", f"And {k} says that."] for k in range(40)}
+    rows = [(k, f"http://h.org/a/{k:02d}", menu + "".join(f"<div>{x}</div>" for x in lines) + foot) for k, lines in own.items()]
+    rows += [(100 + k, "http://copies.org/x", "<div>One and the same.</div><div>Two lines.</div>") for k in range(9)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].text == "\n\n".join(lines) and got[k].n_shared_lines == 6 for k, lines in own.items())
+    assert all(got[100 + k].text == "One and the same.\n\nTwo lines." for k in range(9))
+
+
 # ---- mixing
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from factweave.functions import patterns as P
 from factweave.functions.columns import contains_any, find_all, float_text, money_number, money_text, strip, to_number
 
+from .scans import scan
+
 FIELDS = "struct<entity_type:string,label:string,major:int,type:int,subtype:int,value_kind:string,value_str:string,value_num:double,unit:string,extractor:string>"
 
 
@@ -160,17 +162,20 @@ def needed(majors: tuple[int, ...] | None) -> list[tuple]:
     return [e for e in EXTRACTORS if e in own or (bare and not e[5])]
 
 
-def extract(chunks: DataFrame, max_tier: int = 2, majors: tuple[int, ...] | None = None) -> DataFrame:
+def extract(chunks: DataFrame, max_tier: int = 2, majors: tuple[int, ...] | None = None, segment: int | None = None) -> DataFrame:
     """Extractions of all chunks but JSON ones, numbered by document in order of chunk, extractor and place.
 
     With `majors` only what nodes of these categories hang on; the others that come along may lack rows, and ext_seq
-    has other numbers in the same order."""
+    has other numbers in the same order. With `segment` a document's chunks are numbered in segments of so many."""
     parts = []
     for make, source, prose_only, tier, _, _ in needed(majors):
         if tier <= max_tier:
             found = make(F.col(source)).cast(f"array<{FIELDS}>")
             parts.append(F.when(F.col("chunk_type") == "PROSE", found).otherwise(empty()) if prose_only else found)
     rows = chunks.where(F.col("chunk_type") != "JSON").select("doc_id", "chunk_id", "chunk_seq", F.posexplode(F.concat(*parts) if parts else empty()).alias("pos", "e"))
+    if segment:
+        ahead = scan(rows.groupBy("doc_id", "chunk_seq").agg(F.count(F.lit(1)).alias("n")), ["doc_id"], "chunk_seq", segment, sums={"ahead": F.col("n")})
+        return rows.join(ahead.drop("n"), ["doc_id", "chunk_seq"]).select("doc_id", "chunk_id", "chunk_seq", (F.col("ahead") + F.col("pos") + 1).alias("ext_seq"), "e.*")
     order = Window.partitionBy("doc_id").orderBy("chunk_seq", "pos")
     return rows.select("doc_id", "chunk_id", "chunk_seq", F.row_number().over(order).cast("long").alias("ext_seq"), "e.*")
 

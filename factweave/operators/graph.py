@@ -4,7 +4,7 @@ of rounds; each round is a join on (doc_id, node), cut by a checkpoint in the sh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.columns import distance
@@ -89,6 +89,13 @@ def neighbours(nodes: DataFrame, points: DataFrame, radius: float, weights: tupl
     return nodes.join(near, ["doc_id", "major"]).withColumn("distance", d).where(F.col("distance") <= radius).select("doc_id", "point", "node_id", F.round("distance", 9).alias("distance"))
 
 
+def ranked_neighbours(nodes: DataFrame, points: DataFrame, radius: float, order: str = "node_seq", weights: tuple = (1.0, 0.5, 0.3, 0.1)) -> DataFrame:
+    """(doc_id, point, rank, node_id, distance): the same from the nearest on, and in the order of the nodes where as near."""
+    found = neighbours(nodes, points, radius, weights).join(nodes.select("doc_id", "node_id", F.col(order).alias("place")), ["doc_id", "node_id"])
+    rank = F.row_number().over(Window.partitionBy("doc_id", "point").orderBy("distance", "place"))
+    return found.select("doc_id", "point", rank.alias("rank"), "node_id", "distance")
+
+
 def confidence(nodes: DataFrame, prov: DataFrame, edges: DataFrame, derivations: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(doc_id, node_id, confidence): the least fixed point of
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factweave.functions import patterns as P
 from factweave.functions.columns import find_all, short_hash, strip, word_count
 
+from .scans import scan
+
 _BREAK = r"(?U)\n\s*\n"
 
 
@@ -39,8 +41,10 @@ def pattern_struct(c: Column, live: Column) -> Column:
     )
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, chunk_seq, content, start, end): non-empty paragraphs, or the whole document."""
+def paragraphs(docs: DataFrame, segment: int | None = None) -> DataFrame:
+    """(doc_id, kind, chunk_seq, content, start, end): non-empty paragraphs, or the whole document.
+
+    With `segment` a document is dealt out in segments of so many paragraphs, instead of being one task's."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinded = docs.select("doc_id", text.alias("text"), lex_kind(text).alias("kind"))
     pieces = F.when(F.col("kind") == "TEXT", F.split("text", _BREAK)).otherwise(F.array(strip(F.col("text"))))
@@ -49,24 +53,36 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     zipped = kinded.select("doc_id", "kind", F.posexplode(F.arrays_zip(pieces.alias("raw"), gaps.alias("gap"))).alias("pos", "x"))
     each = zipped.select("doc_id", "kind", "pos", "x.raw", F.col("x.gap").alias("gap"))
     gap = F.coalesce(F.length("gap"), F.lit(0))
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
+    if segment:
+        kept = ((strip(F.col("raw")) != "") | (F.col("kind") != "TEXT")).cast("int")
+        rows = scan(each, ["doc_id"], "pos", segment, sums={"before": F.length("raw") + gap, "seen": kept})
+        start = (F.col("before") + F.when(F.col("kind") == "TEXT", lead).otherwise(0)).cast("int")
+        rows = rows.select("doc_id", "kind", (F.col("seen") + 1).cast("int").alias("chunk_seq"), strip(F.col("raw")).alias("content"), start.alias("start"))
+        return rows.where((F.col("content") != "") | (F.col("kind") != "TEXT")).withColumn("end", (F.col("start") + F.length("content")).cast("int"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     before = F.coalesce(F.sum(F.length("raw") + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
     placed = each.select("doc_id", "kind", "pos", strip(F.col("raw")).alias("content"), (before + F.when(F.col("kind") == "TEXT", lead).otherwise(0)).alias("start"))
     full = placed.where((F.col("content") != "") | (F.col("kind") != "TEXT"))
     return full.select("doc_id", "kind", F.row_number().over(order).alias("chunk_seq"), "content", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("content")).cast("int").alias("end"))
 
 
-def lex(docs: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, text), one row each; all windows share one exchange on doc_id."""
-    p = paragraphs(docs).where(F.col("content") != "")
+def lex(docs: DataFrame, segment: int | None = None) -> DataFrame:
+    """Chunks of (doc_id, text), one row each; all windows share one exchange on doc_id.
+
+    With `segment` the same for documents that are too long for a task: segments of so many paragraphs are lexed by
+    themselves, and only what they hand on (length, number of paragraphs, last header) meets."""
+    p = paragraphs(docs, segment).where(F.col("content") != "")
     live = F.col("kind") == "TEXT"
     c = F.col("content")
     order = Window.partitionBy("doc_id").orderBy("chunk_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Patterns are found below the window, which no optimizer folds into what stands above: so each is searched once,
     # however many tests and extractors name it.
     found = p.withColumn("patterns", pattern_struct(c, live)).withColumn("words", word_count(c)).withColumn("head", F.when(live & is_section(c), F.lower(c)))
-    found = found.withColumn("section", F.last("head", ignorenulls=True).over(order))
+    if segment:
+        found = scan(found, ["doc_id"], "chunk_seq", segment, lasts={"section": F.col("head")})
+    else:
+        found = found.withColumn("section", F.last("head", ignorenulls=True).over(order))
     n = lambda name: F.size(f"patterns.{name}")
     cited = F.coalesce(F.col("section").contains("reference"), F.lit(False)) & (F.col("patterns.has_citations") | (n("list_items") > 0))
     short = (n("money") + n("percent") + n("dates") > 0) & (F.col("words") < 20)

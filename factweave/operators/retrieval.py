@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factweave.functions import patterns as P
 from factweave.functions.columns import contains_any, find_all
 
+from . import search
+
 
 def keywords(question: Column) -> Column:
     """Words of three and more characters that aren't stop words, in order, with repeats."""
@@ -21,18 +23,25 @@ def question_type(question: Column) -> Column:
     return F.when(contains_any(low, P.QUANTITY_WORDS), 7).when(contains_any(low, P.TIME_WORDS), 6).when(contains_any(low, P.ENTITY_WORDS), 1).when(contains_any(low, P.LOCATION_WORDS), 5)
 
 
-def retrieve(nodes: DataFrame, questions: DataFrame, most: int = 20) -> DataFrame:
+def label_postings(nodes: DataFrame) -> DataFrame:
+    """The index of the labels, without regard to case, that retrieve() looks keywords up in; it may be stored."""
+    return search.index(nodes.select(F.lower("label").alias("low")), [], "low", search.RUN)
+
+
+def retrieve(nodes: DataFrame, questions: DataFrame, most: int = 20, postings: DataFrame | None = None) -> DataFrame:
     """(doc_id, question_id, rank, node_id, label, relevance): nodes of the asked category at 0.8, then those whose label
     holds a keyword at 1.0 unless their content was there already; the most relevant first, earlier finds first.
 
-    Questions are few and are broadcast; each node is read once."""
+    Categories meet by an equi-join; keywords find labels in an index (`postings`, or one made here), and these their nodes."""
     asked = questions.select("question_id", question_type(F.col("question")).alias("hint"), keywords(F.col("question")).alias("own"))
     extra = F.when(F.col("hint") == 7, F.array(*(F.lit(w) for w in P.QUANTITY_EXTRA))).otherwise(F.array().cast("array<string>"))
-    asked = asked.withColumn("words", F.concat("own", extra))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(F.contains(F.lower("label"), w), i)), lambda i: i.isNotNull())
-    pairs = nodes.join(F.broadcast(asked), (F.col("major") == F.col("hint")) | F.exists("words", lambda w: F.contains(F.lower("label"), w)))
-    place = F.when(F.col("major") == F.col("hint"), F.lit(-1)).otherwise(F.get(hits, F.lit(0)))
-    placed = pairs.select("doc_id", "question_id", "node_id", "label", "content_hash", "seq", place.alias("place"))
+    words = asked.select("question_id", F.posexplode(F.concat("own", extra)).alias("place", "word"))
+    found = search.holding(label_postings(nodes) if postings is None else postings, words, [], "low", "word")
+    labels = found.join(words, "word").groupBy("question_id", "low").agg(F.min("place").alias("place"))
+    columns = ["doc_id", "question_id", "node_id", "label", "content_hash", "seq", "place"]
+    by_word = nodes.withColumn("low", F.lower("label")).join(labels, "low").select(*columns)
+    hints = asked.where("hint is not null").select("question_id", F.col("hint").alias("major"), F.lit(-1).alias("place"))
+    placed = by_word.unionByName(nodes.join(hints, "major").select(*columns))
     once = placed.groupBy("doc_id", "question_id", "content_hash").agg(F.min_by(F.struct("node_id", "label", "place", "seq"), F.struct("place", "seq")).alias("n")).select("doc_id", "question_id", "n.*")
     scored = once.withColumn("relevance", F.when(F.col("place") < 0, 0.8).otherwise(1.0))
     order = Window.partitionBy("doc_id", "question_id").orderBy(F.desc("relevance"), "place", "seq")

@@ -50,10 +50,10 @@ def copy_relations(kept_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(ids.withColumnRenamed("node_id", "object_id"), ["doc_id", "object_id"], "left_semi")
 
 
-def recompile(planned: DataFrame, old_nodes: DataFrame, new_chunks: DataFrame) -> DataFrame:
+def recompile(planned: DataFrame, old_nodes: DataFrame, new_chunks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Nodes of the new version: those of reused chunks keep their ids, those of changed chunks are numbered on from the
     highest kept instance and join unless an equal node was kept. Provenance is named by generation, so that a reused
-    and a changed chunk with one number do not meet."""
+    and a changed chunk with one number do not meet. `extra` names further columns of nodes to return."""
     kept = copy_unchanged(planned, old_nodes)
     fresh = new_chunks.join(planned.where("action = 'recompile'").select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
     made = emission.assign_coords(extraction.extract(fresh)).withColumn("key", F.concat_ws("|", "label", F.coalesce("value_str", F.lit("None")), F.coalesce("unit", F.lit("None"))))
@@ -63,10 +63,21 @@ def recompile(planned: DataFrame, old_nodes: DataFrame, new_chunks: DataFrame) -
     first = F.row_number().over(Window.partitionBy("doc_id", "content_hash").orderBy("ext_seq"))
     made = made.withColumn("r", first).where("r = 1")
     node_id = coord_id(F.col("major"), F.col("type"), F.col("subtype"), F.col("instance"))
-    columns = ["doc_id", "node_id", "label", "value_str", "unit", "content_hash", "chunk_id", "origin"]
+    columns = ["doc_id", "node_id", "label", "value_str", "unit", "content_hash", "chunk_id", "origin", *extra]
     return kept.withColumn("origin", F.lit("reused")).select(*columns).unionByName(made.withColumn("node_id", node_id).withColumn("origin", F.lit("compiled")).select(*columns))
 
 
+def merge_provenance(programs: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """The provenance that merged nodes name: all of every program's, its ids followed by the program's number, from 0."""
+    if not programs:
+        raise ValueError("no programs to merge")
+    out = None
+    for n, (_, prov) in enumerate(programs):
+        part = prov.withColumn("prov_id", F.concat("prov_id", F.lit(f"_p{n}")))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def merge(programs: list[tuple[DataFrame, DataFrame]], priority: str = "adapter") -> DataFrame:
     """Nodes of several (nodes, provenance) programs as one. Of equal nodes the most confident wins, the first on ties
     ("adapter"), or the last ("latest"). Results stand in the order in which each content was first seen and are numbered

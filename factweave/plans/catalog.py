@@ -53,6 +53,16 @@ def _(spark, d):
     return chunks_of(spark, d).select("doc_id", "chunk_seq", "chunk_id", "chunk_type", "tier", "words", "section", "content_hash")
 
 
+@query("lex_chunks_segmented", ORACLE_SQL["lex_chunks"])
+def _(spark, d):
+    return lexing.lex(view(spark, d, "rendered_docs"), segment=4).select("doc_id", "chunk_id", "content", "start", "end")
+
+
+@query("section_carry_segmented", T.over("rendered_docs", select="SELECT doc_id, chunk_id, section FROM o_chunks"))
+def _(spark, d):
+    return lexing.lex(view(spark, d, "rendered_docs"), segment=4).select("doc_id", "chunk_id", "section")
+
+
 @query("chunk_hash", T.over("documents", select="SELECT doc_id, chunk_id, content_hash, words::INT AS words FROM o_chunks"))
 def _(spark, d):
     return chunks_of(spark, d, "documents").select("doc_id", "chunk_id", "content_hash", "words")
@@ -113,6 +123,12 @@ def _(spark, d):
     return emission.assign_coords(extraction.extract(chunks_of(spark, d))).select("doc_id", "chunk_id", "ext_seq", "entity_type", "label", "major", "type", "subtype", "instance")
 
 
+@query("assign_coords_segmented", ORACLE_SQL["assign_coords"])
+def _(spark, d):
+    found = extraction.extract(lexing.lex(view(spark, d, "rendered_docs"), segment=4), segment=4)
+    return emission.assign_coords(found, segment=4).select("doc_id", "chunk_id", "ext_seq", "entity_type", "label", "major", "type", "subtype", "instance")
+
+
 @query("dedup_nodes", T.over("rendered_docs", *_PROGRAM, select="SELECT doc_id, node_id, label, prov_id, value_str, value_num, unit, content_hash, node_seq FROM o_nodes"))
 def _(spark, d):
     return nodes_of(spark, d).select("doc_id", "node_id", "label", "prov_id", "value_str", "value_num", "unit", "content_hash", "node_seq")

@@ -122,6 +122,26 @@ def _(s, d):
     return Program(*tables(s, d)).manifest()
 
 
+_SUMS = ", ".join(f"cast(sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT::HUGEINT) AS VARCHAR)" for k in range(4))
+
+
+@query("manifest_hash", kb(
+    "SELECT doc_id, substr(sha256(string_agg(range || ' ' || digest, chr(10) ORDER BY range || ' ' || digest)), 1, 16) AS hash FROM digests GROUP BY doc_id",
+    "lines AS (SELECT doc_id, 'n|' || node_id || '|' || label AS line FROM kb_nodes UNION ALL SELECT doc_id, 'r|' || subject_id || '|' || predicate || '|' || object_id FROM kb_edges)",
+    "hashed AS (SELECT doc_id, array_to_string(string_split(line, '-')[1:2], '-') AS range, sha256(line) AS h FROM lines)",
+    f"digests AS (SELECT doc_id, range, sha256(concat_ws(' ', {_SUMS})) AS digest FROM hashed GROUP BY doc_id, range)",
+))
+def _(s, d):
+    n, p, e = tables(s, d)
+    return Program(n.withColumn("content_hash", F.col("label")), p, e).content_hash()
+
+
+@query("merge_provenance", kb("SELECT doc_id, prov_id || '_p0' AS prov_id, tier, confidence FROM kb_prov UNION ALL SELECT doc_id, prov_id || '_p1', tier, confidence FROM kb_prov WHERE tier > 0"))
+def _(s, d):
+    n, p, _e = tables(s, d)
+    return versions.merge_provenance([(n, p), (n, p.where("tier > 0"))]).select("doc_id", "prov_id", "tier", "confidence")
+
+
 _GONE = "NOT EXISTS (SELECT 1 FROM kb_prov p WHERE p.doc_id = x.doc_id AND p.prov_id = x.prov_id)"
 
 
@@ -187,6 +207,12 @@ def _(s, d):
     return graph.neighbours(n, space.get(n, "05-04-01-0001"), 3.0)
 
 
+@query("neighbors_ranked", kb("SELECT doc_id, point, row_number() OVER (PARTITION BY doc_id, point ORDER BY distance, seq) AS rank, node_id, distance FROM (SELECT n.doc_id, n.seq, p.node_id AS point, n.node_id, round(sqrt(1.0 * (n.major - p.major) * (n.major - p.major) + 0.5 * (n.type - p.type) * (n.type - p.type) + 0.3 * (n.subtype - p.subtype) * (n.subtype - p.subtype) + 0.1 * (n.instance - p.instance) * (n.instance - p.instance)), 9) AS distance FROM kb_nodes n JOIN kb_nodes p ON n.doc_id = p.doc_id AND p.major = 5 WHERE distance <= 1.5)", views=_N))
+def _(s, d):
+    n = tables(s, d)[0]
+    return graph.ranked_neighbours(n, n.where("major = 5"), 1.5, "seq")
+
+
 _SPREAD = (
     "base AS (SELECT n.doc_id, node_id, coalesce(confidence, 1.0) AS c FROM kb_nodes n LEFT JOIN kb_prov p ON n.doc_id = p.doc_id AND n.prov_id = p.prov_id)",
     "up AS (SELECT doc_id, subject_id, object_id, confidence AS own FROM kb_edges WHERE predicate IN ('DERIVED_FROM', 'SUPPORTS', 'SAME_AS'))",

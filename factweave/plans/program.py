@@ -46,42 +46,50 @@ class Program:
         return cls(**{n: spark.read.parquet(f"{path}/{n}") for n in there if n != "provenance"}, provenance=spark.read.parquet(f"{path}/provenance"))
 
     def export(self, path: str) -> None:
-        """JSON lines in canonical order, and a manifest; one file a table, for exchange rather than for scale."""
+        """JSON lines in canonical order, and a manifest. A table is as many parts as its sort has partitions, in the order of
+        their names; the manifest counts rows, says how many lines each part has, and holds the root hash."""
+        spark, parts = self.nodes.sparkSession, {}
         for name, df in self.tables().items():
             names = sorted(df.columns)
-            df.orderBy(*SORTED_BY[name]).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{name}.jsonl")
-        counts = {r["name"]: r["n"] for r in self.manifest().collect()}
-        spark = self.nodes.sparkSession
-        spark.createDataFrame([(json.dumps({"version": VERSION, "counts": counts}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest.json")
+            df.orderBy(*SORTED_BY[name]).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/{name}.jsonl")
+            sizes = spark.read.text(f"{path}/{name}.jsonl").groupBy(F.col("_metadata.file_name").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+            parts[name] = [r["n"] for r in sizes.orderBy("part").collect()]  # one number a part
+        said = {"version": VERSION, "counts": {name: sum(n) for name, n in parts.items()}, "parts": parts, "root": self.root_hash().first()["root"]}
+        spark.createDataFrame([(json.dumps(said, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest.json")
 
     @classmethod
     def read_export(cls, spark: SparkSession, path: str, node_schema, prov_schema) -> Program:
         """The reverse of export(), with all tables that are there; the last of equal node ids wins, as lines stand.
 
-        Without a manifest it is an error, and so is a line that isn't an object of the schema: the error names the table
-        and the line's number, which follows from where each partition of the file begins."""
+        Without a manifest it is an error, and so is a number of rows that it doesn't name, and a line that isn't an object of
+        the schema: the error names the table and the line's number over all its parts. All parts are checked in parallel."""
         jvm = spark.sparkContext._jvm
         where = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         fs = where("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(where("manifest.json")):
             raise FileNotFoundError(f"no manifest.json at {path}")
-        out = {}
+        out, counts = {}, json.loads(spark.read.text(f"{path}/manifest.json").first()["value"])["counts"]
         for name in SORTED_BY:
             if not fs.exists(where(f"{name}.jsonl")):
                 if name in ("nodes", "provenance"):
                     raise FileNotFoundError(f"no {name}.jsonl at {path}")
                 continue
-            lines = spark.read.text(f"{path}/{name}.jsonl").select(F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
+            # Lines in the order of the parts' names; where a part is read in pieces, in the order of these.
+            at = F.struct(F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"))
+            lines = spark.read.text(f"{path}/{name}.jsonl").select(at.alias("line"), "value").where(F.trim("value") != "")
             schema = {"nodes": node_schema, "provenance": prov_schema}.get(name) or TABLES[name]
             parsed = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
             keys = [k for k in SORTED_BY[name]]
             bad = F.col("row").isNull() | F.col(f"row.{keys[-1]}").isNull()
             first = parsed.where(bad).agg(F.min("line").alias("line")).first()["line"]
             if first is not None:
-                number = lines.where(F.col("line") <= first).count()
+                number = lines.where(F.col("line") <= F.struct(F.lit(first["part"]).alias("part"), F.lit(first["begin"]).alias("begin"), F.lit(first["id"]).alias("id"))).count()
                 raise ValueError(f"invalid row of {name} at line {number}")
             if name == "nodes":
                 parsed = parsed.groupBy(*(F.col(f"row.{k}") for k in keys)).agg(F.max_by("row", "line").alias("row"))
+            rows = parsed.count()
+            if rows != counts.get(name, rows):
+                raise ValueError(f"{rows} rows of {name}, but the manifest counts {counts[name]}")
             out[name] = parsed.select("row.*")
         return cls(**out)
 
@@ -103,11 +111,27 @@ class Program:
         return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "chunks", "relations")), "tiers")
 
     def content_hash(self) -> DataFrame:
-        """(doc_id, hash) over the ordered nodes and relations of each document."""
+        """(doc_id, hash) of the nodes and relations of each document, whatever their order: see range_digests."""
+        listed = F.array_sort(F.collect_list(F.concat_ws(" ", "range", "digest")))  # at most one a pair of category and type
+        return self.range_digests().groupBy("doc_id").agg(F.substring(F.sha2(F.array_join(listed, "\n"), 256), 1, 16).alias("hash"))
+
+    def range_digests(self) -> DataFrame:
+        """(doc_id, range, n, digest): a digest of each range of a document, the rows whose (subject's) id begins alike.
+
+        A row's hash is four numbers of 60 bits, and a range's digest the hash of their sums: sums are merged wherever rows
+        are, so a document is never gathered, and a range that two versions share needs no look at its rows."""
         lines = self.nodes.select("doc_id", F.concat_ws("|", F.lit("n"), "node_id", "content_hash").alias("line"))
         if self.relations is not None:
             lines = lines.unionByName(self.relations.select("doc_id", F.concat_ws("|", F.lit("r"), "subject_id", "predicate", "object_id").alias("line")))
-        return lines.groupBy("doc_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256), 1, 16).alias("hash"))
+        hashed = lines.select("doc_id", F.substring_index("line", "-", 2).alias("range"), F.sha2("line", 256).alias("h"))
+        part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+        return hashed.groupBy("doc_id", "range").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(" ", *(part(k) for k in range(4))), 256).alias("digest"))
+
+    def root_hash(self) -> DataFrame:
+        """(documents, root): one row for the whole program, from the digests of its documents."""
+        each = self.content_hash().select(F.sha2(F.concat_ws(" ", "doc_id", "hash"), 256).alias("h"))
+        part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+        return each.agg(F.count(F.lit(1)).alias("documents"), F.sha2(F.concat_ws(" ", *(part(k) for k in range(4))), 256).alias("root"))
 
 
 #: The tables that compiling doesn't make, as they are read from an export.

@@ -104,6 +104,17 @@ def stats_major(nodes: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(total)).select("major", "name", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("pct"))
 
 
+def samples(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """(major, name, rank, doc_id, node_id, label, value_str): the first nodes of each of the eight categories."""
+    out = None
+    for number, name in MAJORS.items():
+        first = nodes.where(F.col("major") == number).orderBy("doc_id", "node_seq").limit(most).select("doc_id", "node_id", "node_seq", "label", "value_str")
+        rank = F.row_number().over(Window.orderBy("doc_id", "node_seq"))  # over at most `most` rows
+        part = first.select(F.lit(number).alias("major"), F.lit(name).alias("name"), rank.alias("rank"), "doc_id", "node_id", "label", "value_str")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stats_quantity(nodes: DataFrame) -> DataFrame:
     v = F.col("value_num")
     return nodes.where((F.col("major") == 7) & v.isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v.cast("decimal(20,2)")).cast("double").alias("total"))

@@ -50,13 +50,13 @@ def copy_relations(kept_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(ids.withColumnRenamed("node_id", "object_id"), ["doc_id", "object_id"], "left_semi")
 
 
-def recompile(planned: DataFrame, old_nodes: DataFrame, new_chunks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def recompile(planned: DataFrame, old_nodes: DataFrame, new_chunks: DataFrame, extra: tuple[str, ...] = (), max_tier: int = 2) -> DataFrame:
     """Nodes of the new version: those of reused chunks keep their ids, those of changed chunks are numbered on from the
     highest kept instance and join unless an equal node was kept. Provenance is named by generation, so that a reused
     and a changed chunk with one number do not meet. `extra` names further columns of nodes to return."""
     kept = copy_unchanged(planned, old_nodes)
     fresh = new_chunks.join(planned.where("action = 'recompile'").select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
-    made = emission.assign_coords(extraction.extract(fresh)).withColumn("key", F.concat_ws("|", "label", F.coalesce("value_str", F.lit("None")), F.coalesce("unit", F.lit("None"))))
+    made = emission.assign_coords(extraction.extract(fresh, max_tier)).withColumn("key", F.concat_ws("|", "label", F.coalesce("value_str", F.lit("None")), F.coalesce("unit", F.lit("None"))))
     top = kept.groupBy("doc_id", "major", "type", "subtype").agg(F.max("instance").alias("top"))
     made = made.join(top, ["doc_id", "major", "type", "subtype"], "left").withColumn("instance", F.col("instance") + F.coalesce("top", F.lit(0)))
     made = made.withColumn("content_hash", F.substring(F.sha2("key", 256), 1, 16)).join(kept.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")

@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.operators import claims, emission, extraction, lexing
+from factweave.functions.columns import coord_parts
+from factweave.operators import claims, emission, extraction, lexing, versions
 from factweave.operators.graph import ensure_checkpoints
 from factweave.sources import adapters, detect
 
@@ -162,6 +163,22 @@ def compile_documents(docs: DataFrame, max_tier: int = 2, executor: Callable[[Da
     return Program(program.nodes.unionByName(nodes, allowMissingColumns=True), program.provenance.unionByName(prov, allowMissingColumns=True), edges)
 
 
+def recompile_documents(previous: Program, old_chunks: DataFrame, docs: DataFrame, generation: str, max_tier: int = 2) -> tuple[Program, DataFrame, DataFrame]:
+    """The program of new versions of documents, where chunks whose hash the previous one has keep their nodes; its chunks
+    (doc_id, chunk_id, content_hash) for the next time; and what was done with each chunk, as versions.plan says.
+
+    Chunks compiled now are named by `generation`, which must not have been used before. Relations between kept nodes stay."""
+    lexed = lexing.lex(docs).withColumn("chunk_id", F.concat("chunk_id", F.lit(f"@{generation}")))
+    planned = versions.plan(old_chunks, lexed)
+    nodes = versions.recompile(planned, previous.nodes, lexed, ("value_kind", "value_num"), max_tier).select("*", *coord_parts(F.col("node_id")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("origin"), "chunk_id", "node_id"))  # reused ones first
+    nodes = nodes.withColumn("node_seq", place.cast("long")).withColumn("prov_id", F.concat(F.lit("prov_"), "chunk_id")).drop("origin")
+    held = old_chunks.unionByName(lexed.select("doc_id", "chunk_id", "content_hash")).join(planned.where("action <> 'remove'").select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_semi")
+    prov = previous.provenance.unionByName(emission.provenance(lexed), allowMissingColumns=True).join(held.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
+    edges = versions.copy_relations(nodes, previous.relations) if previous.relations is not None else None
+    return Program(nodes, prov, edges), held, planned
+
+
 def compile_universal(docs: DataFrame, max_tier: int = 2) -> DataFrame:
     """Nodes of (doc_id, text) whatever their type: by adapter where the route and an adapter are there, by text else."""
     kinded = docs.withColumn("kind", detect.detect(F.col("text"))).withColumn("path", detect.route(F.col("kind"), F.col("text")))

@@ -1,10 +1,10 @@
 """Documents that arrive in a stream, compiled version by version; an extension beyond the batch operators.
 
-The store keeps, for each document, the chunks and nodes of its last version. Each micro-batch brings new versions of some
-documents: chunks whose hash the last version has keep their nodes and ids, changed ones are compiled and numbered on from
-the highest kept instance, and those that vanished go, as in `versions.recompile`. A batch writes all that its documents
-now have under its own number, so a batch that runs again after a failure replaces its own output and nothing is doubled;
-what counts of a document is what its latest batch wrote.
+The store lists, for each version of a document, the chunks it has, and holds the nodes of each chunk once. Each micro-batch
+brings new versions of some documents: chunks whose hash the last version has keep their nodes and ids, changed ones are
+compiled and numbered on from the highest kept instance, and those that vanished go, as in `versions.recompile`. A batch
+writes the nodes of what it compiled and the chunks of its documents under its own number, so a batch that runs again after
+a failure replaces its own output and nothing is doubled; what counts of a document is what its latest batch lists.
 
 Defined results: of several rows of one document in a batch the one with the greatest text counts; a document without
 chunks has no nodes from then on.
@@ -42,13 +42,19 @@ def latest(spark: SparkSession, store: str, before: int | None = None) -> DataFr
     return (batches if before is None else batches.where(F.col("batch") < before)).groupBy("doc_id").agg(F.max("batch").alias("batch"))
 
 
-def current(spark: SparkSession, store: str, name: str, last: DataFrame | None = None) -> DataFrame:
-    """The rows of a table that count: those that the documents' last batches wrote. With `last` of some documents only their
-    batches are read."""
-    rows = _stored(spark, store, name)
-    if last is not None:
-        rows = rows.where(F.col("batch").isin([r["batch"] for r in last.select("batch").distinct().collect()]))  # numbers of batches
-    return rows.join(latest(spark, store) if last is None else last, ["doc_id", "batch"]).drop("batch")
+def current_chunks(spark: SparkSession, store: str, last: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_id, content_hash) of the last versions, or of those that `last` names."""
+    last = latest(spark, store) if last is None else last
+    batches = [r["batch"] for r in last.select("batch").distinct().collect()]  # numbers of batches, by which files are left out
+    return _stored(spark, store, "chunks").where(F.col("batch").isin(batches)).join(last, ["doc_id", "batch"]).drop("batch")
+
+
+def current_nodes(spark: SparkSession, store: str, chunks: DataFrame | None = None) -> DataFrame:
+    """The nodes of the chunks of the last versions, or of these chunks. A chunk's name says which batch compiled it."""
+    chunks = current_chunks(spark, store) if chunks is None else chunks
+    made = chunks.select("doc_id", "chunk_id", F.substring_index("chunk_id", "@", -1).cast("long").alias("batch"))
+    batches = [r["batch"] for r in made.select("batch").distinct().collect()]
+    return _stored(spark, store, "nodes").where(F.col("batch").isin(batches)).join(made, ["doc_id", "chunk_id", "batch"], "left_semi").drop("batch")
 
 
 def compile_batch(docs: DataFrame, batch_id: int, store: str) -> None:
@@ -58,12 +64,12 @@ def compile_batch(docs: DataFrame, batch_id: int, store: str) -> None:
     last = latest(spark, store, batch_id).join(docs.select("doc_id"), "doc_id", "left_semi").checkpoint()
     # Chunks are named by the batch too: a reused one and a new one may have the same number.
     chunks = lexing.lex(docs).withColumn("chunk_id", F.concat("chunk_id", F.lit(f"@{batch_id}"))).checkpoint()
-    old = current(spark, store, "chunks", last).checkpoint()
+    old = current_chunks(spark, store, last).checkpoint()
     planned = versions.plan(old, chunks).checkpoint()
-    old_nodes = current(spark, store, "nodes", last).select("*", *coord_parts(F.col("node_id")))
+    old_nodes = current_nodes(spark, store, old).select("*", *coord_parts(F.col("node_id")))
     nodes = versions.recompile(planned, old_nodes, chunks, ("value_kind", "value_num"))
     names = [x.split()[0] for x in STATE["nodes"].split(", ")]
-    nodes.select(*names).write.mode("overwrite").parquet(f"{store}/nodes/batch={batch_id}")
+    nodes.where("origin = 'compiled'").select(*names).write.mode("overwrite").parquet(f"{store}/nodes/batch={batch_id}")
     held = old.select("doc_id", "chunk_id", "content_hash").unionByName(chunks.select("doc_id", "chunk_id", "content_hash"))
     held.join(planned.where("action <> 'remove'").select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_semi").write.mode("overwrite").parquet(f"{store}/chunks/batch={batch_id}")
     # Written last: from now on the batch counts.

@@ -329,6 +329,17 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["stats", f"{tmp_path}/p"]).where("major = 7").first().n == 2
     assert "$500 million" in cli.run(spark, ["ask", f"{tmp_path}/p", "How", "much", "revenue?"]).first().context
     assert cli.run(spark, ["diff", f"{tmp_path}/p", f"{tmp_path}/q"]).count() > 0
+    done = cli.run(spark, ["compile", f"{tmp_path}/new", f"{tmp_path}/p2", "--previous", f"{tmp_path}/p"])
+    again = cli.run(spark, ["compile", f"{tmp_path}/new", f"{tmp_path}/p3", "--previous", f"{tmp_path}/p2"])
+    assert done.count() == 2 - (cli.documents(spark, f"{tmp_path}/in").first().doc_id == cli.documents(spark, f"{tmp_path}/new").first().doc_id)
+    assert [r.efficiency for r in again.collect()] == [1.0]
+    labels = lambda p: sorted(r.label for r in cli.run(spark, ["query", f"{tmp_path}/{p}"]).collect())
+    assert labels("p2") == labels("p3") and "$600 million" in labels("p3")
+    assert {(r.name, r["rank"]) for r in cli.run(spark, ["inspect", f"{tmp_path}/p", "--samples", "1"]).collect()} == {(r.name, 1) for r in cli.run(spark, ["stats", f"{tmp_path}/p"]).where("n > 0").collect()}
+    (summary,) = cli.run(spark, ["derive", f"{tmp_path}/p", "confidence", "--into", f"{tmp_path}/d"]).collect()
+    assert (summary.node_id, summary.n) == ("08-90-01-0001", 3)
+    assert {r.name: r.n for r in cli.run(spark, ["info", f"{tmp_path}/d"]).collect()} == {"nodes": 4, "provenance": 2, "derivations": 1}
+    assert cli.run(spark, ["derive", f"{tmp_path}/p", "temporal"]).count() == 0
     cli.run(spark, ["export", f"{tmp_path}/p", f"{tmp_path}/x"])
     assert (tmp_path / "x" / "manifest.json").exists()
 

@@ -86,15 +86,16 @@ def resolve(nodes: DataFrame, references: DataFrame) -> DataFrame:
     """(doc_id, key, pos, ref, node_id, value_num): each reference as the node with that id, else the first node whose
     label holds it in any case. One that names no node, or one without a number, is an error.
 
-    References that are no ids look their labels up in an index of their document's labels; an empty one is in any label."""
+    References that are no ids find the labels of their document that hold them by runs of characters; an empty one is in
+    any label."""
     ids = nodes.select("doc_id", F.col("node_id").alias("ref"), F.struct("node_id", "value_num").alias("by_id"))
     known = references.join(ids, ["doc_id", "ref"], "left")
     loose = known.where("by_id is null").select("doc_id", "ref").distinct()
     loose = loose.withColumn("word", F.lower("ref"))
     labelled = nodes.select("doc_id", F.lower("label").alias("low"), "node_seq", F.struct("node_id", "value_num").alias("n"))
-    holds = search.holding(search.index(labelled, ["doc_id"], "low"), loose, ["doc_id"], "low", "word").join(loose, ["doc_id", "word"])
+    holds = search.find(labelled, loose, ["doc_id"], "low", "word").select("doc_id", "ref", "n", "node_seq")
     any_ = labelled.where("low is not null").join(loose.where("word = ''"), "doc_id").select("doc_id", "ref", "n", "node_seq")
-    by_label = labelled.join(holds, ["doc_id", "low"]).select("doc_id", "ref", "n", "node_seq").unionByName(any_).groupBy("doc_id", "ref").agg(F.min_by("n", "node_seq").alias("by_label"))
+    by_label = holds.unionByName(any_).groupBy("doc_id", "ref").agg(F.min_by("n", "node_seq").alias("by_label"))
     found = known.join(by_label, ["doc_id", "ref"], "left").withColumn("n", F.coalesce("by_id", "by_label"))
     no_node = F.raise_error(F.concat(F.lit("operand not found: "), "ref")).cast("string")
     no_value = F.raise_error(F.concat(F.lit("operand is not numeric: "), "ref")).cast("double")

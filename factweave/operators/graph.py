@@ -77,16 +77,25 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> Dat
 
 
 def neighbours(nodes: DataFrame, points: DataFrame, radius: float, weights: tuple = (1.0, 0.5, 0.3, 0.1)) -> DataFrame:
-    """(doc_id, point, node_id, distance) within the radius of each point's coordinates, itself included.
+    """(doc_id, point, node_id, distance) within the radius of each point's coordinates, itself included; none for a
+    negative radius.
 
-    The weighted gap of the major category alone bounds the distance, so points and nodes meet only in categories
-    that near each other: an equi-join on (doc_id, major) instead of a nested loop."""
-    reach = int(radius / weights[0] ** 0.5) if weights[0] > 0 else 8
+    Nodes lie in the cells of a grid over all four parts, which are twice as wide in each as the radius reaches there, so
+    a point asks in two cells a part at most and meets what is near it in every part: an equi-join on (doc_id, cells).
+    A part without weight has one cell."""
     names = ("major", "type", "subtype", "instance")
     near = points.select("doc_id", F.col("node_id").alias("point"), *(F.col(n).alias(f"p_{n}") for n in names))
-    near = near.withColumn("major", F.explode(F.sequence(F.greatest(F.col("p_major") - reach, F.lit(1)), F.least(F.col("p_major") + reach, F.lit(8)))))
+    far, cells = nodes, []
+    for n, w in zip(names, weights, strict=True):
+        if w <= 0 or radius < 0:
+            continue
+        reach = radius / w**0.5 + 1e-6
+        cell = lambda c, side=max(2 * reach, 1.0): F.floor(c / F.lit(side))
+        cells.append(f"cell_{n}")
+        far = far.withColumn(cells[-1], cell(F.col(n)))
+        near = near.withColumn(cells[-1], F.explode(F.sequence(cell(F.col(f"p_{n}") - reach), cell(F.col(f"p_{n}") + reach))))
     d = distance([F.col(n) for n in names], [F.col(f"p_{n}") for n in names], weights)
-    return nodes.join(near, ["doc_id", "major"]).withColumn("distance", d).where(F.col("distance") <= radius).select("doc_id", "point", "node_id", F.round("distance", 9).alias("distance"))
+    return far.join(near, ["doc_id", *cells]).withColumn("distance", d).where(F.col("distance") <= radius).select("doc_id", "point", "node_id", F.round("distance", 9).alias("distance"))
 
 
 def ranked_neighbours(nodes: DataFrame, points: DataFrame, radius: float, order: str = "node_seq", weights: tuple = (1.0, 0.5, 0.3, 0.1)) -> DataFrame:
@@ -96,6 +105,36 @@ def ranked_neighbours(nodes: DataFrame, points: DataFrame, radius: float, order:
     return found.select("doc_id", "point", rank.alias("rank"), "node_id", "distance")
 
 
+def shortcuts(ways: DataFrame, now: DataFrame, held: DataFrame | None, most: int) -> tuple[DataFrame, int]:
+    """(doc_id, node_id, from, own, confidence) of the nodes that a single edge of `ways` leads to, those of `held` left out:
+    the nearest node upstream that isn't one of them, the least confidence on the way from it, and what the nodes between
+    give without it. A ring of such nodes has no start, and each learns what the whole ring gives.
+
+    Along one edge a node's confidence is max(own, min(edge, x)) of x upstream, and two such steps make a step of the same
+    kind, so each round doubles the way that a row stands for: a chain of n nodes takes log2(n) rounds of n rows. The rounds
+    are returned too; more than `most` are an error."""
+    single = ways.groupBy("doc_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.first("from").alias("from"), F.first("own").alias("own")).where("n = 1").drop("n")
+    if held is not None:
+        single = single.join(held, ["doc_id", "node_id"], "left_anti")
+    steps = single.join(now, ["doc_id", "node_id"]).select("doc_id", "node_id", "from", "own", "confidence").checkpoint()
+    needed, k = steps.count().bit_length(), 0
+    for k in range(1, needed + 1):
+        if k > most:
+            raise RuntimeError(f"ways are not drawn together after {most} rounds")
+        up = steps.select("doc_id", F.col("node_id").alias("from"), F.col("from").alias("up"), F.col("own").alias("up_own"), F.col("confidence").alias("up_c"))
+        joined = steps.join(up, ["doc_id", "from"], "left")
+        gained = F.greatest("confidence", F.least("up_c", "own"))  # least and greatest skip nulls
+        longer = joined.select("doc_id", "node_id", F.coalesce("up", "from").alias("from"), F.least("own", "up_own").alias("own"), F.when(F.col("up").isNull(), F.col("confidence")).otherwise(gained).alias("confidence"), F.col("up").isNotNull().alias("moved")).checkpoint()
+        steps = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    return steps, k
+
+
+#: Rounds of confidence() after which single ways are drawn together.
+SHALLOW = 4
+
+
 def confidence(nodes: DataFrame, prov: DataFrame, edges: DataFrame, derivations: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(doc_id, node_id, confidence): the least fixed point of
 
@@ -103,31 +142,51 @@ def confidence(nodes: DataFrame, prov: DataFrame, edges: DataFrame, derivations:
 
     which recursion gives on graphs without cycles; on cycles it does not hang on the order of visits. A node without
     provenance starts at 1.0, an operand that isn't a node at 0.0. Values only rise and come from a finite set, so rounds
-    end; going over max_rounds is an error. Only nodes that rose in the last round speak in the next one."""
+    end; going over max_rounds is an error.
+
+    Edges and first values are kept once. A round keeps what rose in it alone, and only that speaks in the next one. Where
+    values still rise after SHALLOW rounds, ways without a fork are drawn together (shortcuts), so that rounds follow the
+    forks on a way and not its length."""
     from .space import base_confidence
 
     ensure_checkpoints(nodes)
-    base = base_confidence(nodes, prov).select("doc_id", "node_id", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
-    ways = edges.where(F.col("predicate").isin(*SUPPORTING)).select("doc_id", F.col("subject_id").alias("from"), F.col("object_id").alias("node_id"), F.col("confidence").alias("own"))
+    key = ["doc_id", "node_id"]
+    base = base_confidence(nodes, prov).select(*key, F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    ways = edges.where(F.col("predicate").isin(*SUPPORTING) & (F.col("subject_id") != F.col("object_id"))).groupBy("doc_id", F.col("subject_id").alias("from"), F.col("object_id").alias("node_id")).agg(F.max("confidence").alias("own")).checkpoint()
     weight = F.create_map(*(F.lit(x) for kv in OPERATOR_WEIGHTS.items() for x in kv))
-    each = None
+    each = held = None
     if derivations is not None:
         numbered = derivations.select("doc_id", F.col("result_id").alias("node_id"), F.monotonically_increasing_id().alias("n"), (F.col("confidence") * weight[F.col("operator")]).alias("own"), "operands").checkpoint()
-        each = numbered.select("doc_id", "node_id", "n", "own", F.explode("operands").alias("from"))
+        each, held = numbered.select(*key, "n", "own", F.explode("operands").alias("from")), numbered.select(*key).distinct()
     now = base.checkpoint()
-    rose = now
-    for _ in range(max_rounds):
+    risen, rose = None, now
+
+    def known() -> DataFrame:
+        if risen is None:
+            return now
+        return now.join(risen.groupBy(*key).agg(F.max("confidence").alias("higher")), key, "left").select(*key, F.coalesce("higher", "confidence").alias("confidence"))
+
+    k, drawn = -1, 0
+    while (k := k + 1) + drawn < max_rounds:
+        if k == SHALLOW:
+            now, risen = known().checkpoint(), None
+            short, drawn = shortcuts(ways, now, held, max_rounds - k)
+            ways = short.select("doc_id", "from", "node_id", "own").unionByName(ways.join(short, key, "left_anti").select("doc_id", "from", "node_id", "own")).checkpoint()
+            now = now.join(short.select(*key, F.col("confidence").alias("higher")), key, "left").select(*key, F.coalesce("higher", "confidence").alias("confidence")).checkpoint()
+            rose = now
         spoke = rose.select("doc_id", F.col("node_id").alias("from"), F.col("confidence").alias("c"))
-        told = ways.join(spoke, ["doc_id", "from"]).groupBy("doc_id", "node_id").agg(F.max(F.least("c", "own")).alias("told"))
+        told = ways.join(spoke, ["doc_id", "from"]).groupBy(*key).agg(F.max(F.least("c", "own")).alias("told"))
         if each is not None:
             # A derivation is judged anew where an operand rose, by all its operands.
-            touched = each.join(spoke, ["doc_id", "from"], "left_semi").select("doc_id", "node_id", "n").distinct()
-            known = now.select("doc_id", F.col("node_id").alias("from"), F.col("confidence").alias("c"))
-            got = each.join(touched, ["doc_id", "node_id", "n"], "left_semi").join(known, ["doc_id", "from"], "left").groupBy("doc_id", "node_id", "n").agg(F.least(F.min(F.coalesce("c", F.lit(0.0))), F.first("own")).alias("told"))
-            told = told.unionByName(got.select("doc_id", "node_id", "told")).groupBy("doc_id", "node_id").agg(F.max("told").alias("told"))
-        higher = told.join(now, ["doc_id", "node_id"]).where("told > confidence").select("doc_id", "node_id", F.col("told").alias("confidence")).checkpoint()
+            touched = each.join(spoke, ["doc_id", "from"], "left_semi").select(*key, "n").distinct()
+            have = known().select("doc_id", F.col("node_id").alias("from"), F.col("confidence").alias("c"))
+            got = each.join(touched, [*key, "n"], "left_semi").join(have, ["doc_id", "from"], "left").groupBy(*key, "n").agg(F.least(F.min(F.coalesce("c", F.lit(0.0))), F.first("own")).alias("told"))
+            told = told.unionByName(got.select(*key, "told")).groupBy(*key).agg(F.max("told").alias("told"))
+        higher = told.join(known(), key).where("told > confidence").select(*key, F.col("told").alias("confidence")).checkpoint()
         if higher.isEmpty():
-            return now
-        now = now.join(higher.withColumnRenamed("confidence", "higher"), ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("higher", "confidence").alias("confidence")).checkpoint()
+            return known()
+        risen = higher if risen is None else risen.unionByName(higher)
+        if k % SHALLOW == 0:  # else their union would grow with the rounds
+            risen = risen.groupBy(*key).agg(F.max("confidence").alias("confidence")).checkpoint()
         rose = higher
     raise RuntimeError(f"confidence still rises after {max_rounds} rounds")

@@ -32,16 +32,24 @@ def retrieve(nodes: DataFrame, questions: DataFrame, most: int = 20, postings: D
     """(doc_id, question_id, rank, node_id, label, relevance): nodes of the asked category at 0.8, then those whose label
     holds a keyword at 1.0 unless their content was there already; the most relevant first, earlier finds first.
 
-    Categories meet by an equi-join; keywords find labels in an index (`postings`, or one made here), and these their nodes."""
+    With stored `postings` keywords find labels in them, and these their nodes by an equi-join, so that few labels are
+    looked at. Without, nodes are read once: each asks under its category and under the runs of its label, where keywords
+    and asked categories wait."""
     asked = questions.select("question_id", question_type(F.col("question")).alias("hint"), keywords(F.col("question")).alias("own"))
     extra = F.when(F.col("hint") == 7, F.array(*(F.lit(w) for w in P.QUANTITY_EXTRA))).otherwise(F.array().cast("array<string>"))
     words = asked.select("question_id", F.posexplode(F.concat("own", extra)).alias("place", "word"))
-    found = search.holding(label_postings(nodes) if postings is None else postings, words, [], "low", "word")
-    labels = found.join(words, "word").groupBy("question_id", "low").agg(F.min("place").alias("place"))
-    columns = ["doc_id", "question_id", "node_id", "label", "content_hash", "seq", "place"]
-    by_word = nodes.withColumn("low", F.lower("label")).join(labels, "low").select(*columns)
     hints = asked.where("hint is not null").select("question_id", F.col("hint").alias("major"), F.lit(-1).alias("place"))
-    placed = by_word.unionByName(nodes.join(hints, "major").select(*columns))
+    columns = ["doc_id", "question_id", "node_id", "label", "content_hash", "seq", "place"]
+    if postings is None:
+        category = lambda c: F.concat(F.lit("category "), c.cast("string"))  # noqa: E731  (longer than a run)
+        waiting = words.withColumn("gram", F.substring("word", 1, search.RUN)).unionByName(hints.withColumn("gram", category(F.col("major"))).drop("major"), allowMissingColumns=True)
+        low = F.lower("label")
+        asking = nodes.select("doc_id", "node_id", "label", "content_hash", "seq", F.explode(F.concat(F.coalesce(search.runs(low, search.RUN), F.array().cast("array<string>")), F.array(category(F.col("major"))))).alias("gram"))
+        placed = asking.join(search.sent(waiting, waiting.count()), "gram").where(F.col("word").isNull() | F.contains(low, "word")).select(*columns)
+    else:
+        labels = search.holding(postings, words, [], "low", "word").join(words, "word").groupBy("question_id", "low").agg(F.min("place").alias("place"))
+        by_word = nodes.withColumn("low", F.lower("label")).join(labels, "low").select(*columns)
+        placed = by_word.unionByName(nodes.join(hints, "major").select(*columns))
     once = placed.groupBy("doc_id", "question_id", "content_hash").agg(F.min_by(F.struct("node_id", "label", "place", "seq"), F.struct("place", "seq")).alias("n")).select("doc_id", "question_id", "n.*")
     scored = once.withColumn("relevance", F.when(F.col("place") < 0, 0.8).otherwise(1.0))
     order = Window.partitionBy("doc_id", "question_id").orderBy(F.desc("relevance"), "place", "seq")

@@ -11,25 +11,41 @@ from pyspark.sql import functions as F
 
 #: Characters of a posting at most.
 RUN = 3
+#: Words up to which their table is sent to all tasks; for more, texts and words are shuffled by their runs.
+SENT = 100_000
 
 
-def runs(text: Column, size: Column) -> Column:
-    """The distinct runs of `size` characters of a text; none if it is shorter."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda k: F.substring(text, k, size)))
+def runs(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a text; none if it is shorter. Behind a character of two code units one more
+    stands, which the exact test sorts out."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def index(texts: DataFrame, keys: list[str], text: str, shortest: int = 1) -> DataFrame:
     """(keys, gram, text) of the distinct texts within the keys: postings under runs of `shortest` to RUN characters."""
     distinct = texts.where(F.col(text).isNotNull()).select(*keys, text).distinct()
-    sizes = distinct.withColumn("size", F.explode(F.sequence(F.lit(shortest), F.lit(RUN))))
-    return sizes.select(*keys, F.explode(runs(F.col(text), F.col("size"))).alias("gram"), text)
+    return distinct.select(*keys, F.explode(F.concat(*(runs(F.col(text), k) for k in range(shortest, RUN + 1)))).alias("gram"), text)
 
 
 def holding(postings: DataFrame, words: DataFrame, keys: list[str], text: str, word: str) -> DataFrame:
     """(keys, word, text) of the words and the texts that hold them. An empty word is in no run and finds nothing."""
     asked = words.where(F.length(word) > 0).select(*keys, word).distinct()
-    grams = asked.select(*keys, word, F.explode(runs(F.col(word), F.least(F.length(word), F.lit(RUN)))).alias("gram"))
+    whole = F.array(F.col(word))  # a word that is shorter than a run
+    grams = asked.select(*keys, word, F.explode(F.when(F.length(word) < RUN, whole).otherwise(runs(F.col(word), RUN))).alias("gram"))
     counts = postings.join(grams.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi").groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = grams.join(counts, [*keys, "gram"], "left").groupBy(*keys, word).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     return postings.join(rarest, [*keys, "gram"]).where(F.contains(text, word)).select(*keys, word, text)
+
+
+def sent(words: DataFrame, count: int) -> DataFrame:
+    """The words, marked to be sent to all tasks where they are that few."""
+    return F.broadcast(words) if count <= SENT else words
+
+
+def find(texts: DataFrame, words: DataFrame, keys: list[str], text: str, word: str) -> DataFrame:
+    """The rows of `texts`, each with the rows of `words` whose word it holds, in one pass over texts that no index was made
+    of: a word waits under its first run, a text asks under all of its own. An empty word finds nothing."""
+    asked = words.where(F.length(word) > 0).withColumn("gram", F.substring(word, F.lit(1), F.least(F.length(word), F.lit(RUN))))
+    n, shortest = asked.agg(F.count(F.lit(1)), F.least(F.min(F.length(word)), F.lit(RUN))).first()
+    own = F.concat(*(F.coalesce(runs(F.col(text), k), F.array().cast("array<string>")) for k in range(shortest or RUN, RUN + 1)))
+    return texts.withColumn("gram", F.explode(own)).join(sent(asked, n), [*keys, "gram"]).where(F.contains(text, word)).drop("gram")

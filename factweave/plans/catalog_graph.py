@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factweave.functions import patterns as P
 from factweave.functions.columns import coord_parts, coord_valid, parse_unit, parse_value, spaced_label
 from factweave.operators import claims, derivation, emission, extraction, graph, lexing, retrieval, space, versions
-from factweave.sources import adapters, detect
+from factweave.sources import adapters, detect, table_functions
 
 from . import text_oracles as T
 from .catalog import _PROGRAM, chunks_of, nodes_of, query
@@ -514,6 +514,13 @@ def _(s, d):
     return adapters.json_flatten(docs).select("doc_id", "label", "major", "type", "value_str", "value_num")
 
 
+@query("json_flatten_sql", "SELECT event_id AS doc_id, 'k' AS label, 3 AS major, json_extract_string(props, '$.k') AS value_str, try_cast(json_extract_string(props, '$.k') AS DOUBLE)::VARCHAR AS number FROM events")
+def _(s, d):
+    view(s, d, "rendered_docs")
+    table_functions.register(s)
+    return s.sql("SELECT event_id AS doc_id, f.label, f.major, f.value_str, py_str(f.value_num) AS number FROM events, LATERAL json_flatten(props) f")
+
+
 # A feed in a text is XML like any other, and has no facts; only its file's name would tell it apart.
 @query("compile_universal", T.over("rendered_docs", *_NODES, select="SELECT doc_id, node_id, label, value_str, value_num, unit FROM o_nodes UNION ALL SELECT 1000000000 + c_custkey, '07-02-20-0001', 'Net Income', cast((1000 + c_custkey % 1000)::DOUBLE AS VARCHAR), (1000 + c_custkey % 1000)::DOUBLE, 'USD' FROM customer UNION ALL SELECT 1000000000 + c_custkey, '07-99-01-0001', 'Other_Fact', 'n' || c_custkey, NULL, NULL FROM customer UNION ALL SELECT 2000000000 + c_custkey, '06-01-01-0001', 'Call ' || c_name, NULL, NULL, NULL FROM customer"))
 def _(s, d):

@@ -18,6 +18,11 @@ VERSION = "0.5"
 SORTED_BY = {"nodes": ["doc_id", "node_id"], "provenance": ["doc_id", "prov_id"], "relations": ["doc_id", "subject_id", "predicate", "object_id"], "derivations": ["doc_id", "result_id"], "alignments": ["doc_id", "subject_id", "reference_id"], "forks": ["doc_id", "fork_id"]}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 @dataclass
 class Program:
     nodes: DataFrame
@@ -38,14 +43,36 @@ class Program:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Program:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        there = [n for n in SORTED_BY if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))]
+        there = [n for n in SORTED_BY if _exists(spark, f"{path}/{n}")]
         for name in ("nodes", "provenance"):
             if name not in there:
                 raise FileNotFoundError(f"no program at {path}: {name} are missing")
         return cls(**{n: spark.read.parquet(f"{path}/{n}") for n in there if n != "provenance"}, provenance=spark.read.parquet(f"{path}/provenance"))
 
+    def store(self, path: str, prefix: str, buckets: int) -> None:
+        """Tables `prefix`_nodes and so on at `path`, in buckets by the key that they are joined on and sorted by it, with
+        Bloom filters of it: nodes and relations of a program, or nodes of two of them with as many buckets, are joined as they
+        lie, and lookups of an id skip the row groups that don't hold it. Buckets should be as many as the tasks of a join."""
+        for name, df in self.tables().items():
+            key = SORTED_BY[name][:2]
+            # A task has whole buckets, so that each is one file.
+            writer = df.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key)
+            writer.option(f"parquet.bloom.filter.enabled#{key[1]}", "true").option("path", f"{path}/{name}").saveAsTable(f"{prefix}_{name}")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, prefix: str, buckets: int) -> Program:
+        """What store() wrote; in a session that doesn't know the tables they are named again, with the same buckets."""
+        for name in SORTED_BY:
+            if not spark.catalog.tableExists(f"{prefix}_{name}") and _exists(spark, f"{path}/{name}"):
+                key = ", ".join(SORTED_BY[name][:2])
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{name}").schema)
+                spark.sql(f"CREATE TABLE {prefix}_{name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+        there = {n: spark.table(f"{prefix}_{n}") for n in SORTED_BY if spark.catalog.tableExists(f"{prefix}_{n}")}
+        for name in ("nodes", "provenance"):
+            if name not in there:
+                raise FileNotFoundError(f"no program {prefix} at {path}: {name} are missing")
+        return cls(**there)
+
     def export(self, path: str) -> None:
         """JSON lines in canonical order, and a manifest. A table is as many parts as its sort has partitions, in the order of
         their names; the manifest counts rows, says how many lines each part has, and holds the root hash."""
@@ -64,14 +91,11 @@ class Program:
 
         Without a manifest it is an error, and so is a number of rows that it doesn't name, and a line that isn't an object of
         the schema: the error names the table and the line's number over all its parts. All parts are checked in parallel."""
-        jvm = spark.sparkContext._jvm
-        where = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        fs = where("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(where("manifest.json")):
+        if not _exists(spark, f"{path}/manifest.json"):
             raise FileNotFoundError(f"no manifest.json at {path}")
         out, counts = {}, json.loads(spark.read.text(f"{path}/manifest.json").first()["value"])["counts"]
         for name in SORTED_BY:
-            if not fs.exists(where(f"{name}.jsonl")):
+            if not _exists(spark, f"{path}/{name}.jsonl"):
                 if name in ("nodes", "provenance"):
                     raise FileNotFoundError(f"no {name}.jsonl at {path}")
                 continue

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factweave.operators import derivation, emission, extraction, graph, lexing, retrieval, search, versions
 from factweave.operators.scans import scan
 from factweave.plans.program import Program, compile_documents
+from factweave.sources import adapters, table_functions
 from factweave.streaming import compile_stream
 
 LONG = "\n\n".join(f"# Part {k}\n\nIt cost ${k} million.\n\n \n\nThen 5% and ${k} million." if k % 3 else f"Words of part {k} that go on." for k in range(60))
@@ -150,3 +151,98 @@ def test_derivations_by_name(spark):
     assert summaries.count() == made.count() == 1
     with pytest.raises(ValueError, match="known: confidence, temporal"):
         derivation.run("other", p.nodes, p.provenance)
+
+
+def brute_confidence(base, edges, derivations):
+    """The least fixed point, round by round."""
+    c = dict(base)
+    while True:
+        new = dict(c)
+        for u, v, own in edges:
+            if u in c and v in c:
+                new[v] = max(new[v], min(c[u], own))
+        for v, operands, own in derivations:
+            if v in c:
+                new[v] = max(new[v], min([c.get(o, 0.0) for o in operands] + [own]))
+        if new == c:
+            return c
+        c = new
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_confidence_on_chains_rings_and_forks(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{k:03d}" for k in range(160)]
+    base = {n: rng.choice([0.05, 0.1, 0.2]) for n in names} | {"n000": 0.9, "n100": 0.8}
+    edges = [(names[k], names[k + 1], 0.99 - k / 1000) for k in range(59)]  # a chain
+    edges += [(names[100 + k], names[100 + (k + 1) % 20], 0.7 + k / 100) for k in range(20)]  # a ring
+    edges += [(names[60 + k], names[61 + k], 0.9) for k in range(30)] + [(names[50], names[60], 0.93), (names[105], names[75], 0.85), ("gone", names[60], 1.0), (names[3], "lost", 1.0), (names[5], names[5], 1.0)]
+    edges += [(rng.choice(names), rng.choice(names[120:]), rng.random()) for _ in range(30)] + [(names[0], names[1], 0.3)]
+    made = [(names[130], [names[59], names[90]], 0.95), (names[40], [names[39]], 0.95), (names[131], [names[2], "gone"], 0.95)]
+    n = spark.createDataFrame([(1, x, x) for x in names], "doc_id long, node_id string, prov_id string")
+    prov = spark.createDataFrame([(1, x, c) for x, c in base.items()], "doc_id long, prov_id string, confidence double")
+    e = spark.createDataFrame([(1, u, "SUPPORTS", v, c) for u, v, c in edges], "doc_id long, subject_id string, predicate string, object_id string, confidence double")
+    d = spark.createDataFrame([(1, v, o, "SUBTRACT", 1.0) for v, o, _ in made], "doc_id long, result_id string, operands array<string>, operator string, confidence double")
+    for derivations in (None, d):
+        got = {r.node_id: r.confidence for r in graph.confidence(n, prov, e, derivations, max_rounds=40).collect()}
+        assert got == pytest.approx(brute_confidence(base, edges, made if derivations is not None else []))
+
+
+def test_a_chain_takes_as_many_rounds_as_its_length_has_bits(spark):
+    size = 2000
+    n = spark.range(size).select(F.lit(1).cast("long").alias("doc_id"), F.format_string("%05d", "id").alias("node_id"), F.when(F.col("id") == 0, "p").otherwise("q").alias("prov_id"))
+    prov = spark.createDataFrame([(1, "p", 0.9), (1, "q", 0.1)], "doc_id long, prov_id string, confidence double")
+    e = spark.range(size - 1).select(F.lit(1).cast("long").alias("doc_id"), F.format_string("%05d", "id").alias("subject_id"), F.lit("SUPPORTS").alias("predicate"), F.format_string("%05d", F.col("id") + 1).alias("object_id"), F.lit(0.95).alias("confidence"))
+    got = graph.confidence(n, prov, e, max_rounds=graph.SHALLOW + 13)
+    assert [tuple(r) for r in got.groupBy("confidence").count().collect()] == [(0.9, size)]
+
+
+@pytest.mark.parametrize("radius,weights", [(1.5, (1.0, 0.5, 0.3, 0.1)), (0.0, (1.0, 0.5, 0.3, 0.1)), (2.0, (1.0, 0.0, 0.3, 0.1)), (-1.0, (1.0, 0.5, 0.3, 0.1))])
+def test_neighbours_of_all_points(spark, radius, weights):
+    rng = random.Random(3)
+    points = sorted({(rng.randint(1, 8), rng.randint(0, 4), rng.randint(0, 3), rng.randint(1, 30)) for _ in range(250)})
+    n = spark.createDataFrame([(1, "-".join(map(str, p)), *p) for p in points], "doc_id long, node_id string, major int, type int, subtype int, instance int")
+    found = graph.neighbours(n, n, radius, weights)
+    near = lambda a, b: sum(w * (x - y) ** 2 for w, x, y in zip(weights, a, b, strict=True)) ** 0.5 <= radius
+    want = sorted(("-".join(map(str, p)), "-".join(map(str, q))) for p in points for q in points if near(p, q))
+    assert sorted((r.point, r.node_id) for r in found.collect()) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_stored_programs_are_joined_as_they_lie(spark, tmp_path):
+    nodes = compile_documents(docs(spark, *[LONG] * 3)).nodes.persist()
+    edges = nodes.select("doc_id", F.col("node_id").alias("subject_id"), F.lit("P").alias("predicate"), F.lit("07-01-01-0001").alias("object_id"), "prov_id", F.lit(1.0).alias("confidence"))
+    p = Program(nodes, compile_documents(docs(spark, LONG)).provenance, edges)
+    p.store(f"{tmp_path}/a", "stored_a", 3)
+    p.store(f"{tmp_path}/b", "stored_b", 3)
+    for name in ("nodes", "provenance", "relations"):  # as in a session that never saw them; the files stay
+        spark.sql(f"DROP TABLE stored_b_{name}")
+    a, b = Program.stored(spark, f"{tmp_path}/a", "stored_a", 3), Program.stored(spark, f"{tmp_path}/b", "stored_b", 3)
+    assert rows(b.nodes.select(*nodes.columns)) == rows(nodes)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = a.nodes.select("doc_id", "node_id").join(b.nodes.select("doc_id", "node_id", "label"), ["doc_id", "node_id"])
+        ends = a.nodes.join(a.relations.withColumnRenamed("subject_id", "node_id").select("doc_id", "node_id", "predicate"), ["doc_id", "node_id"])
+        for df in (both, ends):
+            assert df.count() == nodes.count() and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = a.nodes.where("node_id = '07-01-01-0003'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(node_id,07-01-01-0003)" in plan
+    with pytest.raises(FileNotFoundError):
+        Program.stored(spark, f"{tmp_path}/none", "stored_none", 3)
+
+
+def test_readers_as_table_functions(spark):
+    table_functions.register(spark)
+    xbrl = "<xbrl><Revenues contextRef='c' unitRef='usd'>1,250</Revenues><Note contextRef='c'>x</Note></xbrl>"
+    d = docs(spark, '{"a": {"price": 3}, "b": [1, {"name": "x"}]}', "", "[1", None, xbrl)
+    d.createOrReplaceTempView("table_function_docs")
+    for name, plain in (("json_flatten", adapters.json_flatten(d)), ("xbrl_facts", adapters.xbrl(d)), ("feed_items", adapters.feeds(d))):
+        got = spark.sql(f"SELECT doc_id, f.* FROM table_function_docs, LATERAL {name}(text) f").select(*plain.columns)
+        assert rows(got) == rows(plain)
+    assert spark.sql("SELECT count(*) FROM table_function_docs, LATERAL json_flatten(text) f").first()[0] == 2
+    numbers = [5e6, 0.25, 2.87e9, 1e15, 1e16, 1.5e-7, 1e-4, 3.0, float("inf"), float("-inf"), float("nan"), None, 1e100, -2.5e20]
+    got = spark.createDataFrame([(v,) for v in numbers], "v double").selectExpr("py_str(v)").collect()
+    assert [r[0] for r in got] == [None if v is None else str(v) for v in numbers]

@@ -100,7 +100,8 @@ class WordIndex:
 
 
 def map_texts(df: DataFrame, key: str, text: str, work: Callable[[list[str | None]], dict], schema: str, limit: int = CHUNK_CHARS) -> DataFrame:
-    """`work` gets a list of whole texts and returns columns of equal length; `key` is passed on first."""
+    """`work` gets a list of whole texts and returns columns of equal length; `key` is passed on first, in its own
+    type, whatever `schema` calls it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,14 +111,16 @@ def map_texts(df: DataFrame, key: str, text: str, work: Callable[[list[str | Non
                 names = list(out)
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out.values())], names=[key, *names])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    own = f"`{key}` {df.schema[key].dataType.simpleString()}, {schema.split(', ', 1)[1]}"
+    return df.select(key, text).mapInArrow(run, own)
 
 
 def sample_per_stratum(df: DataFrame, key: str, stratum: str, rows: int) -> DataFrame:
-    """At most about 2 * `rows` rows of each stratum, by a hash of `key`; the caller keeps the `rows` least.
+    """The rows of about 2 * `rows` keys of each stratum at most, by a hash of `key`; the caller keeps the `rows` least.
 
-    The thresholds come from exact counts, so that the sample follows no order of the input."""
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect() if r[0] is not None}
+    The thresholds come from the number of keys, to about 2 %, whatever the order of the input; a key that many rows share
+    counts once, so that it leaves room for the others."""
+    counts = {r[0]: max(r[1], 1) for r in df.groupBy(stratum).agg(F.approx_count_distinct(key, 0.02)).collect() if r[0] is not None}
     if not counts:
         return df.limit(0).withColumn("sample_hash", F.lit(0).cast("long"))
     share = F.create_map(*(x for s, n in counts.items() for x in (F.lit(s), F.lit(min(1.0, 2.0 * rows / n)))))

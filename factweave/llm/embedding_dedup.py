@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ._components import components, least_labels
 from ._shared import materialize
@@ -87,8 +88,10 @@ def cells(unit: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.float32)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    """The vectors behind their first byte, which tells single numbers from doubles."""
+    raw = column.to_pylist()
+    kind = np.float64 if raw[0][0] else np.float32
+    return np.frombuffer(b"".join(v[1:] for v in raw), kind).reshape(len(raw), -1).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -111,7 +114,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 again = pa.array(np.repeat(np.arange(n), keys.shape[1]))
                 own = np.tile(np.arange(keys.shape[1]) % (1 + PROBES) == 0, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(keys.size, size // 4, np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(own), b.column(0).take(take).take(again), b.column(1).take(take).take(again), vectors.take(again)],
+                    [pa.array(np.full(keys.size, (size - 1) // (8 if raw[rows[0]][0] else 4), np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(own), b.column(0).take(take).take(again), b.column(1).take(take).take(again), vectors.take(again)],
                     names=["dim", "cell", "own", "id", "weight", "vector"],
                 )
 
@@ -209,8 +212,11 @@ def dedup(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding)."""
     spark = vectors.sparkSession
     e = F.col("embedding")
+    # Doubles stay doubles: as single numbers tiny ones would be zero and large ones infinite.
+    kind = "float" if vectors.schema["embedding"].dataType.elementType == FloatType() else "double"
+    of, mark = (np.float32, b"\0") if kind == "float" else (np.float64, b"\1")
     sound = F.coalesce(F.size(e) > 0, F.lit(False)) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), e.cast("array<float>")).alias("embedding"))
+    rows = vectors.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), e.cast(f"array<{kind}>")).alias("embedding"))
     classes = materialize(rows.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")), "classes")
     # Rows without an id take part under a number of their own, which no other class has.
     named = classes.select(F.coalesce("first", F.xxhash64("embedding")).alias("id"), "weight", "embedding")
@@ -218,7 +224,7 @@ def dedup(vectors: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def raw() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                packed = pa.array([np.array(v, np.float32).tobytes() for v in b.column(2).to_pylist()], pa.binary())
+                packed = pa.array([mark + np.array(v, of).tobytes() for v in b.column(2).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["id", "weight", "vector"])
 
         return _spread(raw())

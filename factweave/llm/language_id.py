@@ -170,13 +170,14 @@ def _spread(text: str, limit: int) -> str:
 
 
 def references(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tuple[str, str], ...]:
-    """Reference text of each language, from at most `rows` of its rows (doc_id, text, lang)."""
+    """Reference text of each language, from at most `rows` of its documents (doc_id, text, lang); of several texts of one
+    doc_id the least counts, by what is kept of it."""
     usable = labelled.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     size = DOCUMENT_CHARS // WINDOWS
     last = F.length("text") - size
     windows = [F.substr("text", (last * k / (WINDOWS - 1)).cast("int") + 1, F.lit(size)) for k in range(WINDOWS)]
     cut = F.when(F.length("text") <= DOCUMENT_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *windows))
-    sampled = sample_per_stratum(usable, "doc_id", "lang", rows).withColumn("text", cut)
+    sampled = sample_per_stratum(usable, "doc_id", "lang", rows).groupBy("doc_id", "lang", "sample_hash").agg(F.min(cut).alias("text"))
     got = least_hashes(sampled.collect(), lambda r: r["lang"], lambda r: (r["sample_hash"], r["doc_id"], r["text"]), rows)
     texts: dict[str, list[str]] = {}
     for r in got:

@@ -37,12 +37,14 @@ def text_features(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fit_on_labels(docs: DataFrame, labelled: DataFrame, label: str, rows: int, with_priors: bool = False) -> TextClassifier:
-    """Train on at most `rows` rows of each class. `labelled` holds doc_id and the class in column `label`.
+    """Train on at most `rows` documents of each class. `labelled` holds doc_id and the class in column `label`.
 
+    Of several labels or texts of one doc_id the least counts, so that one row for each sampled doc_id comes to the driver.
     `with_priors` weighs classes by their labelled rows; else they count alike."""
     priors = {r[0]: r[1] for r in labelled.where(F.col(label).isNotNull()).groupBy(label).count().collect()} if with_priors else None
-    chosen = sample_per_stratum(labelled.select("doc_id", label).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]), "doc_id", label, rows)
+    chosen = sample_per_stratum(labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label)), "doc_id", label, rows)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     got = text_features(texts, "doc_id", "text").toArrow().combine_chunks()
     index, value = (got.column(c).combine_chunks() for c in ("index", "value"))
     flat = [x.values.to_numpy() for x in (index, value)]

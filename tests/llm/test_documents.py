@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.llm import html_text, language_id, minhash_dedup, quality_rules, record_files, secret_scan, sentencepiece_codec, source_mixing, url_filter
+from factweave.llm import _shared, html_text, language_id, minhash_dedup, quality_rules, record_files, secret_scan, sentencepiece_codec, source_mixing, url_filter
 from factweave.llm._components import components
 from factweave.llm._ngrams import Words
 
@@ -283,3 +283,22 @@ def test_secrets_between_lines_of_words():
             for text in (body + end + after, "x" * 30 + end + body, "x" * 30 + end + body + end + after):
                 a = text.index(raw[:20])
                 assert secret_scan.say(secret_scan.find(text)) == f"{kind}:{a}:{a + len(body)}", (kind, text)
+
+
+def test_samples_take_one_row_of_an_id_that_many_share(spark):
+    labels = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(40)] + [(0, "b"), (0, "a")], "doc_id long, domain string")
+    texts = [(k, f"{'red apple tree' if k % 2 == 0 else 'steel bolt press'} {k} " * 5) for k in range(40)]
+    many = spark.createDataFrame(texts + [(0, f"red apple tree number {k}") for k in range(3000)], "doc_id long, text string")
+    models = [quality_rules.fit_on_labels(many.repartition(n), labels.repartition(n), "domain", 15) for n in (1, 7)]
+    assert models[0].classes == ["a", "b"] and (models[0].weights == models[1].weights).all()
+    spoken = many.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy"))
+    one, other = (language_id.references(spoken.repartition(n), 15) for n in (1, 7))
+    assert one == other and [k for k, _ in one] == ["xx", "yy"]
+    sampled = _shared.sample_per_stratum(spoken, "doc_id", "lang", 15).select("doc_id", "lang").distinct().groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sampled} == {"xx": 20, "yy": 20}
+
+
+def test_ids_of_other_whole_types(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (None, None), (2, "one two three four five six")], "doc_id int, text string")
+    assert [r.doc_id for r in quality_rules.judge(docs, quality_rules.TextClassifier.fit([], [])).orderBy("doc_id").collect()] == [None, 1, 2]
+    assert secret_scan.scan(docs).count() == 3

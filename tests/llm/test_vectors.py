@@ -67,3 +67,9 @@ def test_pipeline(spark):
             want = sorted(len(c.library.encode(r.text or "")) + 1 for r in docs.collect())
             assert sorted(r.n_tokens for r in out.collect()) == want
         docs = out
+
+
+def test_doubles_beyond_single_numbers_keep_their_links(spark):
+    rows = [(1, [1e-50, 1e-50]), (2, [1.0, 1.0]), (3, [1e300, 2.0]), (4, [1e39, 1.0]), (5, [0.0, 0.0]), (6, [-1.0, 1.0]), (7, None)]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}

@@ -4,14 +4,16 @@ Each table projects the unit vectors onto eight random orthonormal directions, s
 the nearest point of the lattice E8. A vector stands in its own cell and probes the PROBES cells whose walls are
 nearest; two vectors are candidates where one's own cell is a cell of the other. Cosine in double precision decides.
 
-Equal vectors are one class with a weight. Members of a cell are compared as blocks of a matrix; a cell with over BLOCK
+Equal vectors are one class with a weight. Cells are worked out once and kept with the class. Only cells and numbers of
+classes are shuffled to find the cells in which a pair can meet: those with two members, one of them at home there.
+Vectors follow to these alone. Members of a cell are compared as blocks of a matrix; a cell with over BLOCK
 members is cut into blocks and each pair of blocks is a task of its own, so no task holds more than 2 * BLOCK vectors.
 A pair that meets in several cells counts only in the first of them, which both vectors name; so cells give one
 count for each member and a spanning forest of its links, never the pairs.
 
 Defined results: null or zero vectors, and vectors with a null or non-finite component, have no links and are their own
 component; vectors of another length than the most common one are compared among their own length; rows with one
-vec_id are each a vector; an empty table gives an empty result.
+vec_id are each a vector with links of its own, and lie in one component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -87,11 +90,8 @@ def cells(unit: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """The vectors behind their first byte, which tells single numbers from doubles."""
-    raw = column.to_pylist()
-    kind = np.float64 if raw[0][0] else np.float32
-    return np.frombuffer(b"".join(v[1:] for v in raw), kind).reshape(len(raw), -1).astype(np.float64)
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -100,23 +100,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each cell of each class: dim, cell, own, id, weight, vector."""
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (class, id, weight, embedding) with their length and the keys of their cells."""
     for b in batches:
-        raw = b.column(2).to_pylist()
-        sizes = np.array([len(v) for v in raw])
+        sizes = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False)
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             for lo in range(0, len(rows), 1000):
-                take = pa.array(rows[lo : lo + 1000])
-                n, vectors = len(take), b.column(2).take(take)
-                keys = cells(_unit(_matrix(vectors))).reshape(n, -1)
-                again = pa.array(np.repeat(np.arange(n), keys.shape[1]))
-                own = np.tile(np.arange(keys.shape[1]) % (1 + PROBES) == 0, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(keys.size, (size - 1) // (8 if raw[rows[0]][0] else 4), np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(own), b.column(0).take(take).take(again), b.column(1).take(take).take(again), vectors.take(again)],
-                    names=["dim", "cell", "own", "id", "weight", "vector"],
-                )
+                part = b.take(pa.array(rows[lo : lo + 1000]))
+                keys = cells(_unit(_matrix(part.column(3)).astype(np.float64))).reshape(len(part), -1)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), size, np.int32)), listed], names=["class", "id", "weight", "embedding", "dim", "cells"])
 
 
 def linked(unit: np.ndarray, own: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,7 +144,7 @@ def first_meeting(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group in; (id, links, least id linked in the group) out."""
+    """Rows sorted by group in; (class, id, links, least id linked in the group) out."""
     held: list[pa.RecordBatch] = []
 
     def groups(b: pa.RecordBatch) -> tuple[list[tuple[int, int]], pa.RecordBatch]:
@@ -159,42 +153,33 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return list(zip([0, *cut], [*cut, b.num_rows], strict=True)), b
 
     def work(b: pa.RecordBatch, spans: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[], [], []]
+        columns: list[list] = [[], [], [], []]
         for lo, hi in spans:
             if hi - lo < 2:
                 continue
             part = b.slice(lo, hi - lo)
-            cell = part.column(1)[0].as_py()
-            own, ids, weights = (part.column(k).to_numpy(zero_copy_only=False) for k in (4, 6, 7))
-            unit = _unit(_matrix(part.column(8)))
-            one, two = part.column(2)[0].as_py(), part.column(3)[0].as_py()
-            side = part.column(5).to_numpy(zero_copy_only=False) if one != two else None
-            keys, known = np.zeros((len(unit), TABLES, 1 + PROBES), _U), np.zeros(len(unit), bool)
+            cell, one, two = (part.column(k)[0].as_py() for k in (1, 2, 3))
+            own, side, number, ids, weights = (part.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6, 7, 8))
+            unit = _unit(_matrix(part.column(9)).astype(np.float64))
+            keys = _matrix(part.column(10)).view(_U).reshape(len(unit), TABLES, 1 + PROBES)
             links, label = np.zeros(len(unit), np.int64), np.arange(len(unit))
-            for i, j in linked(unit, own, side):
-                # Only members of pairs need their cells.
-                live = np.zeros(len(unit), bool)
-                live[i] = live[j] = True
-                live &= ~known
-                if live.any():
-                    keys[live], known = cells(unit[live]), known | live
-                # Each pair names its first cell from the lesser id on, the same wherever it is met.
-                swap = ids[i] > ids[j]
+            for i, j in linked(unit, own, side if one != two else None):
+                # Each pair names its first cell from the lesser class on, the same wherever it is met.
+                swap = number[i] > number[j]
                 first = first_meeting(keys, np.where(swap, j, i), np.where(swap, i, j)).view(np.int64) == cell
                 links += np.bincount(i[first], weights[j[first]], len(unit)).astype(np.int64) + np.bincount(j[first], weights[i[first]], len(unit)).astype(np.int64)
                 nodes, least = least_labels(label[i], label[j])
                 label[nodes] = least
                 label = label[label]
-            if not known.any():
-                continue
             members = np.bincount(label, minlength=len(unit))[label] > 1
+            if not members.any():
+                continue
             lowest = np.full(len(unit), np.iinfo(np.int64).max)
             np.minimum.at(lowest, label, ids)
-            columns[0] += ids[members].tolist()
-            columns[1] += links[members].tolist()
-            columns[2] += lowest[label][members].tolist()
+            for column, values in zip(columns, (number, ids, links, lowest[label]), strict=True):
+                column.append(values[members])
         if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "links", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["class", "id", "links", "least"])
 
     for b in batches:
         joined = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()
@@ -214,32 +199,23 @@ def dedup(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     # Doubles stay doubles: as single numbers tiny ones would be zero and large ones infinite.
     kind = "float" if vectors.schema["embedding"].dataType.elementType == FloatType() else "double"
-    of, mark = (np.float32, b"\0") if kind == "float" else (np.float64, b"\1")
     sound = F.coalesce(F.size(e) > 0, F.lit(False)) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), e.cast(f"array<{kind}>")).alias("embedding"))
-    classes = materialize(rows.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")), "classes")
     # Rows without an id take part under a number of their own, which no other class has.
-    named = classes.select(F.coalesce("first", F.xxhash64("embedding")).alias("id"), "weight", "embedding")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def raw() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                packed = pa.array([mark + np.array(v, of).tobytes() for v in b.column(2).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["id", "weight", "vector"])
-
-        return _spread(raw())
-
-    spread = named.mapInArrow(pack, "dim int, cell long, own boolean, id long, weight long, vector binary")
-    # Cells that are too large for one task, with the number of their blocks; at most a row for BLOCK members.
-    large = materialize(spread.groupBy("dim", "cell").count().where(F.col("count") > BLOCK).select("dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "cells")
-    blocks = F.coalesce(F.col("blocks"), F.lit(1))
-    mine = F.pmod(F.xxhash64("id", "cell"), blocks).cast("int")
-    cut = spread.join(F.broadcast(large) if large.count() <= 100_000 else large, ["dim", "cell"], "left").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grouped = cut.select("dim", "cell", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "own", F.col("mine").alias("side"), "id", "weight", "vector")
-    compared = materialize(grouped.repartition("dim", "cell", "one", "two").sortWithinPartitions("dim", "cell", "one", "two").mapInArrow(_compare, "id long, links long, least long"), "links")
+    alike = rows.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    numbered = alike.select(F.monotonically_increasing_id().alias("class"), F.coalesce("first", F.xxhash64("embedding")).alias("id"), "weight", "embedding")
+    classes = materialize(numbered.mapInArrow(_locate, f"class long, id long, weight long, embedding array<{kind}>, dim int, cells array<long>"), "classes")
+    stands = classes.select("dim", "class", F.posexplode("cells").alias("place", "cell")).select("dim", "cell", (F.col("place") % (1 + PROBES) == 0).alias("own"), "class")
+    # Where two can meet, with the number of blocks of the cell.
+    shared = stands.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("home")).where("home AND n > 1")
+    shared = shared.select("dim", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    meeting = stands.join(shared, ["dim", "cell"]).withColumn("side", F.pmod(F.xxhash64("class", "cell"), "blocks").cast("int"))
+    placed = meeting.join(classes.drop("dim"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grouped = placed.select("dim", "cell", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "own", "side", "class", "id", "weight", "embedding", "cells")
+    compared = materialize(grouped.repartition("dim", "cell", "one", "two").sortWithinPartitions("dim", "cell", "one", "two").mapInArrow(_compare, "class long, id long, links long, least long"), "links")
     found = components(compared.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    links = compared.groupBy("id").agg(F.sum("links").alias("links"))
-    by_class = named.join(links, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
+    links = compared.groupBy("class").agg(F.sum("links").alias("links"))
+    by_class = classes.select("class", "id", "weight", "embedding").join(links, "class", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
     by_class = materialize(by_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "by-class")
     out = rows.join(by_class, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))

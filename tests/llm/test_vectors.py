@@ -73,3 +73,20 @@ def test_doubles_beyond_single_numbers_keep_their_links(spark):
     rows = [(1, [1e-50, 1e-50]), (2, [1.0, 1.0]), (3, [1e300, 2.0]), (4, [1e39, 1.0]), (5, [0.0, 0.0]), (6, [-1.0, 1.0]), (7, None)]
     got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_rows_of_one_id_have_links_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0, 0.01]), (4, [0.0, 1.0, 0.0]), (1, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0])]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id) == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1)]
+    assert [r.n_links for r in got if r.vec_id is None] == [1, 1]
+
+
+def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=32) + rng.normal(size=(600, 32)) * 0.08).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df).collect()}
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df).collect()} == whole
+    assert sum(n for n, _ in whole.values()) > 300_000

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from factweave.functions import patterns as P
 from factweave.functions.columns import coord_id, float_text, parse_unit, parse_value, short_hash
 
+from .scans import unsent
+
 
 def requests(chunks: DataFrame, max_tier: int = 3) -> DataFrame:
     """(doc_id, req_id, chunk_id, content, prompt, tier) of chunks that need a model; the tier is told by length anew."""
@@ -48,7 +50,7 @@ def claim_values(claims: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, label, value_label, known_id): each claim's label, its object, and the first node that has that label."""
     said = claims.select("doc_id", F.concat("subject", F.lit(": "), "object").alias("label"), F.col("object").alias("value_label"))
     known = nodes.groupBy("doc_id", F.col("label").alias("value_label")).agg(F.min_by("node_id", "node_seq").alias("known_id"))
-    return said.join(known, ["doc_id", "value_label"], "left").select("doc_id", "label", "value_label", "known_id")
+    return said.join(unsent(known), ["doc_id", "value_label"], "left").select("doc_id", "label", "value_label", "known_id")
 
 
 CLAIM, VALUE = (8, 1, 1), (7, 1, 1)
@@ -67,27 +69,27 @@ def emit_claims(claims: DataFrame, nodes: DataFrame, used: DataFrame | None = No
     top = lambda coord: used.where((F.col("major") == coord[0]) & (F.col("type") == coord[1]) & (F.col("subtype") == coord[2])).select("doc_id", "top")
     number = lambda: F.row_number().over(Window.partitionBy("doc_id").orderBy("req_id", "pos"))
     said = claims.select("doc_id", "req_id", "pos", F.concat(F.coalesce("subject", F.lit("claim")), F.lit(": "), F.coalesce("object", F.lit(""))).alias("label"), F.coalesce("object", F.lit("")).alias("object"), F.coalesce("confidence", F.lit(0.7)).alias("confidence"))
-    said = said.withColumn("k", number()).join(top(CLAIM), "doc_id", "left").withColumn("n", F.col("k") + F.coalesce("top", F.lit(0))).drop("top")
+    said = said.withColumn("k", number()).join(unsent(top(CLAIM)), "doc_id", "left").withColumn("n", F.col("k") + F.coalesce("top", F.lit(0))).drop("top")
     said = said.withColumn("prov_id", F.format_string("prov_llm_%s_%d", "req_id", "pos")).withColumn("content_hash", short_hash(F.concat("label", F.lit("|None|None"))))
     said = said.withColumn("first", F.min("k").over(Window.partitionBy("doc_id", "content_hash"))).withColumn("first_n", F.min("n").over(Window.partitionBy("doc_id", "content_hash")))
     same = nodes.groupBy("doc_id", "content_hash").agg(F.min_by("node_id", "node_seq").alias("same_id"))
-    said = said.join(same, ["doc_id", "content_hash"], "left").withColumn("claim_id", F.coalesce("same_id", coord_id(*(F.lit(x) for x in CLAIM), F.col("first_n"))))
+    said = said.join(unsent(same), ["doc_id", "content_hash"], "left").withColumn("claim_id", F.coalesce("same_id", coord_id(*(F.lit(x) for x in CLAIM), F.col("first_n"))))
     known = nodes.groupBy("doc_id", F.col("label").alias("object")).agg(F.min_by("node_id", "node_seq").alias("known_id"))
-    said = said.join(known, ["doc_id", "object"], "left")
+    said = said.join(unsent(known), ["doc_id", "object"], "left")
     fresh = said.where("known_id is null and object <> ''").groupBy("doc_id", "object").agg(F.min(F.struct("k", "req_id", "pos", "prov_id")).alias("by")).select("doc_id", "object", "by.*")
-    fresh = fresh.withColumn("n", number()).join(top(VALUE), "doc_id", "left").withColumn("instance", (F.col("n") + F.coalesce("top", F.lit(0))).cast("int"))
+    fresh = fresh.withColumn("n", number()).join(unsent(top(VALUE)), "doc_id", "left").withColumn("instance", (F.col("n") + F.coalesce("top", F.lit(0))).cast("int"))
     fresh = fresh.withColumn("node_id", coord_id(*(F.lit(x) for x in VALUE), F.col("instance")))
-    joined = said.join(fresh.select("doc_id", "object", F.col("node_id").alias("fresh_id")), ["doc_id", "object"], "left").withColumn("object_id", F.coalesce("known_id", "fresh_id"))
+    joined = said.join(unsent(fresh.select("doc_id", "object", F.col("node_id").alias("fresh_id"))), ["doc_id", "object"], "left").withColumn("object_id", F.coalesce("known_id", "fresh_id"))
     edges = joined.where("object_id is not null and object_id <> claim_id").select("doc_id", F.col("claim_id").alias("subject_id"), F.lit("HAS_VALUE").alias("predicate"), "object_id", "prov_id", F.lit(1.0).alias("confidence"))
     last = nodes.groupBy("doc_id").agg(F.max("node_seq").alias("last"))
     coord = lambda c: [F.lit(x).alias(n) for x, n in zip(c, ("major", "type", "subtype"), strict=True)]
     place = lambda step: (F.coalesce("last", F.lit(0)) + 2 * F.col("k") + step).cast("long").alias("node_seq")
     none = lambda kind: F.lit(None).cast(kind)
-    new_claims = said.where("same_id is null and k = first").join(last, "doc_id", "left").select(
+    new_claims = said.where("same_id is null and k = first").join(unsent(last), "doc_id", "left").select(
         "doc_id", F.col("claim_id").alias("node_id"), *coord(CLAIM), F.col("n").cast("int").alias("instance"), "label", "prov_id", F.lit("null").alias("value_kind"), none("string").alias("value_str"), none("double").alias("value_num"), none("string").alias("unit"), "content_hash", F.col("req_id").alias("chunk_id"), place(0)
     )
     value, unit = parse_value(F.col("object")), parse_unit(F.col("object"))
-    valued = fresh.withColumn("value_num", value).withColumn("unit", unit).withColumn("value_str", float_text(F.col("value_num"))).join(last, "doc_id", "left")
+    valued = fresh.withColumn("value_num", value).withColumn("unit", unit).withColumn("value_str", float_text(F.col("value_num"))).join(unsent(last), "doc_id", "left")
     key = F.concat_ws("|", "object", F.coalesce("value_str", F.lit("None")), F.coalesce("unit", F.lit("None")))
     new_values = valued.select(
         "doc_id", "node_id", *coord(VALUE), "instance", F.col("object").alias("label"), "prov_id", F.when(F.col("value_num").isNull(), "null").otherwise("float").alias("value_kind"), "value_str", "value_num", "unit", short_hash(key).alias("content_hash"), F.col("req_id").alias("chunk_id"), place(1)

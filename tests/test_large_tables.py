@@ -56,3 +56,11 @@ def test_coordinates_past_the_last_instance_equal_their_sql(spark, tmp_path):
     want = sorted(str(list(r)) for r in cursor.fetchall())
     got = sorted(str(list(r)) for r in __spark_entry__.queries()["coord_parse"](spark, str(tmp_path)).select(*names).collect())
     assert got == want and any("False" in r for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_json_is_read_in_batches(spark):
+    plan = __spark_entry__.queries()["json_flatten_sql"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "Arrow" in plan
+    got = spark.sql("SELECT f.* FROM VALUES ('{\"a\": {\"b\": 1.5}, \"total\": [\"x\"], \"c\": true}'), (NULL), ('broken') AS t(x) LATERAL VIEW inline(json_flatten_all(x)) f").drop("metadata").collect()
+    assert [(r["pos"], r["label"], r["major"], r["value_kind"], r["value_num"]) for r in got] == [(0, "a.b", 3, "float", 1.5), (1, "c", 3, "bool", 1.0)]

@@ -18,17 +18,17 @@ def provenance(chunks: DataFrame) -> DataFrame:
     )
 
 
-def assign_coords(ext: DataFrame, segment: int | None = None) -> DataFrame:
+def assign_coords(ext: DataFrame, segment: int | None = None, n: int | None = None) -> DataFrame:
     """Coordinates by entity type where the table has it, and the instance's number, before any deduplication.
 
     With `segment` instances are counted in segments of so many extractions, so that one coordinate of one document
-    may fill many tasks."""
+    may fill many tasks, `n` of them."""
     own = F.struct("major", "type", "subtype")
     table = F.create_map(*(x for k, v in ENTITY_COORDS.items() for x in (F.lit(k), F.struct(*(F.lit(c).alias(n) for c, n in zip(v, ("major", "type", "subtype"), strict=True))))))
     mapped = ext.withColumn("coord", F.coalesce(F.try_element_at(table, F.col("entity_type")), own)).drop("major", "type", "subtype").select("*", "coord.*").drop("coord")
     key = ["doc_id", "major", "type", "subtype"]
     if segment:
-        counted = scan(mapped, key, "ext_seq", segment, sums={"earlier": F.lit(1)})
+        counted = scan(mapped, key, "ext_seq", segment, sums={"earlier": F.lit(1)}, n=n)
         numbered = counted.withColumn("instance", (F.col("earlier") + 1).cast("int")).drop("earlier")
     else:
         numbered = mapped.withColumn("instance", F.row_number().over(Window.partitionBy(*key).orderBy("ext_seq")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.columns import coord_parts
-from factweave.operators import claims, emission, extraction, lexing, versions
+from factweave.operators import claims, emission, extraction, lexing, scans, versions
 from factweave.operators.graph import ensure_checkpoints
 from factweave.sources import adapters, detect
 
@@ -168,13 +168,14 @@ TABLES = {
 }
 
 
-def compile_documents(docs: DataFrame, max_tier: int = 2, executor: Callable[[DataFrame], DataFrame] | None = None) -> Program:
-    """Texts to facts; nothing runs before an action, unless there is an executor.
+def compile_documents(docs: DataFrame, max_tier: int = 2, executor: Callable[[DataFrame], DataFrame] | None = None, slices: int | None = None) -> Program:
+    """Texts to facts; nothing runs before an action but a count of the documents, which tells the number of slices unless
+    `slices` does, unless there is an executor.
 
     `executor` takes claims.requests() to the claims of a model, as claims.mock_claims does or a function around
     claims.execute; their nodes, edges and provenance join the program. What the model said is kept at once, so that it
     is asked once, and so are the chunks and coordinates that its claims are joined with."""
-    chunks = lexing.lex(docs)
+    chunks = lexing.lex(docs, n=slices)
     if executor is None:
         return Program(emission.nodes(extraction.extract(chunks, max_tier)), emission.provenance(chunks))
     ensure_checkpoints(docs)
@@ -208,7 +209,8 @@ def compile_universal(docs: DataFrame, max_tier: int = 2) -> DataFrame:
     kinded = docs.withColumn("kind", detect.detect(F.col("text"))).withColumn("path", detect.route(F.col("kind"), F.col("text")))
     columns = ["doc_id", "node_id", "label", "value_str", "value_num", "unit"]
     ready = [k for k in adapters.ADAPTERS]
-    out = compile_documents(kinded.where((F.col("path") != "ADAPTER") | ~F.col("kind").isin(*ready)).select("doc_id", "text"), max_tier).nodes.select(*columns)
+    n = scans.slices(docs)  # once for all, as each path's own documents would be searched to count them
+    out = compile_documents(kinded.where((F.col("path") != "ADAPTER") | ~F.col("kind").isin(*ready)).select("doc_id", "text"), max_tier, slices=n).nodes.select(*columns)
     for kind in ready:
         out = out.unionByName(adapters.to_nodes(adapters.ADAPTERS[kind](kinded.where((F.col("path") == "ADAPTER") & (F.col("kind") == kind)))).select(*columns))
     return out

@@ -58,9 +58,44 @@ def test_coordinates_past_the_last_instance_equal_their_sql(spark, tmp_path):
     assert got == want and any("False" in r for r in got)
 
 
+def test_slices_follow_the_size_of_the_texts(spark, monkeypatch):
+    from factweave.operators import lexing
+
+    docs = spark.createDataFrame([(k, "Total revenue was $5 million.\n\n" * 3) for k in range(500)], "doc_id long, text string")
+    monkeypatch.setattr(scans, "SLICE", 500)
+    assert scans.slices(docs) == 96  # 46,500 characters
+    assert lexing.lex(docs).rdd.getNumPartitions() == 96
+    monkeypatch.setattr(scans, "SLICE", 10**9)
+    assert scans.slices(docs) == scans.SLICES
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_segments_extract_once(spark):
+    plan = __spark_entry__.queries()["assign_coords_segmented"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_json_is_read_in_batches(spark):
     plan = __spark_entry__.queries()["json_flatten_sql"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "UDTF" not in plan and "Arrow" in plan
     got = spark.sql("SELECT f.* FROM VALUES ('{\"a\": {\"b\": 1.5}, \"total\": [\"x\"], \"c\": true}'), (NULL), ('broken') AS t(x) LATERAL VIEW inline(json_flatten_all(x)) f").drop("metadata").collect()
     assert [(r["pos"], r["label"], r["major"], r["value_kind"], r["value_num"]) for r in got] == [(0, "a.b", 3, "float", 1.5), (1, "c", 3, "bool", 1.0)]
+
+
+def test_what_a_pattern_needs_is_in_all_that_it_finds(spark):
+    from factweave.functions.columns import find_all
+    from factweave.operators import extraction
+    from pyspark.sql import functions as F
+
+    texts = ["met in Boſton and New YorK", "٣ years, ٥x and ١/٢/٠٠", "In\u00a0Denver,\u2003CO for 3\u2003YEARS", "WASHINGTON DC", "no\u00a0growth in that very long year of ours; growth", "Foo Ltd. VP Ann Lee", "plain words"]
+    c = F.col("content")
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    from factweave.functions import patterns as P
+
+    for make, patterns in ((extraction.locations, P.LOCATION), (extraction.people, P.PERSON)):
+        got = df.select(F.transform(make(c), lambda x: x["label"]).alias("a"), F.array_distinct(F.concat(*(find_all(c, p, 1) for p in patterns))).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got)
+    got = df.select(F.size(extraction.durations(c)).alias("a"), F.size(find_all(c, P.DURATION)).alias("b"), F.size(extraction.ratios(c)).alias("c"), F.size(find_all(c, P.RATIO)).alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got) and sum(r["b"] for r in got) >= 2
+    assert [r[0] for r in df.select(F.transform(extraction.claims(c), lambda x: x["label"]).alias("l")).where("size(l) > 0").collect()] == [["DECLINE claim"]]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.columns import coord_id, strip
 from factweave.functions.patterns import XBRL_COORDS
+from factweave.operators import scans
 
 SCHEMA = "doc_id long, pos int, label string, major int, type int, subtype int, value_kind string, value_str string, value_num double, unit string, metadata map<string,string>"
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -43,7 +44,9 @@ def _batched(docs: DataFrame, parse: Callable[[str], list[tuple]]) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    # A file of documents that compresses well would be one task, so they are dealt out; batches bound what a task holds.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scans.dealt(texts, "doc_id", n=scans.least(texts)).mapInArrow(run, SCHEMA)
 
 
 def _value(v) -> tuple[str, str | None, float | None]:
@@ -158,8 +161,9 @@ def calendar(docs: DataFrame) -> DataFrame:
 
 
 def to_nodes(entities: DataFrame) -> DataFrame:
-    """Entities with coordinates, numbered by document in their order; equal ones (label, value, unit) once, the first."""
+    """Entities with coordinates, numbered by document in their order; equal ones (label, value, unit) once, the first.
+    `pos` is the entity's place in its document."""
     order = Window.partitionBy("doc_id", "major", "type", "subtype").orderBy("pos")
     numbered = entities.withColumn("instance", F.row_number().over(order)).withColumn("key", F.concat_ws("|", "label", F.coalesce("value_str", F.lit("None")), F.coalesce("unit", F.lit("None"))))
     first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("pos"))
-    return numbered.withColumn("r", first).where("r = 1").select("doc_id", coord_id(F.col("major"), F.col("type"), F.col("subtype"), F.col("instance")).alias("node_id"), "label", "value_kind", "value_str", "value_num", "unit", "metadata")
+    return numbered.withColumn("r", first).where("r = 1").select("doc_id", "pos", coord_id(F.col("major"), F.col("type"), F.col("subtype"), F.col("instance")).alias("node_id"), "label", "value_kind", "value_str", "value_num", "unit", "metadata")

@@ -99,3 +99,11 @@ def test_what_a_pattern_needs_is_in_all_that_it_finds(spark):
     got = df.select(F.size(extraction.durations(c)).alias("a"), F.size(find_all(c, P.DURATION)).alias("b"), F.size(extraction.ratios(c)).alias("c"), F.size(find_all(c, P.RATIO)).alias("d")).collect()
     assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got) and sum(r["b"] for r in got) >= 2
     assert [r[0] for r in df.select(F.transform(extraction.claims(c), lambda x: x["label"]).alias("l")).where("size(l) > 0").collect()] == [["DECLINE claim"]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ("adapter_xbrl", "adapter_rss", "adapter_atom", "json_flatten"))
+def test_documents_of_adapters_fill_many_tasks_and_are_read_once(spark, name):
+    df = __spark_entry__.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and f", {scans.SLICES})" in plan.split("MapInArrow")[1]

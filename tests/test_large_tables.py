@@ -107,3 +107,17 @@ def test_documents_of_adapters_fill_many_tasks_and_are_read_once(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and f", {scans.SLICES})" in plan.split("MapInArrow")[1]
+
+
+def before_shuffle(plan: str) -> list[str]:
+    """What stands directly below each exchange of a plan."""
+    lines = plan.splitlines()
+    return [lines[k + 1] for k, line in enumerate(lines[:-1]) if "Exchange hashpartitioning" in line]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ("chat_retrieve", "chat_context"))
+def test_finds_are_not_sorted_by_the_task_that_reads_them(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    below = [x for x in before_shuffle(plan) if "partial_min_by" in x]
+    assert "min_by" in plan and not below

@@ -121,3 +121,13 @@ def test_finds_are_not_sorted_by_the_task_that_reads_them(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     below = [x for x in before_shuffle(plan) if "partial_min_by" in x]
     assert "min_by" in plan and not below
+
+
+@pytest.mark.parametrize("by", ("src", "dst"))
+def test_ways_are_sorted_on_one_side_of_a_shuffle(spark, by):
+    from factweave.operators import graph
+
+    edges = spark.createDataFrame([(1, "a", "p", "b"), (1, "a", "o", "b"), (1, "b", "p", "c")], "doc_id long, subject_id string, predicate string, object_id string")
+    ways = graph.hops(edges, "both", by=by)
+    assert not [x for x in before_shuffle(ways._jdf.queryExecution().executedPlan().toString()) if "partial_min" in x]
+    assert sorted(tuple(r) for r in ways.collect()) == [(1, "a", "b", "0 o b"), (1, "b", "a", "1 a o"), (1, "b", "c", "0 p c"), (1, "c", "b", "1 b p")]

@@ -131,3 +131,59 @@ def test_ways_are_sorted_on_one_side_of_a_shuffle(spark, by):
     ways = graph.hops(edges, "both", by=by)
     assert not [x for x in before_shuffle(ways._jdf.queryExecution().executedPlan().toString()) if "partial_min" in x]
     assert sorted(tuple(r) for r in ways.collect()) == [(1, "a", "b", "0 o b"), (1, "b", "a", "1 a o"), (1, "b", "c", "0 p c"), (1, "c", "b", "1 b p")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_operands_by_label_reckon_with_what_leads_to_them_alone(spark, monkeypatch):
+    from factweave.operators import graph
+    from factweave.plans.views import view
+
+    spread, given = graph.spread, []
+
+    def seen(nodes, prov, ways, *more):
+        given.append((nodes.count(), ways.count()))
+        return spread(nodes, prov, ways, *more)
+
+    monkeypatch.setattr(graph, "spread", seen)
+    df = __spark_entry__.queries()["derive_by_label"](spark, SF)
+    assert df.count() == 25 and "regexp_extract_all" not in df._jdf.queryExecution().toString()
+    ((nodes, ways),) = given
+    assert ways < nodes < view(spark, SF, "kb_nodes").count() / 5
+
+
+@pytest.mark.parametrize("few", (0, 16))
+def test_words_of_keys_are_found_by_one_pass(spark, monkeypatch, few):
+    import random
+
+    from factweave.operators import search
+
+    rng = random.Random(few)
+    word = lambda n: "".join(rng.choice("abé 😀") for _ in range(n))
+    texts = [(k % 3, word(rng.randint(0, 12))) for k in range(100)] + [(0, None), (1, "")]
+    monkeypatch.setattr(search, "FEW", few)
+    for words in ([(k % 3, word(1 + k % 4)) for k in range(12)], [(0, "ab"), (2, ""), (1, None)], []):
+        df = search.find(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame(words, "key int, word string"), ["key"], "text", "word")
+        got = sorted(tuple(r) for r in df.select("key", "word", "text").collect())
+        assert got == sorted((k, w, t) for k, w in set(words) for j, t in texts if w is not None and t is not None and j == k and w in t)
+
+
+def test_confidence_of_some_nodes_equals_that_of_all(spark):
+    import random
+
+    from factweave.operators import graph
+
+    rng = random.Random(3)
+    names = [f"n{k:02d}" for k in range(30)]
+    edges = [(u, p, v, rng.choice((0.5, 0.7, 0.9))) for u, v, p in ((rng.choice(names), rng.choice(names), rng.choice(("SUPPORTS", "DERIVED_FROM", "PART_OF"))) for _ in range(40))]
+    edges += [(f"c{k}", "SUPPORTS", f"c{k + 1}", 0.95) for k in range(9)]  # longer than is searched back
+    n = spark.createDataFrame([(d, x, f"p{(k + d) % 7}") for d in (1, 2) for k, x in enumerate(names + [f"c{k}" for k in range(10)])], "doc_id long, node_id string, prov_id string")
+    prov = spark.createDataFrame([(d, f"p{k}", k / 10) for d in (1, 2) for k in range(6)], "doc_id long, prov_id string, confidence double")
+    e = spark.createDataFrame([(d, *x) for d in (1, 2) for x in edges], "doc_id long, subject_id string, predicate string, object_id string, confidence double")
+    made = spark.createDataFrame([(1, "n03", ["n04", "n05"], "ADD", 1.0), (1, "n06", ["n03", "gone"], "ADD", 1.0), (2, "c0", ["n01"], "ADD", 1.0)], "doc_id long, result_id string, operands array<string>, operator string, confidence double")
+    every = {d is not None: {(r.doc_id, r.node_id): r.confidence for r in graph.confidence(n, prov, e, d).collect()} for d in (None, made)}
+    for of, d in (([(1, "n03"), (2, "n07"), (1, "n06"), (1, "n06"), (1, "nobody"), (2, "c2")], made), ([(2, "c9"), (1, "n00")], None), ([(1, "c2"), (2, "c2")], None)):
+        asked = spark.createDataFrame(of, "doc_id long, node_id string")
+        if d is None:
+            assert (graph.upstream(graph.supporting(e), asked) is None) == ((2, "c9") in of)
+        got = [tuple(r) for r in graph.confidence_of(n, prov, e, asked, d).select("doc_id", "node_id", "confidence").collect()]
+        assert sorted(got) == sorted((*k, every[d is not None][k]) for k in set(of) if k in every[d is not None])

@@ -187,3 +187,51 @@ def test_confidence_of_some_nodes_equals_that_of_all(spark):
             assert (graph.upstream(graph.supporting(e), asked) is None) == ((2, "c9") in of)
         got = [tuple(r) for r in graph.confidence_of(n, prov, e, asked, d).select("doc_id", "node_id", "confidence").collect()]
         assert sorted(got) == sorted((*k, every[d is not None][k]) for k in set(of) if k in every[d is not None])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_walks_both_ways_go_as_deep_as_the_others(spark):
+    from collections import defaultdict, deque
+
+    from factweave.plans.views import view
+
+    got = {(r.doc_id, r.start, r.node_id): (r.depth, r.path) for r in __spark_entry__.queries()["traverse_both"](spark, SF).collect()}
+    view(spark, SF, "kb_nodes")
+    ways, nodes, want = defaultdict(list), {(r.doc_id, r.node_id): r.major for r in spark.table("kb_nodes").collect()}, {}
+    for e in spark.table("kb_edges").collect():
+        ways[e.doc_id, e.subject_id].append((0, e.predicate, e.object_id, e.object_id))
+        ways[e.doc_id, e.object_id].append((1, e.subject_id, e.predicate, e.subject_id))
+    for doc, start in (k for k, major in nodes.items() if major == 8):
+        seen, queue = set(), deque([(start, [start])])
+        while queue:
+            at, path = queue.popleft()
+            if at in seen:
+                continue
+            seen.add(at)
+            if at != start and (doc, at) in nodes:
+                want[doc, start, at] = (len(path) - 1, ">".join(path))
+            if len(path) <= 3:
+                queue.extend((dst, [*path, dst]) for *_, dst in sorted(ways[doc, at]))
+    assert got == want
+    # The third depth leads back from a customer to its other totals: most of what is reached, and none of it by ways out alone.
+    assert sum(depth == 3 and node.startswith("07") for (_, _, node), (depth, _) in want.items()) > len(want) / 2
+
+
+def test_walks_return_each_node_once_and_ends_without_a_node_never(spark):
+    from factweave.operators import graph
+
+    edges = [("a", "P", "b"), ("a", "Q", "b"), ("b", "P", "gone"), ("gone", "P", "c"), ("b", "P", "d"), ("d", "P", "last"), ("x", "P", "d")]
+    e = spark.createDataFrame([(1, s, p, o) for s, p, o in edges], "doc_id long, subject_id string, predicate string, object_id string")
+    n = spark.createDataFrame([(1, k) for k in "abbcdx"] + [(2, "last"), (1, None)], "doc_id long, node_id string")
+    start = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, start string")
+    walk = lambda *a: sorted((r.node_id, r.depth, r.path) for r in graph.traverse(n, e, start, None, *a).collect())
+    out = [("b", 1, "a>b"), ("c", 3, "a>b>gone>c"), ("d", 2, "a>b>d")]
+    assert walk(3, "out") == out and walk(9, "out") == out
+    assert walk(3, "both") == [*out, ("x", 3, "a>b>d>x")]
+    assert walk(1, "both") == out[:1] and walk(0, "both") == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_what_walks_reach_is_not_joined_with_the_nodes(spark):
+    plan = __spark_entry__.queries()["traverse_both"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and "Scan parquet" not in plan
